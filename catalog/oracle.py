@@ -94,7 +94,7 @@ f1 AS (SELECT *, {each("bill_amt_m{k} / credit_limit AS utilisation_m{k}")},
 f2 AS (SELECT *, utilisation_m1 AS utilisation_latest, list_avg({U}) AS utilisation_mean_6m, list_max({U}) AS utilisation_max_6m,
   list_stddev_pop({U}) AS utilisation_volatility,
   list_avg({RR}) AS repayment_ratio_mean, list_median({RR}) AS repayment_ratio_median, list_avg({CAP}) AS repayment_ratio_capped_mean,
-  len(list_filter({P}, x -> x = 0)) AS months_zero_payment, list_sum({P}) AS total_paid_6m, list_avg({P}) AS avg_payment_6m,
+  CAST({" + ".join(f"CAST(pay_amt_m{k} = 0 AS INTEGER)" for k in M)} AS BIGINT) AS months_zero_payment, list_sum({P}) AS total_paid_6m, list_avg({P}) AS avg_payment_6m,
   CAST({" + ".join(LATE)} AS BIGINT) AS delinquent_months_count,
   CAST(greatest({each("pay_status_m{k}")}, 0) AS DOUBLE) AS max_delinquency,
   CAST(greatest(pay_status_m1, 0) AS DOUBLE) AS current_delinquency,

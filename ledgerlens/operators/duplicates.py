@@ -6,12 +6,11 @@ repeated by a third of all rows never gathers in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import vocabulary as v
+from ledgerlens.functions.scalars import name
 from ledgerlens.functions.tables import side_by_side
 
 
@@ -24,9 +23,9 @@ def repeated_groups(df: DataFrame, columns: list[str], key: str = v.ID) -> DataF
     return df.groupBy(*columns).agg(F.count("*").alias("copies"), F.min(key).alias("first_key")).filter("copies > 1")
 
 
-def same_row(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Null-safe equality on every column (an equi-join condition for Spark)."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+def same_row(columns: list[str]) -> Column:
+    """Null-safe equality of sides ``l`` and ``r`` on every column (an equi-join condition for Spark)."""
+    return F.expr(" AND ".join(f"l.{name(c)} <=> r.{name(c)}" for c in columns))
 
 
 def drop_exact(df: DataFrame) -> DataFrame:
@@ -43,8 +42,8 @@ def flag_ignoring_key(df: DataFrame, key: str = v.ID, flag: str = "is_duplicate_
     """Marks every member of a repeated payload, the first one included."""
     cols = payload(df, key)
     groups = repeated_groups(df, cols, key).select(*cols, F.lit(True).alias(flag))
-    joined = df.join(groups, same_row(df, groups, cols), "left")
-    return joined.select(*[df[c] for c in df.columns], F.coalesce(groups[flag], F.lit(False)).alias(flag))
+    joined = df.alias("l").join(groups.alias("r"), same_row(cols), "left")
+    return joined.selectExpr(*[f"l.{name(c)}" for c in df.columns], f"coalesce(r.{name(flag)}, false) AS {name(flag)}")
 
 
 def duplicate_counts(df: DataFrame, key: str = v.ID) -> DataFrame:
@@ -74,5 +73,5 @@ def duplicate_examples(df: DataFrame, limit: int = 5, key: str = v.ID) -> DataFr
     """The first rows (by key) that repeat an earlier payload."""
     cols = payload(df, key)
     groups = repeated_groups(df, cols, key)
-    joined = df.join(groups, same_row(df, groups, cols))
-    return joined.filter(df[key] > groups["first_key"]).select(df[key], groups["first_key"]).orderBy(key).limit(limit)
+    joined = df.alias("l").join(groups.alias("r"), same_row(cols)).filter(f"l.{name(key)} > r.first_key")
+    return joined.selectExpr(f"l.{name(key)}", "r.first_key").orderBy(key).limit(limit)
