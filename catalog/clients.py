@@ -191,11 +191,11 @@ def _(spark, d):
 
 
 @query("repayment_features", on_features(f"""SELECT client_id, {Rs(RATIO)}, is_full_payer, is_revolver, months_zero_payment,
-    {Rs(['total_paid_6m', 'avg_payment_6m'], 3)} FROM feat"""))
+    {Rs(['total_paid_6m', 'avg_payment_6m'])} FROM feat"""))
 def _(spark, d):
     out = features.add_repayment(clean(spark, d))
     return rounded(out.select("client_id", *RATIO, "is_full_payer", "is_revolver", "months_zero_payment", "total_paid_6m",
-                              "avg_payment_6m"), total_paid_6m=3, avg_payment_6m=3)
+                              "avg_payment_6m"))
 
 
 @query("delinquency_features", on_features("""SELECT client_id, delinquent_months_count, max_delinquency, current_delinquency,
@@ -206,11 +206,11 @@ def _(spark, d):
         "is_currently_delinquent", "delinquency_trend")
 
 
-@query("trajectory_features", on_features(f"""SELECT client_id, {Rs(['avg_bill_6m', 'bill_volatility', 'bill_trend_slope'], 3)},
-    {R('balance_growth_6m', 'balance_growth_6m')} FROM feat"""))
+@query("trajectory_features", on_features(f"""SELECT client_id, {Rs(['bill_volatility', 'bill_trend_slope'], 3)},
+    {Rs(['avg_bill_6m', 'balance_growth_6m'])} FROM feat"""))
 def _(spark, d):
     out = features.add_trajectory(clean(spark, d)).select("client_id", "avg_bill_6m", "bill_volatility", "bill_trend_slope", "balance_growth_6m")
-    return rounded(out, 3, balance_growth_6m=6)
+    return rounded(out, 3, avg_bill_6m=6, balance_growth_6m=6)
 
 
 @query("balance_slope_from_panel", on_panel(f"SELECT client_id, {R('regr_slope(bill_amt, month_order)', 'slope', 3)} FROM panel GROUP BY client_id"))
