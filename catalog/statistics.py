@@ -449,10 +449,14 @@ def spearman(spark, d):
     return rounded(correlation.correlation_pairs(feats(spark, d), CORR).select("left", "right", "correlation", "n"))
 
 
-@query("spearman_lineitem", spearman_sql(["l_quantity", "l_extendedprice", "l_discount"], "lineitem"))
+O_COLUMNS = ["o_totalprice", "o_month", "o_bucket"]
+O_SQL = "(SELECT o_orderkey, o_totalprice, month(o_orderdate) AS o_month, o_custkey % 100 AS o_bucket FROM orders)"
+
+
+@query("spearman_orders", spearman_sql(O_COLUMNS, O_SQL))
 def _(spark, d):
-    out = correlation.correlation_pairs(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
-                                        key=("l_orderkey", "l_linenumber"))
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice", "month(o_orderdate) AS o_month", "o_custkey % 100 AS o_bucket")
+    out = correlation.correlation_pairs(o, O_COLUMNS, key=("o_orderkey",))
     return rounded(out.select("left", "right", "correlation", "n"))
 
 
@@ -561,7 +565,7 @@ def _(spark, d):
 
 
 @query("driver_consensus", on_features(f"""SELECT feature, count(*) AS n_methods, count(*) FILTER (WHERE {STRENGTH} <> 'negligible') AS n_methods_non_negligible,
-    {R('avg(round(abs(effect_size), 6))', 'mean_effect_size', 5)}, {R('max(abs(effect_size))', 'max_effect_size')},
+    {R('round(avg(round(abs(effect_size), 6)), 6)', 'mean_effect_size', 4)}, {R('max(abs(effect_size))', 'max_effect_size')},
     CASE WHEN count(*) FILTER (WHERE method <> 'chi_square') = 0 THEN 'n/a' WHEN min(sign(effect_size)) = max(sign(effect_size)) THEN CASE WHEN max(effect_size) > 0 THEN 'positive' ELSE 'negative' END
     ELSE 'mixed' END AS direction FROM ({SP} UNION ALL {MW} UNION ALL {CHI_TEST}) GROUP BY feature""", RANKED + ", " + CHI))
 def _(spark, d):
@@ -569,7 +573,7 @@ def _(spark, d):
     ranks = drivers.ranked_values(f, T, DRIVE)
     union = drivers.spearman_with_outcome(ranks).unionByName(drivers.mann_whitney(ranks)).unionByName(
         drivers.chi_square(f, T, LEVELS).select(*drivers.EVIDENCE))
-    return rounded(drivers.consensus(union).drop("methods"), 6, mean_effect_size=5)
+    return rounded(drivers.consensus(union).drop("methods"), 6, mean_effect_size=4)
 
 
 @query("driver_candidates", on_features("SELECT 'numeric' AS kind, 'age, bill_amt_m1, credit_limit, is_revolver' AS names, count(*) AS n_rows FROM feat "
