@@ -16,7 +16,7 @@ from ledgerlens.plans import pipeline
 T = v.TARGET
 SEG = list(segments.FEATURES)
 ZS = [f"z_{c}" for c in SEG]
-QUICK = segments.Config(k_max=3, n_init=1, silhouette_sample=1_000)
+QUICK = segments.Config(k_max=4, n_init=3, silhouette_sample=1_000)
 
 
 # ---------------------------------------------------------------- given labels
@@ -140,14 +140,16 @@ def _(spark, d):
 
 @query("kmeans_segments")
 def _(spark, d):
-    data = segments.vectors(prepared(spark, d))
-    return agg(segments.assign(segments.fit(data, 3, QUICK), data), {"clients": "count(*)"}, ["cluster"])
+    p = prepared(spark, d)
+    data = segments.matrix_of(p)
+    model = segments.fit_many(data, p.features, [3], segments.Config())[3]
+    return agg(segments.assign(model, data), {"clients": "count(*)"}, ["cluster"])
 
 
 @query("k_sweep")
 def _(spark, d):
     p = prepared(spark, d)
-    config = segments.Config(scaler="standard", k_max=3, n_init=1, silhouette_sample=1_000)
+    config = segments.Config(scaler="standard")
     return segments.evaluate(p, config).frame(spark)
 
 
@@ -180,7 +182,7 @@ def _(spark, d):
 
     rows = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
     model = KMeans(k=4, seed=42, maxIter=300, predictionCol="cluster").fit(rows)
-    return agg(segments.assign(model, rows), {"vectors": "count(*)"}, ["cluster"])
+    return agg(model.transform(rows), {"vectors": "count(*)"}, ["cluster"])
 
 
 # -------------------------------------------------------- findings and signals

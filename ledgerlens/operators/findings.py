@@ -8,7 +8,7 @@ projection (what it says), and carries its evidence in an array.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlens import vocabulary as v
 from ledgerlens.functions import scalars as s
 from ledgerlens.functions import text
-from ledgerlens.functions.tables import agg, beside, unpivot
+from ledgerlens.functions.tables import agg, side_by_side, unpivot
 from ledgerlens.operators import eda
 from ledgerlens.operators.features import delay_group, utilisation_band
 from ledgerlens.roles import Roles, month_label
@@ -101,6 +101,12 @@ def gradients(levels: DataFrame) -> DataFrame:
     )
 
 
+def struct_per_dimension(rows: DataFrame) -> DataFrame:
+    """The gradients as one row with a struct column per dimension (null when it has none)."""
+    fields = ", ".join(GRADIENT_COLUMNS)
+    return agg(rows, {f"{d}_gradient": f"max(IF(dimension = '{d}', struct({fields}), NULL))" for d in ("delay", "utilisation", "limit", "age")})
+
+
 def selection_facts(df: DataFrame, target: str) -> DataFrame:
     """The single-row aggregate behind the remaining rules and all signals."""
     roles = Roles.of(df)
@@ -165,20 +171,22 @@ def _evidence(*items: tuple[str, str, str, str, str]) -> str:
 NONE = "CAST(NULL AS STRING)"
 
 
-def _finding(source: DataFrame, fires: str, **parts: str) -> DataFrame:
-    values = {"affected_clients": "CAST(NULL AS BIGINT)", "affected_share_pct": "CAST(NULL AS DOUBLE)",
-              "caveat": s.text(CAVEAT), **parts}
-    if "severity_ord" not in values:
-        values["severity_ord"] = severity_of_share(values["affected_share_pct"])
-    if "confidence_ord" not in values:
-        values["confidence_ord"] = confidence_of_sample(f"array_max(transform({values['evidence']}, e -> e.n))")
+GRADIENT_COLUMNS = ("levels", "low_level", "low_rate", "low_n", "high_level", "high_rate", "high_n", "first_level", "first_rate",
+                    "first_n", "last_level", "last_rate", "last_n", "base_rate", "base_n", "delayed", "rising", "falling",
+                    "starts_lowest", "credit_n", "credit_rate")
+_GRADIENT = re.compile(r"(?<![.'\w])(" + "|".join(GRADIENT_COLUMNS) + r")(?![\w'])")
+
+
+def _finding(dimension: str | None, fires: str, **parts: str) -> dict[str, str]:
+    """One candidate row; bare gradient columns are read from the struct of their dimension."""
+    values = {"affected_clients": "NULL", "affected_share_pct": "NULL", "caveat": s.text(CAVEAT), **parts}
+    values.setdefault("severity_ord", severity_of_share(f"double({values['affected_share_pct']})"))
+    values.setdefault("confidence_ord", confidence_of_sample(f"array_max(transform({values['evidence']}, e -> e.n))"))
     types = {"affected_clients": "bigint({})", "affected_share_pct": "double({})", "severity_ord": "int({})", "confidence_ord": "int({})"}
-    base = source.filter(f"coalesce({fires}, false)").selectExpr(
-        *[f"{types.get(k, '{}').format(e)} AS {k}" for k, e in values.items()])
-    return base.selectExpr(*[
-        f"{_name(SEVERITIES, 'severity_ord')} AS severity" if c == "severity" else
-        f"{_name(CONFIDENCES, 'confidence_ord')} AS confidence" if c == "confidence" else c for c in COLUMNS
-    ])
+    entry = {"fires": f"coalesce({fires}, false)", **{k: types.get(k, "{}").format(e) for k, e in values.items()}}
+    if dimension is not None:
+        entry = {k: _GRADIENT.sub(lambda m: f"{dimension}_gradient.{m.group(1)}", e) for k, e in entry.items()}
+    return entry
 
 
 def key_findings(df: DataFrame, target: str | None = None, settings: Settings = DEFAULTS) -> DataFrame:
@@ -190,13 +198,12 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
             "severity string, severity_ord int, confidence string, confidence_ord int, affected_clients long, "
             f"affected_share_pct double, evidence {EVIDENCE}, caveat string"))
     facts = selection_facts(df, target).filter(f"n_rows >= {MIN_ROWS} AND classes = 2")
-    steps = beside(gradients(level_rates(df, target, settings)), facts)
-    of = lambda d: steps.filter(F.col("dimension") == d)
+    whole = struct_per_dimension(gradients(level_rates(df, target, settings)))
     delayed_share = "delayed / n_rows * 100"
     spread = "(high_rate - low_rate)"
 
     delay = _finding(
-        of("delay"), f"levels >= 2 AND base_rate IS NOT NULL AND high_level <> 'No delay' AND high_rate - base_rate >= {MIN_SPREAD_PP}",
+        "delay", f"levels >= 2 AND base_rate IS NOT NULL AND high_level <> 'No delay' AND high_rate - base_rate >= {MIN_SPREAD_PP}",
         key="'delinquency_gradient'", type="'risk'", title="'Recent payment delay separates observed default rates'",
         fact=f"concat('Clients without a recent delay defaulted at ', {_pct('base_rate')}, '; with a delay of ', high_level, ' at ', {_pct('high_rate')}, '.')",
         insight="'The latest repayment status splits the selection into bands with different observed default rates.'",
@@ -211,7 +218,7 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
              "ELSE 'The relationship is not strictly monotonic.' END")
     credit = f"IF(credit_n IS NULL, '', concat(' ', format_number(credit_n, 0), ' accounts in credit (', {_pct('credit_rate')}, ') are set apart.'))"
     utilisation = _finding(
-        of("utilisation"), f"levels >= 2 AND {spread} >= {MIN_SPREAD_PP}",
+        "utilisation", f"levels >= 2 AND {spread} >= {MIN_SPREAD_PP}",
         key="'utilisation_gradient'", type="'risk'", title="'Observed default differs across utilisation bands'",
         fact=f"concat('Band ', low_level, ' defaulted at ', {_pct('low_rate')}, ', band ', high_level, ' at ', {_pct('high_rate')}, '. ', {shape}, {credit})",
         insight="'Utilisation is balance over limit, the nearest substitute for a debt-to-income ratio in this data.'",
@@ -224,7 +231,7 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
     )
     first_share = "first_n / n_rows * 100"
     limit = _finding(
-        of("limit"), f"levels >= 2 AND abs(first_rate - last_rate) >= {MIN_SPREAD_PP}",
+        "limit", f"levels >= 2 AND abs(first_rate - last_rate) >= {MIN_SPREAD_PP}",
         key="'limit_band_gradient'", type="'observation'", title="'Observed default differs across credit-limit bands'",
         fact=f"concat('The lowest band ', first_level, ' defaulted at ', {_pct('first_rate')}, ', the highest ', last_level, ' at ', {_pct('last_rate')}, '. ', "
              "IF(falling, 'Each higher band has a lower rate.', 'The bands are not strictly ordered.'))",
@@ -237,7 +244,7 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
                            ("default_rate_highest_limit", "last_rate", _pct("last_rate"), _pct("first_rate"), "last_n")),
     )
     age = _finding(
-        of("age"), f"levels >= 2 AND {spread} >= {MIN_SPREAD_PP}",
+        "age", f"levels >= 2 AND {spread} >= {MIN_SPREAD_PP}",
         key="'age_band_pattern'", type="'observation'", title="'Observed default varies across age bands'",
         fact=f"concat('Highest in ', high_level, ' (', {_pct('high_rate')}, '), lowest in ', low_level, ' (', {_pct('low_rate')}, ').')",
         insight="'A descriptive difference only; age is never used as a driver.'",
@@ -248,7 +255,7 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
     )
     ratio = lambda x: f"format_string('%.1f%%', {x} * 100)"
     repayment = _finding(
-        facts, f"ratio_1_n + ratio_0_n >= {settings.min_rows} AND abs(ratio_1 - ratio_0) >= 0.02",
+        None, f"ratio_1_n + ratio_0_n >= {settings.min_rows} AND abs(ratio_1 - ratio_0) >= 0.02",
         key="'repayment_behaviour'", type="'risk'", title="'Repaid share of the statement differs by outcome'",
         fact=f"concat('Mean capped repayment ratio ', {ratio('ratio_1')}, ' with default and ', {ratio('ratio_0')}, ' without (effect: ', ratio_effect, '). ', "
              f"{_pct('revolver_share', 1)}, ' of the selection are revolvers.')",
@@ -260,7 +267,7 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
     )
     moved = "(late_last - late_first)"
     trend = _finding(
-        facts, f"abs({moved}) >= 1",
+        None, f"abs({moved}) >= 1",
         key="'delinquency_trend'", type=f"IF({moved} > 0, 'risk', 'opportunity')",
         title=f"concat('Share behind on payment ', IF({moved} > 0, 'rose', 'fell'), ' over the observed months')",
         fact=f"concat('From ', {_pct('late_first')}, ' in ', late_first_month, ' to ', {_pct('late_last')}, ' in ', late_last_month, '.', "
@@ -274,7 +281,7 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
                            ("utilisation_change", "use_last - use_first", "format_string('%+.1f pp', use_last - use_first)", NONE, "n_rows")),
     )
     payer = _finding(
-        facts, f"full_payer_n >= {MIN_GROUP} AND full_payer_rate < overall_rate",
+        None, f"full_payer_n >= {MIN_GROUP} AND full_payer_rate < overall_rate",
         key="'full_payer_segment'", type="'opportunity'", title="'Full payers show a lower observed default rate'",
         fact=f"concat(format_number(full_payer_n, 0), ' clients (', {_pct('full_payer_share', 1)}, ') usually clear the statement; default rate ', "
              f"{_pct('full_payer_rate')}, ' against ', {_pct('overall_rate')}, ' overall.', "
@@ -287,7 +294,12 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
                            ("full_payer_default_rate", "full_payer_rate", _pct("full_payer_rate"), _pct("overall_rate"), "full_payer_n"),
                            ("full_payer_avg_limit", "limit_full", text.currency("limit_full"), text.currency("limit_all"), "full_payer_n")),
     )
-    return reduce(lambda a, b: a.unionByName(b), [delay, utilisation, repayment, trend, limit, payer, age])
+    order = ("fires", *[c for c in COLUMNS if c not in ("severity", "confidence")])
+    entries = [{c: e[c] for c in order} for e in (delay, utilisation, repayment, trend, limit, payer, age)]
+    return unpivot(side_by_side(facts, whole), entries).filter("fires").selectExpr(*[
+        f"{_name(SEVERITIES, 'severity_ord')} AS severity" if c == "severity" else
+        f"{_name(CONFIDENCES, 'confidence_ord')} AS confidence" if c == "confidence" else c for c in COLUMNS
+    ])
 
 
 def by_priority(findings: DataFrame, limit: int | None = 5) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Behaviour-based K-Means segments with Spark ML, and what they look like.
+"""Behaviour-based K-Means segments and what they look like.
 
 The outcome and personal attributes can never reach the feature matrix; the
 outcome rate of a segment is computed after clustering.  Rows are looked at
@@ -14,7 +14,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Row, Window
@@ -148,62 +147,160 @@ def scale(raw: DataFrame, features: Sequence[str], scaler: str) -> DataFrame:
     })
 
 
-def vectors(prepared: Prepared) -> DataFrame:
-    """The cached matrix all fits read."""
-    columns = [f"z_{c}" for c in prepared.features]
-    return session.reuse(VectorAssembler(inputCols=columns, outputCol="features").transform(prepared.data))
+SMALL_PARTITION_BYTES = 16 << 20
+INIT_ROWS = 4_096
 
 
-def fit(data: DataFrame, k: int, config: Config = Config()):
-    """The best of ``n_init`` K-Means runs by training cost."""
-    best = None
-    for i in range(config.n_init):
-        model = KMeans(k=k, seed=config.seed + i, maxIter=config.max_iter, tol=1e-4, featuresCol="features",
-                       predictionCol="cluster").fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def matrix_of(prepared: Prepared) -> DataFrame:
+    """The cached rows all fits read, in no more partitions than their size needs."""
+    parts = max(1, session.planned_bytes(prepared.data) // SMALL_PARTITION_BYTES)
+    data = prepared.data
+    return session.reuse(data.coalesce(int(parts)) if parts < 1_000 else data)
 
 
-def assign(model, data: DataFrame) -> DataFrame:
-    """Cluster per row, renumbered by falling size (then by centroid) so that numbers are stable."""
-    centres = [tuple(float(x) for x in c) for c in model.clusterCenters()]
-    sizes = model.summary.clusterSizes
-    order = sorted(range(len(centres)), key=lambda i: (-sizes[i], centres[i]))
-    arms = " ".join(f"WHEN {old} THEN {new}" for new, old in enumerate(order))
-    return s.project(model.transform(data), {"cluster": f"CASE cluster {arms} END"})
+@dataclass(frozen=True)
+class Model:
+    """Centroids in the order they are numbered: by falling size, then by position."""
+
+    centres: np.ndarray
+    inertia: float
+    iterations: int
+    features: tuple[str, ...]
+
+    @property
+    def k(self) -> int:
+        return len(self.centres)
+
+
+def _plus_plus(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k starting points, each drawn with probability proportional to its squared distance so far."""
+    chosen = [points[rng.integers(len(points))]]
+    gap = ((points - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = gap.sum()
+        pick = rng.choice(len(points), p=gap / total) if total > 0 else rng.integers(len(points))
+        chosen.append(points[pick])
+        gap = np.minimum(gap, ((points - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _warm_start(points: np.ndarray, k: int, rng: np.random.Generator, steps: int = 50) -> np.ndarray:
+    """Starting centroids: k-means++ and a few refinements on the bounded starting sample."""
+    centres = _plus_plus(points, k, rng)
+    for _ in range(steps):
+        near = (((points ** 2).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres ** 2).sum(axis=1))).argmin(axis=1)
+        n = np.bincount(near, minlength=k)
+        sums = np.stack([np.bincount(near, weights=points[:, j], minlength=k) for j in range(points.shape[1])], axis=1)
+        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config: Config = Config(),
+             key: str = v.ID) -> dict[int, Model]:
+    """The best of ``n_init`` K-Means runs for every K, all runs sharing each pass over the data.
+
+    A sweep of seven K with ten starts is seventy models.  Fitted one by one,
+    every iteration of every model would scan the data; here one pass per
+    iteration serves all runs that have not settled.  A task reduces its rows to
+    one partial sum per run and cluster, and a grouped sum merges the tasks.
+    """
+    cols = [f"z_{c}" for c in features]
+    start = data.select(key, *cols).orderBy(F.xxhash64(F.lit(config.seed), F.col(key)), key).limit(INIT_ROWS)
+    points = start.select(*cols).toPandas().to_numpy(dtype="float64")
+    runs = [(k, i) for k in ks for i in range(config.n_init)]
+    centres = {r: _warm_start(points, r[0], np.random.default_rng([config.seed, *r])) for r in runs}
+    spread = agg(data, {c: f"var_pop({s.name(c)})" for c in cols}).first()
+    settled = 1e-4 * sum(x or 0.0 for x in spread) / len(cols)
+    cost, sizes, steps = {}, {}, dict.fromkeys(runs, 0)
+    active = list(runs)
+    schema = "run int, cluster int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(len(cols)))
+    sums = {x: f"sum({x})" for x in ["n", "cost", *[f"s{j}" for j in range(len(cols))]]}
+
+    for _ in range(config.max_iter):
+        current = [centres[r] for r in active]
+
+        def partial(batches: Iterator[pd.DataFrame], current=current) -> Iterator[pd.DataFrame]:
+            totals = [np.zeros((len(c), 2 + len(cols))) for c in current]
+            for batch in batches:
+                x = batch.to_numpy(dtype="float64")
+                length = (x ** 2).sum(axis=1)
+                for c, total in zip(current, totals):
+                    gaps = length[:, None] - 2 * x @ c.T + (c ** 2).sum(axis=1)
+                    near = gaps.argmin(axis=1)
+                    total[:, 0] += np.bincount(near, minlength=len(c))
+                    total[:, 1] += np.bincount(near, weights=np.maximum(gaps.min(axis=1), 0), minlength=len(c))
+                    for j in range(x.shape[1]):
+                        total[:, 2 + j] += np.bincount(near, weights=x[:, j], minlength=len(c))
+            rows = [(i, g, *total[g]) for i, total in enumerate(totals) for g in range(len(total))]
+            yield pd.DataFrame(rows, columns=["run", "cluster", "n", "cost", *[f"s{j}" for j in range(len(cols))]])
+
+        merged = agg(data.select(*cols).mapInPandas(partial, schema), sums, ["run", "cluster"]).toPandas()
+        merged = merged.sort_values(["run", "cluster"])
+        still = []
+        for i, r in enumerate(active):
+            part = merged[merged["run"] == i]
+            n = part["n"].to_numpy()
+            moved = np.where(n[:, None] > 0, part[[f"s{j}" for j in range(len(cols))]].to_numpy() / np.maximum(n, 1)[:, None], centres[r])
+            shift = ((moved - centres[r]) ** 2).sum()
+            centres[r], cost[r], sizes[r], steps[r] = moved, float(part["cost"].sum()), n, steps[r] + 1
+            if shift > settled:
+                still.append(r)
+        active = still
+        if not active:
+            break
+
+    models = {}
+    for k in ks:
+        best = min((r for r in runs if r[0] == k), key=lambda r: (cost[r], r))
+        order = sorted(range(k), key=lambda g: (-sizes[best][g], tuple(centres[best][g])))
+        models[k] = Model(centres[best][order], cost[best], steps[best], tuple(features))
+    return models
+
+
+def assign(model: Model, data: DataFrame) -> DataFrame:
+    """Nearest centroid per row, as a plain column expression."""
+    away = [
+        s.plus(f"({s.name('z_' + c)} - {s.number(x)}) * ({s.name('z_' + c)} - {s.number(x)})" for c, x in zip(model.features, centre))
+        for centre in model.centres
+    ]
+    gaps = s.project(data, {"__gaps": f"array({', '.join(away)})"})
+    return s.project(gaps, {"cluster": "int(array_position(__gaps, array_min(__gaps)) - 1)"}).drop("__gaps")
 
 
 # ------------------------------------------------------------ scores of a fit
 
+METRIC_SCHEMA = ("k long, n_rows long, inertia double, davies_bouldin double, calinski_harabasz double, "
+                 "smallest_share_pct double, is_degenerate boolean")
+
+
 def cluster_metrics(clustered: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row: inertia, Davies-Bouldin, Calinski-Harabasz, smallest share and the degenerate flag.
 
-    Two aggregations per cluster; the pairwise part works on the k centroids.
+    Two aggregations per cluster; what remains is arithmetic on the k centroids.
     """
     cols = [f"z_{c}" for c in features]
-    centres = agg(clustered, {"n": "count(*)", **{f"c_{c}": f"avg({s.name(c)})" for c in cols}}, ["cluster"])
+    means = session.reuse(agg(clustered, {"n": "count(*)", **{f"c_{c}": f"avg({s.name(c)})" for c in cols}}, ["cluster"]))
+    rows = means.orderBy("cluster").collect()
+    centre = np.array([[r[f"c_{c}"] for c in cols] for r in rows])
+    n, k = np.array([r["n"] for r in rows], dtype="float64"), len(rows)
     squared = s.plus(f"({s.name(c)} - {s.name('c_' + c)}) * ({s.name(c)} - {s.name('c_' + c)})" for c in cols)
-    inside = agg(clustered.join(F.broadcast(centres), "cluster"), {
-        "within": f"sum({squared})", "scatter": f"avg(sqrt({squared}))",
-    }, ["cluster"])
-    rows = session.reuse(centres.join(inside, "cluster"))
-    whole = agg(rows, {"total": "sum(n)", "k": "count(*)", "inertia": "sum(within)", "smallest": "min(n)",
-                       **{f"g_{c}": f"sum(n * {s.name('c_' + c)}) / sum(n)" for c in cols}})
-    between = s.plus(f"({s.name('c_' + c)} - {s.name('g_' + c)}) * ({s.name('c_' + c)} - {s.name('g_' + c)})" for c in cols)
-    spread = agg(beside(rows, whole), {"between": f"sum(n * {between})"})
-    other = rows.selectExpr("cluster AS other", "scatter AS other_scatter", *[f"{s.name('c_' + c)} AS {s.name('o_' + c)}" for c in cols])
-    apart = "sqrt(" + s.plus(f"({s.name('c_' + c)} - {s.name('o_' + c)}) * ({s.name('c_' + c)} - {s.name('o_' + c)})" for c in cols) + ")"
-    # k centroids against k centroids
-    worst = agg(rows.join(F.broadcast(other), F.expr("cluster <> other")), {
-        "ratio": f"max({s.divide('scatter + other_scatter', apart)})"}, ["cluster"])
-    davies = agg(worst, {"davies_bouldin": "avg(ratio)"})
-    return beside(beside(whole, spread), davies).selectExpr(
-        "k", "total AS n_rows", "inertia", "davies_bouldin",
-        f"{s.divide('between / (k - 1)', 'inertia / (total - k)')} AS calinski_harabasz",
-        "smallest / total * 100 AS smallest_share_pct",
-        f"smallest / total * 100 < {DEGENERATE_BELOW_PCT} AS is_degenerate",
-    )
+    away = clustered.select("cluster", *cols).join(F.broadcast(means), "cluster").selectExpr("cluster", f"{squared} AS squared")
+    inside = agg(away, {"within": "sum(squared)", "scatter": "avg(sqrt(squared))"}, ["cluster"]).orderBy("cluster").collect()
+    means.unpersist()
+    within, scatter = sum(r["within"] for r in inside), np.array([r["scatter"] for r in inside])
+    between = float((n * ((centre - (n[:, None] * centre).sum(axis=0) / n.sum()) ** 2).sum(axis=1)).sum())
+    davies = calinski = None
+    if k > 1:
+        apart = np.sqrt(((centre[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2))
+        np.fill_diagonal(apart, np.inf)
+        davies = float(((scatter[:, None] + scatter[None, :]) / apart).max(axis=1).mean())
+        calinski = float(between / (k - 1) / (within / (n.sum() - k))) if within > 0 else None
+    share = float(n.min() / n.sum() * 100)
+    row = Row(k, int(n.sum()), float(within), davies, calinski, share, share < DEGENERATE_BELOW_PCT)
+    return clustered.sparkSession.createDataFrame([row], METRIC_SCHEMA)
 
 
 def stratified_sample(clustered: DataFrame, size: int, seed: int = 42, key: str = v.ID) -> DataFrame:
@@ -303,21 +400,19 @@ class Sweep:
 
 def evaluate(prepared: Prepared, config: Config = Config(), data: DataFrame | None = None) -> Sweep:
     """Score each K; a K whose silhouette is undefined is left out, never given a value."""
-    data = vectors(prepared) if data is None else data
-    scores, models = [], {}
-    for k in range(config.k_min, config.k_max + 1):
-        if k >= prepared.n_rows:
-            continue
-        model = fit(data, k, config)
-        clustered = assign(model, data)
+    data = matrix_of(prepared) if data is None else data
+    models = fit_many(data, prepared.features, [k for k in range(config.k_min, config.k_max + 1) if k < prepared.n_rows],
+                      config, prepared.key)
+    scores = []
+    for k, model in models.items():
+        clustered = session.reuse(assign(model, data))
         sample = session.reuse(stratified_sample(clustered, config.silhouette_sample, config.seed, prepared.key))
         seen = silhouette(sample, prepared.features).first()
         sample.unpersist()
-        if seen["silhouette"] is None:
-            continue
-        row = cluster_metrics(clustered, prepared.features).first().asDict()
-        scores.append({**row, "k": k, "scaler": config.scaler, **seen.asDict()})
-        models[k] = model
+        if seen["silhouette"] is not None:
+            row = cluster_metrics(clustered, prepared.features).first().asDict()
+            scores.append({**row, "k": k, "scaler": config.scaler, **seen.asDict()})
+        clustered.unpersist()
     if not scores:
         k = config.k_min
         return Sweep((), k, k, k, k, "No number of segments could be scored on this selection.", {})
@@ -339,7 +434,7 @@ def compare_scalers(df: DataFrame, config: Config = Config(), key: str = v.ID) -
     for name in SCALERS:
         scoped = replace(config, scaler=name)
         prepared = prepare(df, scoped, key)
-        data = vectors(prepared)
+        data = matrix_of(prepared)
         runs[name] = (prepared, data, evaluate(prepared, scoped, data))
 
     def at_recommended(name: str) -> float:
@@ -480,7 +575,7 @@ def run_segmentation(df: DataFrame, config: Config = Config(), k: int | None = N
             scores = scaler_table(runs) if any(r[2].scores for r in runs.values()) else None
         else:
             prepared = prepare(df, config, key)
-            data = vectors(prepared)
+            data = matrix_of(prepared)
             sweep = evaluate(prepared, config, data)
             scores = sweep.frame(spark) if sweep.scores else None
     except ValueError as problem:
@@ -488,7 +583,7 @@ def run_segmentation(df: DataFrame, config: Config = Config(), k: int | None = N
     if not sweep.scores:
         return {"status": eda.status(spark, "segmentation", n, MIN_ROWS, sweep.rationale)}
     k = max(2, min(k or sweep.recommended_k, prepared.n_rows - 1))
-    model = sweep.models.get(k) or fit(data, k, config)
+    model = sweep.models.get(k) or fit_many(data, prepared.features, [k], config, key)[k]
     clustered = assign(model, data)
     raw = clustered.selectExpr(s.name(key), "cluster", *[f"{s.name('raw_' + c)} AS {s.name(c)}" for c in prepared.features])
     with_target = raw.join(df.select(key, target), key, "left") if target and target in df.columns else raw
