@@ -37,8 +37,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def bias_corrected(n: str, skew: str, kurtosis: str) -> tuple[str, str]:
     """Sample-adjusted skewness and excess kurtosis from their population versions."""
     g1 = f"IF({n} > 2, coalesce(nanvl({skew}, 0D), 0D) * sqrt(double({n}) * ({n} - 1)) / ({n} - 2), 0D)"
-    g2 = (f"IF({n} > 3, (double({n}) - 1) / ((double({n}) - 2) * ({n} - 3)) * (({n} + 1) * "
-          f"coalesce(nanvl({kurtosis}, 0D), 0D) + 6), 0D)")
+    flat = f"(({kurtosis}) IS NULL OR isnan({kurtosis}))"  # no variance: reported as 0
+    g2 = (f"IF({n} > 3 AND NOT {flat}, (double({n}) - 1) / ((double({n}) - 2) * ({n} - 3)) * (({n} + 1) * {kurtosis} + 6), 0D)")
     return g1, g2
 
 

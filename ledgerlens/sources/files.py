@@ -60,8 +60,9 @@ def recognised(names) -> int:
 
 
 def _first_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    lines = spark.read.option("encoding", encoding).text(path).limit(HEADER_LINES).collect()
-    return [r[0].lstrip("﻿") for r in lines]
+    text = F.decode(F.col("value").cast("binary"), encoding)  # the text source keeps the raw bytes
+    lines = spark.read.text(path).limit(HEADER_LINES).select(text).collect()
+    return [r[0].lstrip("\ufeff") for r in lines]
 
 
 def split_header(line: str) -> list[str]:
