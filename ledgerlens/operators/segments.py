@@ -276,31 +276,41 @@ METRIC_SCHEMA = ("k long, n_rows long, inertia double, davies_bouldin double, ca
                  "smallest_share_pct double, is_degenerate boolean")
 
 
-def cluster_metrics(clustered: DataFrame, features: Sequence[str]) -> DataFrame:
-    """One row: inertia, Davies-Bouldin, Calinski-Harabasz, smallest share and the degenerate flag.
+def partition_metrics(labelled: DataFrame, features: Sequence[str]) -> list[Row]:
+    """Scores of every partition in a (partition, cluster, z...) table.
 
-    Two aggregations per cluster; what remains is arithmetic on the k centroids.
+    Two aggregations in all, whatever the number of partitions; what remains is
+    arithmetic on their centroids.
     """
     cols = [f"z_{c}" for c in features]
-    means = session.reuse(agg(clustered, {"n": "count(*)", **{f"c_{c}": f"avg({s.name(c)})" for c in cols}}, ["cluster"]))
-    rows = means.orderBy("cluster").collect()
-    centre = np.array([[r[f"c_{c}"] for c in cols] for r in rows])
-    n, k = np.array([r["n"] for r in rows], dtype="float64"), len(rows)
+    keys = ["partition", "cluster"]
+    means = session.reuse(agg(labelled, {"n": "count(*)", **{f"c_{c}": f"avg({s.name(c)})" for c in cols}}, keys))
     squared = s.plus(f"({s.name(c)} - {s.name('c_' + c)}) * ({s.name(c)} - {s.name('c_' + c)})" for c in cols)
-    away = clustered.select("cluster", *cols).join(F.broadcast(means), "cluster").selectExpr("cluster", f"{squared} AS squared")
-    inside = agg(away, {"within": "sum(squared)", "scatter": "avg(sqrt(squared))"}, ["cluster"]).orderBy("cluster").collect()
+    away = labelled.select(*keys, *cols).join(F.broadcast(means), keys).selectExpr(*keys, f"{squared} AS squared")
+    inside = agg(away, {"within": "sum(squared)", "scatter": "avg(sqrt(squared))"}, keys)
+    table = means.join(inside, keys).toPandas().sort_values(keys)
     means.unpersist()
-    within, scatter = sum(r["within"] for r in inside), np.array([r["scatter"] for r in inside])
-    between = float((n * ((centre - (n[:, None] * centre).sum(axis=0) / n.sum()) ** 2).sum(axis=1)).sum())
-    davies = calinski = None
-    if k > 1:
-        apart = np.sqrt(((centre[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2))
-        np.fill_diagonal(apart, np.inf)
-        davies = float(((scatter[:, None] + scatter[None, :]) / apart).max(axis=1).mean())
-        calinski = float(between / (k - 1) / (within / (n.sum() - k))) if within > 0 else None
-    share = float(n.min() / n.sum() * 100)
-    row = Row(k, int(n.sum()), float(within), davies, calinski, share, share < DEGENERATE_BELOW_PCT)
-    return clustered.sparkSession.createDataFrame([row], METRIC_SCHEMA)
+    out = []
+    for _, part in table.groupby("partition", sort=True):
+        centre, n = part[[f"c_{c}" for c in cols]].to_numpy(), part["n"].to_numpy(dtype="float64")
+        k, total, within, scatter = len(part), n.sum(), float(part["within"].sum()), part["scatter"].to_numpy()
+        davies = calinski = None
+        if k > 1:
+            apart = np.sqrt(((centre[:, None, :] - centre[None, :, :]) ** 2).sum(axis=2))
+            np.fill_diagonal(apart, np.inf)
+            davies = float(((scatter[:, None] + scatter[None, :]) / apart).max(axis=1).mean())
+            between = float((n * ((centre - (n[:, None] * centre).sum(axis=0) / total) ** 2).sum(axis=1)).sum())
+            calinski = float(between / (k - 1) / (within / (total - k))) if within > 0 else None
+        share = float(n.min() / total * 100)
+        out.append(Row(k=k, n_rows=int(total), inertia=within, davies_bouldin=davies, calinski_harabasz=calinski,
+                       smallest_share_pct=share, is_degenerate=share < DEGENERATE_BELOW_PCT))
+    return out
+
+
+def cluster_metrics(clustered: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row: inertia, Davies-Bouldin, Calinski-Harabasz, smallest share and the degenerate flag."""
+    rows = partition_metrics(clustered.withColumn("partition", F.lit(0)), features)
+    return clustered.sparkSession.createDataFrame(rows, METRIC_SCHEMA)
 
 
 def stratified_sample(clustered: DataFrame, size: int, seed: int = 42, key: str = v.ID) -> DataFrame:
@@ -403,16 +413,20 @@ def evaluate(prepared: Prepared, config: Config = Config(), data: DataFrame | No
     data = matrix_of(prepared) if data is None else data
     models = fit_many(data, prepared.features, [k for k in range(config.k_min, config.k_max + 1) if k < prepared.n_rows],
                       config, prepared.key)
-    scores = []
+    clusters = data
     for k, model in models.items():
-        clustered = session.reuse(assign(model, data))
-        sample = session.reuse(stratified_sample(clustered, config.silhouette_sample, config.seed, prepared.key))
-        seen = silhouette(sample, prepared.features).first()
-        sample.unpersist()
+        clusters = assign(model, clusters).withColumnRenamed("cluster", f"c{k}")
+    clusters = session.reuse(clusters)
+    cols = [f"z_{c}" for c in prepared.features]
+    every = unpivot(clusters, [{"partition": str(k), "cluster": f"c{k}"} for k in models], keep=cols)
+    metrics = dict(zip(sorted(models), partition_metrics(every, prepared.features)))
+    scores = []
+    for k in models:
+        clustered = clusters.select(prepared.key, F.col(f"c{k}").alias("cluster"), *cols)
+        seen = silhouette(stratified_sample(clustered, config.silhouette_sample, config.seed, prepared.key), prepared.features).first()
         if seen["silhouette"] is not None:
-            row = cluster_metrics(clustered, prepared.features).first().asDict()
-            scores.append({**row, "k": k, "scaler": config.scaler, **seen.asDict()})
-        clustered.unpersist()
+            scores.append({**metrics[k].asDict(), "k": k, "scaler": config.scaler, **seen.asDict()})
+    clusters.unpersist()
     if not scores:
         k = config.k_min
         return Sweep((), k, k, k, k, "No number of segments could be scored on this selection.", {})

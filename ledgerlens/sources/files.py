@@ -96,7 +96,7 @@ def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     # the banner and header lines are recognised by content: a file has no global row order in Spark
     first = schema[0].name
     banner = [split_header(line)[0] for line in lines[:at] if line]
-    skip = [names[0], "﻿" + names[0], *banner]
+    skip = [names[0], "\ufeff" + names[0], *banner]
     data = raw.filter(F.col(first).isNull() | ~F.trim(F.col(first)).isin(skip))
     if at > 0:  # a merged banner can also leave rows that are empty in every column
         data = data.na.drop("all")
