@@ -147,7 +147,7 @@ def scale(raw: DataFrame, features: Sequence[str], scaler: str) -> DataFrame:
     })
 
 
-SMALL_PARTITION_BYTES = 16 << 20
+SMALL_PARTITION_BYTES = 256 << 10
 INIT_ROWS = 4_096
 
 
@@ -172,32 +172,61 @@ class Model:
         return len(self.centres)
 
 
-def _plus_plus(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k starting points, each drawn with probability proportional to its squared distance so far."""
-    chosen = [points[rng.integers(len(points))]]
+def _plus_plus(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k starting points, each drawn with probability proportional to weight and squared distance so far."""
+    chosen = [points[rng.choice(len(points), p=weight / weight.sum())]]
     gap = ((points - chosen[0]) ** 2).sum(axis=1)
     while len(chosen) < k:
-        total = gap.sum()
-        pick = rng.choice(len(points), p=gap / total) if total > 0 else rng.integers(len(points))
+        mass = weight * gap
+        pick = rng.choice(len(points), p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(len(points))
         chosen.append(points[pick])
         gap = np.minimum(gap, ((points - chosen[-1]) ** 2).sum(axis=1))
     return np.array(chosen)
 
 
-def _warm_start(points: np.ndarray, k: int, rng: np.random.Generator, steps: int = 50) -> np.ndarray:
-    """Starting centroids: k-means++ and a few refinements on the bounded starting sample."""
-    centres = _plus_plus(points, k, rng)
+def _warm_start(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, steps: int = 100) -> np.ndarray:
+    """Starting centroids: k-means++ and refinements on the bounded, weighted starting rows."""
+    centres = _plus_plus(points, weight, k, rng)
     for _ in range(steps):
-        near = (((points ** 2).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres ** 2).sum(axis=1))).argmin(axis=1)
-        n = np.bincount(near, minlength=k)
-        sums = np.stack([np.bincount(near, weights=points[:, j], minlength=k) for j in range(points.shape[1])], axis=1)
-        moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        near = ((points ** 2).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres ** 2).sum(axis=1)).argmin(axis=1)
+        n = np.bincount(near, weights=weight, minlength=k)
+        sums = np.stack([np.bincount(near, weights=weight * points[:, j], minlength=k) for j in range(points.shape[1])], axis=1)
+        moved = np.where(n[:, None] > 0, sums / np.where(n > 0, n, 1)[:, None], centres)
         if np.array_equal(moved, centres):
             break
         centres = moved
     return centres
 
 
+def _starting_rows(data: DataFrame, cols: Sequence[str], config: Config, key: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """(points, weights, mean variance): a bounded weighted sample that keeps the far rows.
+
+    Half of the chance is uniform and half grows with the squared distance from
+    the mean (a lightweight coreset), so a small remote group is not missed.
+    The draw is a race of seeded hashes and therefore repeatable.
+    """
+    m = agg(data, {"n": "count(*)", **{f"a_{c}": f"avg({s.name(c)})" for c in cols}, **{f"v_{c}": f"var_pop({s.name(c)})" for c in cols}}).first()
+    total = sum(m[f"v_{c}"] or 0.0 for c in cols)
+    away = s.plus(f"({s.name(c)} - {s.number(m[f'a_{c}'])}) * ({s.name(c)} - {s.number(m[f'a_{c}'])})" for c in cols)
+    chance = f"(0.5D + 0.5D * {away} / {s.number(total or 1.0)}) / {m['n']}"
+    unit = f"(xxhash64({config.seed}, {s.name(key)}) / 18446744073709551616D + 0.5D)"
+    drawn = s.project(data.select(key, *cols), {"__q": chance, "__u": unit}).selectExpr("*", "-ln(greatest(__u, 1e-300D)) / __q AS __race")
+    rows = drawn.orderBy("__race", key).limit(INIT_ROWS).select("__q", *cols).toPandas()
+    weight = 1.0 / np.minimum(1.0, INIT_ROWS * rows["__q"].to_numpy()) if m["n"] > INIT_ROWS else np.ones(len(rows))
+    return rows[list(cols)].to_numpy(dtype="float64"), weight, total / len(cols)
+
+
+def _distinct_starts(runs: list[tuple[int, int]], centres: dict, settled: float) -> list[tuple[int, int]]:
+    """Runs of one K whose refined starts coincide would take the same path, so one of them is kept."""
+    kept: list[tuple[int, int]] = []
+    for r in runs:
+        own = centres[r][np.lexsort(centres[r].T)]
+        seen = (centres[q][np.lexsort(centres[q].T)] for q in kept if q[0] == r[0])
+        if not any(((own - other) ** 2).sum() <= settled for other in seen):
+            kept.append(r)
+    return kept
+
+
 def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config: Config = Config(),
              key: str = v.ID) -> dict[int, Model]:
     """The best of ``n_init`` K-Means runs for every K, all runs sharing each pass over the data.
@@ -208,12 +237,11 @@ def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config
     one partial sum per run and cluster, and a grouped sum merges the tasks.
     """
     cols = [f"z_{c}" for c in features]
-    start = data.select(key, *cols).orderBy(F.xxhash64(F.lit(config.seed), F.col(key)), key).limit(INIT_ROWS)
-    points = start.select(*cols).toPandas().to_numpy(dtype="float64")
+    points, weight, variance = _starting_rows(data, cols, config, key)
+    settled = 1e-4 * variance
     runs = [(k, i) for k in ks for i in range(config.n_init)]
-    centres = {r: _warm_start(points, r[0], np.random.default_rng([config.seed, *r])) for r in runs}
-    spread = agg(data, {c: f"var_pop({s.name(c)})" for c in cols}).first()
-    settled = 1e-4 * sum(x or 0.0 for x in spread) / len(cols)
+    centres = {r: _warm_start(points, weight, r[0], np.random.default_rng([config.seed, *r])) for r in runs}
+    runs = _distinct_starts(runs, centres, settled)
     cost, sizes, steps = {}, {}, dict.fromkeys(runs, 0)
     active = list(runs)
     schema = "run int, cluster int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(len(cols)))
