@@ -392,7 +392,10 @@ def silhouette(sample: DataFrame, features: Sequence[str]) -> DataFrame:
             for start in range(0, len(x), 256):  # keeps the distance block small
                 part = x[start:start + 256]
                 own = np.searchsorted(ids, batch["cluster"].to_numpy()[start:start + 256])
-                gaps = np.sqrt(((part[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+                squares = np.zeros((len(part), len(p)))
+                for j in range(part.shape[1]):
+                    squares += (part[:, j, None] - p[None, :, j]) ** 2
+                gaps = np.sqrt(squares)
                 sums = gaps @ member
                 rows = np.arange(len(part))
                 a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
@@ -403,8 +406,9 @@ def silhouette(sample: DataFrame, features: Sequence[str]) -> DataFrame:
                 out[start:start + 256] = np.where((sizes[own] > 1) & (widest > 0), (b - a) / np.where(widest > 0, widest, 1), 0.0)
             yield pd.DataFrame({"value": out})
 
-    return agg(sample.select("cluster", *cols).mapInPandas(score, "value double"), {
-        "silhouette": "avg(value)", "sample_rows": "count(*)"})
+    tasks = max(1, min(sample.sparkSession.sparkContext.defaultParallelism, len(block) // 256))
+    spread = sample.sparkSession.createDataFrame(block).repartition(tasks)
+    return agg(spread.mapInPandas(score, "value double"), {"silhouette": "avg(value)", "sample_rows": "count(*)"})
 
 
 def elbow(scores: Sequence[tuple[int, float]]) -> int:
