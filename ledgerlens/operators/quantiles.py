@@ -30,7 +30,7 @@ ACCURACY = 10_000
 SMALL = 1_000          # at most this many values: the bracket is the whole range
 WIDE_MARGIN = 0.005    # bracket half-width while n is moderate
 MAX_BROADCAST_GROUPS = 100_000
-SMALL_BYTES = 4 << 20  # planned input size up to which one aggregation buffer is fine (and faster)
+SMALL_BYTES = 1 << 20  # planned input size up to which one aggregation buffer is fine (and faster)
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
