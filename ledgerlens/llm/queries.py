@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import quality, simhash
+from ledgerlens.llm import fm_index, quality, simhash
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_fm_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = fm_index.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.classes(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,6 +28,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_fm_index": op5_fm_index,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
 }
