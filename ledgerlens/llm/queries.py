@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import fm_index, quality, simhash
+import corpus_pipeline
+from ledgerlens.llm import bpe, fm_index, pii, quality, simhash
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents")).drop("found")
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    found = bpe.encode(table(spark, folder, "documents"), corpus_pipeline.RANKS, keep=["doc_id"], outputs="digests")
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op5_fm_index(spark: SparkSession, folder: str) -> DataFrame:
     found = fm_index.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -28,8 +38,11 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
+    "op4_bpe": op4_bpe,
     "op5_fm_index": op5_fm_index,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
