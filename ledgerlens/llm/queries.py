@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import bpe, fm_index, pii, quality, simhash
+from ledgerlens.llm import bpe, fm_index, pii, quality, ring, simhash
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents")).drop("found")
 
 
+def op2_ring(spark: SparkSession, folder: str) -> DataFrame:
+    found = ring.assign(table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     found = bpe.encode(table(spark, folder, "documents"), corpus_pipeline.RANKS, keep=["doc_id"], outputs="digests")
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -39,6 +44,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_ring": op2_ring,
     "op4_bpe": op4_bpe,
     "op5_fm_index": op5_fm_index,
     "op6_simhash": op6_simhash,
