@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import bpe, fm_index, html, pii, quality, ring, simhash
+from ledgerlens.llm import bpe, fm_index, html, lm, pii, quality, ring, simhash
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+def op8_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     found = html.main_text(table(spark, folder, "pages"), ["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op5_fm_index": op5_fm_index,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_lm": op8_lm,
     "op9_html": op9_html,
     "pipeline": corpus_pipeline.run,
 }
