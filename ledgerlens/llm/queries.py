@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import bpe, fm_index, html, lm, pii, quality, ring, simhash
+from ledgerlens.llm import bpe, fm_index, html, lm, paragraphs, pii, quality, ring, simhash
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,13 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    found = paragraphs.repeats(table(spark, folder, "documents"))
+    places = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string")))
+    chars = F.aggregate("spans", F.lit(0), lambda total, s: total + s["stop"] - s["start"]).cast("long")
+    return found.select("doc_id", "keeper_doc_id", "kind", "removed", chars.alias("n_chars"), F.concat_ws(",", places).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_ring": op2_ring,
@@ -60,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_lm": op8_lm,
     "op9_html": op9_html,
+    "op10_paragraphs": op10_paragraphs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
