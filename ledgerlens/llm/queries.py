@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import bpe, fm_index, html, lm, paragraphs, pii, quality, ring, simhash
+from ledgerlens.llm import bpe, fm_index, html, lm, paragraphs, pii, quality, ring, simhash, warc
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,12 @@ def op2_ring(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.resolve(warc.captures_of(table(spark, folder, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.withColumn("headers", F.when(F.col("headers").isNotNull(), F.concat_ws(";", lines)))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     found = bpe.encode(table(spark, folder, "documents"), corpus_pipeline.RANKS, keep=["doc_id"], outputs="digests")
     return found.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -61,6 +67,7 @@ def op10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_ring": op2_ring,
+    "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_fm_index": op5_fm_index,
     "op6_simhash": op6_simhash,
@@ -70,4 +77,6 @@ QUERIES: dict[str, Query] = {
     "op10_paragraphs": op10_paragraphs,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": warc.RESOLVE_SQL,
+}
