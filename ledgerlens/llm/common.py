@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -31,6 +32,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself if every run reads its rows in one order, else a written copy.
+
+    Operators that read their input twice know a row by its place in the
+    partitions.  Scans and row-wise steps keep that place; what comes out of a
+    shuffle, a limit or a Python step may come in another order the next time.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return written(df) if re.search("Exchange|Limit|Sample|Python|Pandas|Arrow|Join|Aggregate|InMemory", plan) else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerlens.llm.common import steady
+
 WINDOW = 13
 SPAN = "array<struct<start: int, stop: int>>"
 # Bytes of words keep their value (upper case lowered), all others become a space.
@@ -293,7 +295,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     columns = [F.col(f"`{c}`") for c in docs.columns]
     held = docs.select(F.struct(*columns).alias("row"), F.col(f"`{text}`").alias("scanned"))
     if n_blocks > 1:
-        held = held.withColumn("rid", F.monotonically_increasing_id())
+        held = steady(held).withColumn("rid", F.monotonically_increasing_id())
     found = []
     for b in range(n_blocks):
         own = phrases if n_blocks == 1 else phrases.where(F.pmod(F.xxhash64("phrase", "item"), F.lit(n_blocks)) == b)

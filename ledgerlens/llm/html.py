@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import steady, written
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,7 +204,7 @@ def main_text(pages: DataFrame, keep: list[str], url: str = "url", html: str = "
     A subtree is template on a host where it occurs on at least ``min_pages``
     pages and ``min_share`` of all.
     """
-    held = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("rid"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    held = steady(pages).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("rid"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
     seen = written(held.select("rid", "host", "html").mapInArrow(_candidates, "rid long, host string, subtree long"))
     sizes = held.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     often = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)

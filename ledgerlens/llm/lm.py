@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import steady, written
 
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 HELD_OUT, FOLDS = 2, 7
@@ -367,7 +367,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes:
     training tokens of a context in one shard.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
-    held = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), (fold == HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("rid"))
+    held = steady(docs).select(F.col(key).alias("id"), F.col(text).alias("text"), (fold == HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("rid"))
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, math.ceil(size / shard_bytes))
     sent = written(held.select("rid", F.expr("NOT held_out").alias("train"), "text").mapInArrow(_tokenise(shards), MESSAGE))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import components, written
+from ledgerlens.llm.common import components, steady, written
 
 MIN_WORDS = 50
 WINDOW, REACH = 30, 21
@@ -283,7 +283,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
 
     A keeper has rows with itself, with ``removed`` false.  Spans are code points, stop exclusive, merged.
     """
-    held = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    held = steady(docs).select(F.col(key).alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
     found = occurrences(held.select("rid", "text"), **options)
     pairs = found.groupBy("rid", "keeper", "kind").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     pairs = pairs.mapInArrow(_merge, T.StructType([*pairs.schema.fields[:-1], T.StructField("spans", pairs.schema["spans"].dataType)]))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import components, written
+from ledgerlens.llm.common import components, steady, written
 
 SEED = 42
 SHINGLE = 3
@@ -247,6 +247,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bou
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """One document of each class, unchanged: the first in the order of the input's partitions."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    held = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    held = steady(docs).select(F.struct(*columns).alias("row"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
     kept = classes(held, "rid", "text").where("rid = component_id").select("rid")
     return held.select("rid", "row").join(kept, "rid", "left_semi").select("row.*")
