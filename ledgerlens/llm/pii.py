@@ -35,7 +35,7 @@ DIGIT = re.compile(r"[0-9]")
 PROPOSALS = {
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), 0.9, ("iban", "account", "bank", "konto", "compte", "cuenta"), ()),
     "ssn": (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.4, ("ssn", "social security"), ("invoice", "order", "part no", "serial")),
-    "local_phone": (re.compile(r"(?<![0-9+) -])(?:\([0-9]{3}\)\x20|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])"), 0.4,
+    "local_phone": (re.compile(r"(?<![0-9])(?:\([0-9]{3}\)\x20|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])"), 0.4,
                     ("phone", "tel", "call", "mobile", "fax", "cell"), ("isbn", "version", "order", "serial")),
     "secret": (re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]{24,128}(?![A-Za-z0-9_])"), 0.2,
                ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "credential"), ("sha256", "md5", "checksum", "commit", "http")),
