@@ -40,7 +40,9 @@ def steady(df: DataFrame) -> DataFrame:
     shuffle, a limit or a Python step may come in another order the next time.
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return written(df) if re.search("Exchange|Limit|Sample|Python|Pandas|Arrow|Join|Aggregate|InMemory", plan) else df
+    steps = re.findall(r"^[\s:+*()\d-]*([A-Za-z]+)", plan, re.M)
+    row_wise = {"Scan", "FileScan", "BatchScan", "LocalTableScan", "Range", "Project", "Filter", "ColumnarToRow", "WholeStageCodegen", "InputAdapter", "Union", "Generate", "Coalesce"}
+    return df if row_wise.issuperset(steps) else written(df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
