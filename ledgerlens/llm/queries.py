@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from ledgerlens.llm import bpe, fm_index, html, lm, paragraphs, pii, quality, ring, simhash, warc
 from ledgerlens.llm.common import table
+from ledgerlens.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,3 @@ QUERIES: dict[str, Query] = {
     "op10_paragraphs": op10_paragraphs,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {
-    "op3_warc": warc.RESOLVE_SQL,
-}
