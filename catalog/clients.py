@@ -74,6 +74,67 @@ def _(spark, d):
     return rounded(typed.selectExpr("bigint(client_id) AS client_id", "int(age) AS age", *RAW[:4]), 4)
 
 
+def _part_files(spark, name: str, lines, heads: list[str]) -> str:
+    """CSV lines (client_id, line) as four files, each below its own first lines."""
+    path = _folder(spark, name)
+    body = lines.selectExpr("int(client_id % 4) AS part", f"{len(heads)} AS seq", "client_id", "line AS value")
+    top = spark.range(4).selectExpr("int(id) AS part", f"posexplode(array({', '.join(map(s.text, heads))})) AS (seq, value)").selectExpr("part", "seq", "0L AS client_id", "value")
+    ordered = body.union(top).repartition("part").sortWithinPartitions("part", "seq", "client_id")
+    ordered.select("part", "value").write.partitionBy("part").text(path)
+    return f"{path}/part=*"
+
+
+LOADED = [*RAW[:2], "pay_amt_m1"]
+HEADS = {"client_id": "ID", "age": "AGE", "credit_limit": "LIMIT_BAL", "bill_amt_m1": "BILL_AMT1", "pay_amt_m1": "PAY_AMT1"}
+
+
+def _lines(spark, d, before: str = ""):
+    cells = ", ',', ".join(f"coalesce(string({c}), '')" for c in HEADS)
+    return raw(spark, d).selectExpr("client_id", f"concat({before}{cells}) AS line")
+
+
+def _loaded(data):
+    typed = cleaning.convert_types(files.normalise_columns(data)[0])
+    return rounded(typed.selectExpr("bigint(client_id) AS client_id", "int(age) AS age", *LOADED), 4)
+
+
+@query("banner_file_load", on_clients(f"SELECT client_id, age, {Rs(LOADED, 4)} FROM clients"))
+def _(spark, d):
+    """A banner whose first cell is also the id of a client: the client stays, the banner goes."""
+    path = _part_files(spark, "banner", _lines(spark, d), ["1,title,,,", ",".join(HEADS.values())])
+    return _loaded(files.read_csv(spark, path)[0])
+
+
+@query("index_column_load", on_clients(f"SELECT client_id, age, {Rs(LOADED, 4)}, client_id * 10 AS column_1 FROM clients"))
+def _(spark, d):
+    """A first column without a name, as written with a row index."""
+    path = _part_files(spark, "index", _lines(spark, d, "client_id * 10, ',', "), ["," + ",".join(HEADS.values())])
+    data = files.read_csv(spark, path)[0]
+    number = data.selectExpr("bigint(ID) AS client_id", "bigint(column_1) AS column_1")
+    return _loaded(data.drop("column_1")).join(number, "client_id")
+
+
+NOTE = "concat('5 € “', client_id, IF(client_id % 10 = 0, '”\n\"é\"', '”'))"
+
+
+@query("latin_file_load", on_clients("""SELECT client_id, '5 € “' || client_id || CASE WHEN client_id % 10 = 0 THEN '”' || chr(10) || '"é"' ELSE '”' END AS note,
+    'windows-1252' AS encoding, true AS multi_line FROM clients"""))
+def _(spark, d):
+    """Windows text with quoted line breaks and doubled quotes."""
+    path = _folder(spark, "windows")
+    notes = raw(spark, d).selectExpr("client_id AS ID", f"{NOTE} AS note")
+    stored = notes.withColumn("note", F.translate("note", files.TO_1252, files.FROM_1252))  # the writer knows ISO-8859-1 only
+    stored.write.options(encoding="ISO-8859-1", escape='"').csv(path, header=True)
+    data, how = files.read_csv(spark, path)
+    return data.selectExpr("bigint(ID) AS client_id", "note").withColumn("encoding", F.lit(how["encoding"])).withColumn("multi_line", F.lit(how["multi_line"]))
+
+
+@query("raw_load_checks", """SELECT 'parquet' AS source_format, count(*) AS n_rows, 0 AS columns_recognised, false AS looks_expected FROM customer""")
+def _(spark, d):
+    data, meta = files.load_raw(spark, f"{d}/customer.parquet")
+    return meta.select("source_format", "columns_recognised", "looks_expected").crossJoin(data.agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 @query("header_normalisation", on_clients(f"SELECT client_id, age, {Rs(RAW[:3], 4)}, CAST(education_code AS BIGINT) AS region_code FROM clients"))
 def _(spark, d):
     source = raw(spark, d).selectExpr("client_id AS `ID`", "age AS ` AGE `", "credit_limit AS `LIMIT_BAL`",
@@ -260,9 +321,9 @@ FMT = "format('{:,}', CAST(round_even(abs({x}), 0) AS BIGINT))"
 @query("display_formats", f"""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || 'NT$' || {FMT.replace('{x}', 'c_acctbal')} AS as_currency,
     format('{{:.2f}}%', c_acctbal) AS as_percentage,
     CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || 'NT$' || CASE WHEN abs(c_acctbal) >= 1000 THEN format('{{:.2f}}', abs(c_acctbal) / 1000) || 'K'
-      ELSE {FMT.replace('{x}', 'c_acctbal')} END AS as_compact FROM customer WHERE abs(c_acctbal * 100 % 10 - 5) > 0.5""")
+      ELSE {FMT.replace('{x}', 'c_acctbal')} END AS as_compact FROM customer""")
 def _(spark, d):
-    rows = table(spark, d, "customer").filter("abs(c_acctbal * 100 % 10 - 5) > 0.5")
+    rows = table(spark, d, "customer")
     return rows.selectExpr("c_custkey", f"{text.currency('c_acctbal')} AS as_currency", f"{text.decimal('c_acctbal', 2, '%')} AS as_percentage",
                            f"{text.currency_compact('c_acctbal')} AS as_compact")
 
@@ -401,13 +462,12 @@ def _(spark, d):
 
 @query("trends", on_panel(f"""SELECT measure, count(*) AS n_periods, {R('arg_min(value, month_order)', 'first_value', 2)},
     {R('arg_max(value, month_order)', 'last_value', 2)}, {R('arg_max(value, month_order) - arg_min(value, month_order)', 'total_change', 2)},
-    {R('regr_slope(value, month_order)', 'slope', 2)}, arg_max(month_label, value) AS peak, arg_min(month_label, value) AS trough,
+    {R('regr_slope(value, month_order)', 'slope', 2)}, first(month_label ORDER BY value DESC, month_order) AS peak, first(month_label ORDER BY value, month_order) AS trough,
     CASE WHEN abs((arg_max(value, month_order) - arg_min(value, month_order)) / arg_min(value, month_order)) * 100 < 2 THEN 'flat'
       WHEN arg_max(value, month_order) > arg_min(value, month_order) THEN 'increasing' ELSE 'decreasing' END AS direction
-    FROM points WHERE measure <> 'active_accounts' GROUP BY measure""", POINTS))
+    FROM points GROUP BY measure""", POINTS))
 def _(spark, d):
-    measures = [m for m in POINT_SQL if m != "active_accounts"]
-    t = trends.trends(long(spark, d), measures)
+    t = trends.trends(long(spark, d), list(POINT_SQL))
     return rounded(t.select("measure", "n_periods", "first_value", "last_value", "total_change", "slope", "peak", "trough", "direction"), 2)
 
 

@@ -277,6 +277,30 @@ def test_encodings_and_byte_order_marks(spark, tmp_path):
     assert data.columns[0] == "ID" and data.count() == 1
 
 
+def test_rows_are_skipped_by_place_and_never_by_content(spark, tmp_path):
+    body = "1,20000,2,2,24,2,3913,0,1\n2,120000,2,2,26,-1,2682,1000,0\n"
+    for name, banner in (("same.csv", "1,title,,,,,,,"), ("blank.csv", ",X1,X2,X3,X4,X5,X6,X7,Y"), ("narrow.csv", "Clients")):
+        (tmp_path / name).write_text(f"{banner}\n{HEADER}\n{body}")
+        data, meta = files.load_raw(spark, str(tmp_path / name))
+        assert [r["ID"] for r in data.collect()] == ["1", "2"] and meta.first()["header_row"] == 1, name
+        assert data.first()["LIMIT_BAL"] == "20000"
+
+
+def test_an_index_column_keeps_its_place(spark, tmp_path):
+    (tmp_path / "index.csv").write_text(f",{HEADER}\n0,1,20000,2,2,24,2,3913,0,1\n1,2,120000,2,2,26,-1,2682,1000,0\n")
+    data, _ = files.load_raw(spark, str(tmp_path / "index.csv"))
+    assert data.columns[:3] == ["column_1", "ID", "LIMIT_BAL"] and [(r["ID"], r["LIMIT_BAL"]) for r in data.collect()] == [("1", "20000"), ("2", "120000")]
+
+
+def test_quoted_line_breaks_and_windows_text(spark, tmp_path):
+    (tmp_path / "broken.csv").write_text(f'{HEADER},note\n1,2,1,1,30,0,5,5,0,"two\nlines, ""quoted"""\n2,2,1,1,30,0,5,5,0,plain\n')
+    data, meta = files.load_raw(spark, str(tmp_path / "broken.csv"))
+    assert [r["note"] for r in data.orderBy("ID").collect()] == ['two\nlines, "quoted"', "plain"] and meta.first()["multi_line"]
+    (tmp_path / "euro.csv").write_bytes((HEADER + ",note\n1,2,1,1,30,0,5,5,0,5 € “x” é\n").encode("cp1252"))
+    data, meta = files.load_raw(spark, str(tmp_path / "euro.csv"))
+    assert data.first()["note"] == "5 € “x” é" and meta.first()["encoding"] == "windows-1252" and not meta.first()["multi_line"]
+
+
 def test_loading_errors_are_distinct(spark, tmp_path):
     with pytest.raises(files.LoadError, match="does not exist"):
         files.find_dataset(spark, str(tmp_path / "nowhere"))
