@@ -72,8 +72,11 @@ def _(spark, d):
 
 
 @query("silhouette_given_labels", on_features(f"SELECT {R('avg(CASE WHEN a = b THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')}, count(*) AS sample_rows FROM ab",
-    SCALED + f""", pd AS (SELECT p.client_id, p.cluster, q.cluster AS other, sum(sqrt({' + '.join(f'pow(p.{x} - q.{x}, 2)' for x in ZS)})) AS total, count(*) AS n
-      FROM z p CROSS JOIN z q GROUP BY ALL),
+    SCALED + f""", ranked AS (SELECT *, count(*) OVER () AS rows_all, count(*) OVER (PARTITION BY cluster) AS rows_own,
+      row_number() OVER (PARTITION BY cluster ORDER BY md5('42:' || client_id), client_id) AS place FROM z),
+    drawn AS (SELECT * FROM ranked WHERE rows_all <= 5000 OR place <= least(greatest(round_even(5000 * rows_own / rows_all, 0), 2), rows_own)),
+    pd AS (SELECT p.client_id, p.cluster, q.cluster AS other, sum(sqrt({' + '.join(f'pow(p.{x} - q.{x}, 2)' for x in ZS)})) AS total, count(*) AS n
+      FROM drawn p CROSS JOIN drawn q GROUP BY ALL),
     ab AS (SELECT client_id, max(CASE WHEN cluster = other THEN total / (n - 1) END) AS a, min(CASE WHEN cluster <> other THEN total / n END) AS b FROM pd GROUP BY 1)"""))
 def _(spark, d):
     return rounded(segments.silhouette(segments.stratified_sample(labelled(spark, d), 5_000), SEG))

@@ -174,13 +174,15 @@ def matrix(pairs: DataFrame) -> DataFrame:
     return both.unionByName(names.selectExpr("row", "row AS column", "1D AS correlation"))
 
 
-def top_pairs(pairs: DataFrame, limit: int = 10, keep_restatements: bool = False) -> DataFrame:
+def top_pairs(pairs: DataFrame, limit: int | None = None, keep_restatements: bool = False) -> DataFrame:
+    """Pairs by falling strength; all of them unless ``limit`` is given."""
     kept = pairs if keep_restatements else pairs.filter("NOT restates")
-    return kept.orderBy(F.desc(F.abs("correlation")), "left", "right").limit(limit)
+    ordered = kept.orderBy(F.desc(F.abs("correlation")), "left", "right")
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def busiest_columns(pairs: DataFrame, limit: int = 12) -> DataFrame:
+def busiest_columns(pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """Columns with the largest mean absolute correlation (the heat-map pick)."""
     sides = matrix(pairs).filter("row <> column")
-    return agg(sides, {"mean_abs": "avg(abs(correlation))"}, ["row"]).withColumnRenamed("row", "column").orderBy(
-        F.desc("mean_abs"), "column").limit(limit)
+    ordered = agg(sides, {"mean_abs": "avg(abs(correlation))"}, ["row"]).withColumnRenamed("row", "column").orderBy(F.desc("mean_abs"), "column")
+    return ordered if limit is None else ordered.limit(limit)

@@ -25,7 +25,6 @@ from ledgerlens.settings import DEFAULTS, Settings
 MIN_PAIRS = 10
 MIN_ROWS = 50
 MAX_LEVELS = 30
-LIMIT = 25
 # key, protected attributes and bookkeeping flags are never offered as drivers
 EXCLUDED = {
     "client_id", "sex", "sex_code", "marriage", "marriage_code", "is_duplicate_excluding_id", "has_extreme_value",
@@ -188,8 +187,8 @@ def tree_importance(df: DataFrame, target: str, features: Sequence[str], setting
     return _evidence(found, "tree_importance", "relative importance", signed=False)
 
 
-def consensus(evidence: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Features ranked by how many methods found something, then by mean effect."""
+def consensus(evidence: DataFrame, limit: int | None = None) -> DataFrame:
+    """Features ranked by how many methods found something, then by mean effect; all of them unless ``limit`` is given."""
     size = "round(abs(effect_size), 6)"
     ranked = agg(evidence, {
         "n_methods": "count(*)", "n_methods_non_negligible": "count_if(strength <> 'negligible')",
@@ -197,11 +196,12 @@ def consensus(evidence: DataFrame, limit: int = LIMIT) -> DataFrame:
         "methods": "array_sort(collect_list(method))",
         "signs": "array_sort(collect_set(IF(direction IN ('positive', 'negative'), direction, NULL)))",
     }, ["feature"])
-    return ranked.selectExpr(
+    ordered = ranked.selectExpr(
         "feature", "n_methods", "n_methods_non_negligible", "mean_effect_size", "max_effect_size",
         "CASE size(signs) WHEN 0 THEN 'n/a' WHEN 1 THEN signs[0] ELSE 'mixed' END AS direction",
         "concat_ws(', ', methods) AS methods",
-    ).orderBy(F.desc("n_methods_non_negligible"), F.desc("mean_effect_size"), "feature").limit(limit)
+    ).orderBy(F.desc("n_methods_non_negligible"), F.desc("mean_effect_size"), "feature")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def sentences(evidence: DataFrame, outcome: str = "the outcome") -> DataFrame:
@@ -209,7 +209,9 @@ def sentences(evidence: DataFrame, outcome: str = "the outcome") -> DataFrame:
     label = s.text(outcome)
     return evidence.selectExpr(
         "feature", "method",
-        "CASE WHEN method = 'tree_importance' THEN "
+        f"CASE WHEN strength = 'negligible' THEN concat(\"'\", feature, \"' has no meaningful association with \", {label}, "
+        "format_string(' (%s = %.3f)', effect_name, effect_size)) "
+        "WHEN method = 'tree_importance' THEN "
         f"concat(\"'\", feature, \"' accounts for \", format_string('%.1f%%', effect_size * 100), "
         f"' of the splits of a shallow exploratory tree on ', {label}) "
         "WHEN method = 'chi_square' THEN "

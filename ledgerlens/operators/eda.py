@@ -74,7 +74,8 @@ def frequency(df: DataFrame, column: str, top_n: int | None = None, drop_nulls:
     if top_n is not None:
         counts = counts.orderBy(F.desc("count"), F.asc_nulls_last("category")).limit(top_n)
     total = agg(counts, {"total": "sum(count)"})
-    return counts.transform(beside, total).selectExpr("category", "count", "count / total * 100 AS percentage")
+    shown = counts.transform(beside, total).selectExpr("category", "count", "count / total * 100 AS percentage")
+    return shown.orderBy(F.desc("count"), F.asc_nulls_last("category"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -236,11 +237,12 @@ def group_profile(df: DataFrame, group: str, metrics: Sequence[str], target: str
     )
 
 
-def box_stats(df: DataFrame, category: str, column: str, max_categories: int = 12, k: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers (furthest value within the fence) and mean of the first categories by name."""
-    pair = _pair(df, category, column)
-    shown = pair.select("grp").distinct().orderBy("grp").limit(max_categories)
-    kept = pair.join(F.broadcast(shown), "grp")
+def box_stats(df: DataFrame, category: str, column: str, max_categories: int | None = None, k: float = 1.5) -> DataFrame:
+    """Quartiles, whiskers (furthest value within the fence) and mean of all categories, or of the first ones by name."""
+    kept = pair = _pair(df, category, column)
+    if max_categories is not None:
+        shown = pair.select("grp").distinct().orderBy("grp").limit(max_categories)
+        kept = pair.join(F.broadcast(shown), "grp")
     quartiles = quantile_table(kept, ["value"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=["grp"]).drop("feature")
     inside = f"value BETWEEN q1 - {k} * (q3 - q1) AND q3 + {k} * (q3 - q1)"
     return agg(kept.join(F.broadcast(quartiles), "grp"), {
@@ -263,9 +265,11 @@ def outlier_analysis(df: DataFrame, columns: Sequence[str] | None = None,
     columns = numeric_columns(df) if columns is None else [c for c in columns if c in df.columns]
     long = melt(df, columns)
     quartiles = quantile_table(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    flat = [r["feature"] for r in quartiles.filter("q3 - q1 <= 0").collect()]
+    found = quartiles.collect()  # one row a column; the fences below are literals and not a second quantile job
+    quartiles = df.sparkSession.createDataFrame(found, quartiles.schema)
+    middle = {r["feature"]: r["median"] for r in found if r["q3"] <= r["q1"]}
+    flat = list(middle)
     if flat:
-        middle = {r["feature"]: r["median"] for r in quartiles.filter("q3 - q1 <= 0").collect()}
         deviations = df.selectExpr(*[f"abs({s.value(df, c)} - {s.number(middle[c])}) AS {s.name(c)}" for c in flat])
         mads = quantile_table(deviations, flat, {"mad": 0.5})
     else:
@@ -288,7 +292,7 @@ def outlier_analysis(df: DataFrame, columns: Sequence[str] | None = None,
         "feature AS column", "n_values", "method", "lower_bound", "upper_bound", "n_below", "n_above",
         "n_below + n_above AS n_outliers", "(n_below + n_above) / n_values * 100 AS outlier_pct", "max_value",
         "IF(total > 0, tail / total * 100, 0D) AS share_of_total_in_tail_pct", f"{skew} AS skewness",
-    )
+    ).orderBy(F.desc("outlier_pct"), "column")
 
 
 # ------------------------------------------------------- portfolio tables

@@ -302,7 +302,7 @@ def key_findings(df: DataFrame, target: str | None = None, settings: Settings =
     ])
 
 
-def by_priority(findings: DataFrame, limit: int | None = 5) -> DataFrame:
+def by_priority(findings: DataFrame, limit: int | None = None) -> DataFrame:
     ranked = findings.orderBy(F.desc("severity_ord"), F.desc("confidence_ord"), F.desc(F.coalesce("affected_share_pct", F.lit(0.0))), "key")
     return ranked if limit is None else ranked.limit(limit)
 

@@ -72,6 +72,7 @@ class Config:
     n_init: int = 10
     max_iter: int = 300
     silhouette_sample: int = 5_000
+    start_rows: int = 4_096  # weighted rows on which the starts are chosen and refined before they see all rows
 
     def __post_init__(self):
         leaked = sorted(set(self.features) & FORBIDDEN)
@@ -147,15 +148,9 @@ def scale(raw: DataFrame, features: Sequence[str], scaler: str) -> DataFrame:
     })
 
 
-SMALL_PARTITION_BYTES = 16 << 20
-INIT_ROWS = 4_096
-
-
 def matrix_of(prepared: Prepared) -> DataFrame:
-    """The cached rows all fits read, in no more partitions than their size needs."""
-    parts = max(1, session.planned_bytes(prepared.data) // SMALL_PARTITION_BYTES)
-    data = prepared.data
-    return session.reuse(data.coalesce(int(parts)) if parts < 1_000 else data)
+    """The cached rows all fits read."""
+    return session.reuse(prepared.data)
 
 
 @dataclass(frozen=True)
@@ -211,8 +206,8 @@ def _starting_rows(data: DataFrame, cols: Sequence[str], config: Config, key: st
     chance = f"(0.5D + 0.5D * {away} / {s.number(total or 1.0)}) / {m['n']}"
     unit = f"(xxhash64({config.seed}, {s.name(key)}) / 18446744073709551616D + 0.5D)"
     drawn = s.project(data.select(key, *cols), {"__q": chance, "__u": unit}).selectExpr("*", "-ln(greatest(__u, 1e-300D)) / __q AS __race")
-    rows = drawn.orderBy("__race", key).limit(INIT_ROWS).select("__q", *cols).toPandas()
-    weight = 1.0 / np.minimum(1.0, INIT_ROWS * rows["__q"].to_numpy()) if m["n"] > INIT_ROWS else np.ones(len(rows))
+    rows = drawn.orderBy("__race", key).limit(config.start_rows).select("__q", *cols).toPandas()
+    weight = 1.0 / np.minimum(1.0, config.start_rows * rows["__q"].to_numpy()) if m["n"] > config.start_rows else np.ones(len(rows))
     return rows[list(cols)].to_numpy(dtype="float64"), weight, total / len(cols)
 
 
@@ -352,14 +347,14 @@ def stratified_sample(clustered: DataFrame, size: int, seed: int = 42, key: str
     if size >= total:
         return clustered
     quota = {c: min(max(round(size * n / total), 2), n) for c, n in counts.items()}
-    unit = f"(xxhash64({seed}, {s.name(key)}) / 18446744073709551616D + 0.5D)"
     case = lambda m: "CASE cluster " + " ".join(f"WHEN {c} THEN {x}" for c, x in m.items()) + " END"
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("__u", key))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("__h", key))
+    hashed = s.project(clustered, {"__h": f"md5(concat('{seed}:', {s.name(key)}))"})
 
     def drawn(slack: float) -> DataFrame:
         limit = {c: s.number(min(1.0, (slack * quota[c] + 64) / counts[c])) for c in counts}
-        near = s.project(clustered, {"__u": unit}).filter(f"__u <= {case(limit)}")
-        return near.withColumn("__rank", rank).filter(f"__rank <= {case(quota)}").drop("__u", "__rank")
+        near = hashed.filter(f"double(conv(substring(__h, 1, 12), 16, 10)) / {16 ** 12}D <= {case(limit)}")
+        return near.withColumn("__rank", rank).filter(f"__rank <= {case(quota)}").drop("__h", "__rank")
 
     sample = drawn(1.5)
     if sample.count() < sum(quota.values()):  # the hash was unlucky: rank everything
