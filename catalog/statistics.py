@@ -267,6 +267,22 @@ def _(spark, d):
     return eda.histogram(table(spark, d, "orders").selectExpr("1.5D AS same"), "same")
 
 
+@query("analysis_refusals", """SELECT 'Pearson correlation analysis' AS analysis, count(*) AS n_rows, CAST(30 AS BIGINT) AS required_rows, 'Correlations of very few rows are unstable.' AS reason FROM nation
+    UNION ALL SELECT 'Frequency analysis of ''absent''', CAST(count(*) > 0 AS BIGINT), 1, 'Missing column(s): absent.' FROM region
+    UNION ALL SELECT 'Comparison of ''n_name'' by ''n_regionkey''', count(*), 1, 'No row has both values.' FROM nation WHERE n_regionkey < 0
+    UNION ALL SELECT 'Outcome rates by ''n_name''', CAST(count(*) > 0 AS BIGINT), 1, 'Missing column(s): absent.' FROM nation
+    UNION ALL SELECT 'Cross-tabulation of ''n_name'' by ''n_regionkey''', count(*), 1, 'No row has all values.' FROM nation WHERE n_regionkey < 0""")
+def _(spark, d):
+    nation = table(spark, d, "nation")
+    none = nation.filter("n_regionkey < 0")
+    rows = [correlation.correlation_pairs(nation, method="pearson"), eda.frequency(table(spark, d, "region"), "absent"),
+            eda.compare_groups(none, "n_regionkey", "n_name"), eda.outcome_rates(nation, "n_name", "absent"), eda.cross_tab(none, "n_name", "n_regionkey")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 # ------------------------------------------------------------------- bivariate
 
 @query("group_comparison", on_features(f"""WITH g AS (SELECT education, count(credit_limit) AS count, avg(credit_limit) AS mean, median(credit_limit) AS median,
@@ -587,7 +603,12 @@ def _(spark, d):
         f"struct('categorical' AS kind, '{', '.join(sorted(categorical))}' AS names, n_rows)))")
 
 
-@query("driver_sentences")
+SENTENCE = f"""SELECT feature, method, QUOTE || feature || CASE WHEN {STRENGTH} = 'negligible' THEN QUOTE || ' has no meaningful association with the outcome ('
+    ELSE QUOTE || ' shows a ' || {STRENGTH} || ' ' || CASE WHEN effect_size > 0 THEN 'positive' ELSE 'negative' END || ' association with the outcome (' END
+    || name || ' = ' || shown || ')' AS sentence""".replace("QUOTE", "chr(39)")
+
+
+@query("driver_sentences", on_features(f"{SENTENCE} FROM (SELECT *, 'rank-biserial r' AS name, format('{{:.3f}}', effect_size) AS shown FROM ({MW}))", RANKED))
 def _(spark, d):
     ranks = drivers.ranked_values(feats(spark, d), T, DRIVE)
     return drivers.sentences(drivers.mann_whitney(ranks))

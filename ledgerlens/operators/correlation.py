@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ledgerlens import vocabulary as v
 from ledgerlens.functions import scalars as s
 from ledgerlens.functions.tables import agg, unpivot
-from ledgerlens.operators.eda import numeric_columns
+from ledgerlens.operators.eda import numeric_columns, status
 from ledgerlens.operators.ranking import attach_ranks, running_before
+from ledgerlens.settings import DEFAULTS
 
 PAIRS_PER_PASS = 400
 
@@ -145,9 +146,18 @@ METHODS = {"pearson": pearson_pairs, "spearman": spearman_pairs, "kendall": kend
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, method: str = "spearman",
-                      key: Sequence[str] = (v.ID,)) -> DataFrame:
-    """One row per pair with a defined correlation: value, n, strength, direction, restates."""
+                      key: Sequence[str] = (v.ID,), min_rows: int = DEFAULTS.min_rows) -> DataFrame:
+    """One row per pair with a defined correlation: value, n, strength, direction, restates.
+
+    Refuses (status row) with fewer than ``min_rows`` rows or fewer than two columns.
+    """
+    analysis = f"{method.capitalize()} correlation analysis"
+    n = df.limit(min_rows).count()
+    if n < min_rows:
+        return status(df.sparkSession, analysis, n, min_rows, "Correlations of very few rows are unstable.")
     columns = numeric_columns(df) if columns is None else [c for c in columns if c in df.columns]
+    if len(columns) < 2:
+        return status(df.sparkSession, analysis, df.count(), min_rows, "At least two numeric columns are needed.")
     found = spearman_pairs(df, columns, key) if method == "spearman" else METHODS[method](df, columns)
     redundant = [f"{a}|{b}" for a, b in combinations(columns, 2) if restates(a, b)]
     listed = "array(" + ", ".join(s.text(r) for r in redundant) + ")" if redundant else "CAST(array() AS ARRAY<STRING>)"

@@ -22,6 +22,19 @@ def status(spark, analysis: str, n_rows: int, required: int, reason: str = "") -
     return spark.createDataFrame([Row(analysis, n_rows, required, reason)], STATUS_SCHEMA)
 
 
+def refusal(df: DataFrame, analysis: str, columns: Sequence[str], required: int = 1, reason: str = "") -> DataFrame | None:
+    """The status row of an analysis that cannot run: a column is missing, or too few rows have all of them.
+
+    Counts no further than ``required`` rows.
+    """
+    missing = [c for c in columns if c not in df.columns]
+    complete = df if missing or not columns else df.select(*[F.col(s.name(c)) for c in columns]).dropna()
+    n = complete.limit(required).count()
+    if missing:
+        return status(df.sparkSession, analysis, n, required, f"Missing column(s): {', '.join(missing)}.")
+    return status(df.sparkSession, analysis, n, required, reason) if n < required else None
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns with at least two distinct values; the key is left out (one aggregation)."""
     key = Roles.of(df).one("client_id") or v.ID
@@ -67,7 +80,14 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def frequency(df: DataFrame, column: str, top_n: int | None = None, drop_nulls: bool = False) -> DataFrame:
-    """Counts per value, most frequent first; shares are relative to the values shown."""
+    """Counts per value, most frequent first; shares are relative to the values shown.
+
+    Refuses (status row) without rows or without the column.
+    """
+    there = [] if column in df.columns else [column]
+    refused = refusal(df, f"Frequency analysis of '{column}'", there, reason="There are no rows.")
+    if refused is not None:
+        return refused
     counts = df.groupBy(F.col(column).cast("string").alias("category")).agg(F.count("*").alias("count"))
     if drop_nulls:
         counts = counts.filter("category IS NOT NULL")
@@ -119,27 +139,36 @@ def compare_groups(df: DataFrame, group: str, column: str, min_size: int = 5) ->
     """Count, mean, median, std, min and max per group; small groups are dropped.
 
     Every row carries the overall mean and median and the ratio of the highest
-    to the lowest kept group mean.
+    to the lowest kept group mean.  Refuses (status row) without complete rows.
     """
+    refused = refusal(df, f"Comparison of '{column}' by '{group}'", [group, column], reason="No row has both values.")
+    if refused is not None:
+        return refused
     pair = _pair(df, group, column)
     middle = quantile_table(pair, ["value"], {"median": 0.5}, by=["grp"]).drop("feature")
-    groups = agg(pair, {
+    every = agg(pair, {
         "count": "count(*)", "mean": "avg(value)", "std": "stddev_samp(value)", "min": "min(value)", "max": "max(value)",
-    }, ["grp"]).filter(F.col("count") >= min_size)
+    }, ["grp"])
+    groups = every.filter(F.col("count") >= min_size)
     overall = side_by_side(
-        agg(pair, {"overall_mean": "avg(value)"}),
+        agg(every, {"overall_mean": "sum(mean * count) / sum(count)", "low": f"min(IF(count >= {min_size}, mean, NULL))",
+                    "high": f"max(IF(count >= {min_size}, mean, NULL))"}),
         agg(quantile_table(pair, ["value"], {"m": 0.5}), {"overall_median": "max(m)"}),
     )
-    everything = groups.join(middle, "grp").transform(beside, overall)
-    lowest, highest = F.min("mean").over(Window.partitionBy("overall_mean")), F.max("mean").over(Window.partitionBy("overall_mean"))
-    return everything.withColumns({"low": lowest, "high": highest}).selectExpr(
+    return groups.join(middle, "grp").transform(beside, overall).selectExpr(
         f"grp AS {s.name(group)}", "count", "mean", "median", "std", "min", "max", "overall_mean", "overall_median",
         "IF(low = 0, NULL, high / low) AS spread_ratio",
     )
 
 
 def outcome_rates(df: DataFrame, category: str, target: str = v.TARGET, min_size: int = 30) -> DataFrame:
-    """Outcome rate per category, lift over the whole, and which groups are large enough to rank."""
+    """Outcome rate per category, lift over the whole, and which groups are large enough to rank.
+
+    Refuses (status row) without complete rows.
+    """
+    refused = refusal(df, f"Outcome rates by '{category}'", [category, target], reason="No row has both values.")
+    if refused is not None:
+        return refused
     groups = agg(_pair(df, category, target), {"count": "count(*)", "events": "sum(value)"}, ["grp"])
     whole = agg(groups, {"overall": "sum(events) / sum(count) * 100"})
     return groups.transform(beside, whole).selectExpr(
@@ -199,7 +228,13 @@ def numeric_by_outcome(df: DataFrame, columns: Sequence[str], target: str = v.TA
 
 
 def cross_tab(df: DataFrame, row: str, column: str, value: str | None = None, how: str = "avg") -> DataFrame:
-    """Long-form pivot: one row per (row, column) cell; count cells that do not occur are 0."""
+    """Long-form pivot: one row per (row, column) cell; count cells that do not occur are 0.
+
+    Refuses (status row) without rows or when a column is missing.
+    """
+    refused = refusal(df, f"Cross-tabulation of '{row}' by '{column}'", [row, column, *([value] if value else [])], reason="No row has all values.")
+    if refused is not None:
+        return refused
     if value is not None:
         return df.filter(f"{s.name(row)} IS NOT NULL AND {s.name(column)} IS NOT NULL").groupBy(row, column).agg(
             F.expr(f"{how}({s.value(df, value)})").alias("value")
