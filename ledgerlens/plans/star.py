@@ -73,3 +73,9 @@ def kept(spark: SparkSession, folder: str, stage: str, build) -> DataFrame:
     if key not in _KEPT:
         _KEPT[key] = session.reuse(build())
     return _KEPT[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """Release the shared copies and everything else this session keeps in executor storage."""
+    _KEPT.clear()
+    spark.catalog.clearCache()
