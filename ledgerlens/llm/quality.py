@@ -14,6 +14,7 @@ ignored by :func:`judge` and kept by :func:`keep_good`.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from ledgerlens.llm.common import SPACE, let
 SYMBOLS = "#*$%&|<>"
 SENTENCE_END = "[.!?…。！？][\"'”’»)\\]]*([\\x20\\x09-\\x0D]|$)"
 # Phrases of lines that belong to the site and not to the text.
-BOILERPLATE = ("all rights reserved|licensed under|terms of (use|service)|privacy policy|cookie policy|use of cookies|accept cookies"
-               "|enable javascript|javascript is (disabled|required)|lorem ipsum|creative commons|copyright (\\(c\\)|©|[0-9]{4})"
-               "|subscribe to our|sign up for|click here to|skip to (main )?content")
+BOILERPLATE = ("all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "accept cookies",
+               "enable javascript", "javascript is disabled", "javascript is required", "lorem ipsum", "creative commons", "copyright (c)", "copyright ©",
+               "copyright 19", "copyright 20", "subscribe to our", "sign up for", "click here to", "skip to content", "skip to main content")
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,9 @@ class Rules:
     max_lost_share: float = 0.5
 
 
-def _plain(text: Column, drop: str) -> Column:
-    return F.translate(text, drop, "")
+def symbols_in(text: Column) -> Column:
+    """How many characters are one of ``SYMBOLS``: one byte search for each of them."""
+    return reduce(lambda a, b: a + b, [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in SYMBOLS])
 
 
 def words_of(text: Column) -> Column:
@@ -78,26 +80,17 @@ def repeated_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) > window, let(hashed, count)).otherwise(F.lit(0))
 
 
-def bad_line(line: Column, rules: Rules) -> Column:
-    """True for a line that the punctuation, navigation or boilerplate rule removes."""
+def bad_line(line: Column, n: Column, rules: Rules) -> Column:
+    """True for a line of ``n`` words that the punctuation, navigation or boilerplate rule removes."""
 
-    def failing(x: Column) -> Column:
-        n, ends = x["n"], x["ends"]
-        navigation = (F.length(line) - F.length(_plain(line, SYMBOLS))) > rules.symbols_per_word * n
-        shouting = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))) > rules.shouts_per_word * n
-        punctuation = F.when(n < rules.short_line, ends == 0).otherwise(ends * rules.words_per_sentence < n)
-        return punctuation | navigation | shouting | F.lower(line).rlike(BOILERPLATE)
+    def few(ends: Column) -> Column:
+        return F.when(n < rules.short_line, ends == 0).otherwise(ends * rules.words_per_sentence < n)
 
-    return let(F.struct(F.size(words_of(line)).alias("n"), F.regexp_count(line, F.lit(SENTENCE_END)).alias("ends")), failing)
-
-
-def line_loss(lines: Column, rules: Rules) -> Column:
-    """Words that lie in removed lines; a repeated line counts as boilerplate from its second place on."""
-    lost = F.transform(
-        F.array_distinct(lines),
-        lambda line: F.when(bad_line(line, rules), F.size(words_of(line))).otherwise(F.lit(0)),
-    )
-    return F.aggregate(lost, F.lit(0), lambda total, x: total + x)
+    punctuation = let(F.regexp_count(line, F.lit(SENTENCE_END)), few)
+    shouting = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit("!!"), F.lit("!")))) > rules.shouts_per_word * n
+    navigation = symbols_in(line) > rules.symbols_per_word * n
+    boilerplate = let(F.lower(line), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE]))
+    return punctuation | shouting | navigation | boilerplate
 
 
 def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -107,27 +100,27 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
 
     def of_lines(ls: Column) -> Column:
+        good = lambda line: let(F.size(words_of(line)), lambda n: F.when(bad_line(line, n, rules), F.lit(0)).otherwise(n))
         return let(F.array_distinct(ls), lambda kinds: F.struct(
             (F.size(ls) - F.size(kinds)).cast("long").alias("n_dup_lines"),
-            line_loss(kinds, rules).cast("long").alias("bad_words"),
-            F.aggregate(F.transform(kinds, lambda x: F.size(words_of(x))), F.lit(0), lambda total, x: total + x).cast("long").alias("distinct_words"),
+            F.aggregate(F.transform(kinds, good), F.lit(0), lambda total, x: total + x).cast("long").alias("good_words"),
         ))
 
     def of_words(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws, rules.window).cast("long").alias("n_repeat_words"))
+        return F.struct(F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+                        repeated_words(ws, rules.window).cast("long").alias("n_repeat_words"))
 
     facts = F.struct(
         let(words, of_words).alias("w"), let(lines, of_lines).alias("l"),
-        F.length(_plain(body, SPACE)).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(_plain(body, SYMBOLS))).cast("long").alias("n_symbols"),
+        symbols_in(body).cast("long").alias("n_symbols"),
     )
 
     def verdict(x: Column) -> Column:
         n = x["w"]["n_words"]
         failed = (n < rules.min_words) | (100 * x["w"]["n_repeat_words"] > rules.max_repeat_percent * n)
-        lost = n - x["l"]["distinct_words"] + x["l"]["bad_words"]
+        lost = n - x["l"]["good_words"]
         return F.struct(
-            n.alias("n_words"), x["word_chars"].alias("word_chars"), x["n_symbols"].alias("n_symbols"), x["l"]["n_dup_lines"].alias("n_dup_lines"),
+            n.alias("n_words"), x["w"]["word_chars"].alias("word_chars"), x["n_symbols"].alias("n_symbols"), x["l"]["n_dup_lines"].alias("n_dup_lines"),
             x["w"]["n_repeat_words"].alias("n_repeat_words"), lost.alias("n_lost_words"), failed.alias("base_failed"),
             (~failed & (lost <= rules.max_lost_share * n)).alias("kept"),
         )
@@ -145,7 +138,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules
 
 def clean_text(text: Column, rules: Rules = Rules()) -> Column:
     """The text without the lines that the rules remove (blank and repeated lines stay)."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (F.length(F.btrim(x, F.lit(SPACE))) == 0) | ~bad_line(x, rules)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: (F.length(F.btrim(x, F.lit(SPACE))) == 0) | ~bad_line(x, F.size(words_of(x)), rules)), "\n")
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
