@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import steady, written
 
 # Fixed values of the vocabulary: its special token, and its splitting pattern.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -234,9 +234,10 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str]
     a shuffle of token ids.
     """
     names = docs.columns if keep is None else keep
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col(f"`{text}`").alias("text"))
+    held = steady(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.monotonically_increasing_id().alias("rid"), F.col(f"`{text}`").alias("text"))
     refs = written(held.select("rid", "text").mapInArrow(_references, "rid long, seq int, h binary"))
     owners = refs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "seq")).alias("owner")).where("n > 1").select("h", "owner")
+    owners = written(owners)  # so that the join below is of two plain exchanges, which may be split where a chunk is hot
     shared = refs.join(owners, "h").select("rid", F.struct("seq", F.expr("rid = owner.rid AND seq = owner.seq").alias("own")).alias("x"))
     shared = written(shared.groupBy("rid").agg(F.collect_list("x").alias("shared")))
     side = F.broadcast(shared) if shared.count() <= broadcast_rows else shared.hint("merge")
