@@ -5,7 +5,7 @@ The model is an interpolated bigram model (Witten-Bell) over add-one unigrams:
 different successors of v; the start of a text has the end token as context.
 Counts come from the training documents only.
 
-Work goes by blocks (the documents of one Arrow batch) and shards (of words, and
+Work goes by blocks (neighbouring documents, ``block_bytes`` of text) and shards (of words, and
 of contexts).  A block asks each shard once for the different words, then for
 the different pairs, that its documents hold, with its own training counts; a
 shard adds up what all blocks bring, builds its part of the trie and answers.
@@ -31,6 +31,7 @@ empty table; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, repeat
@@ -38,6 +39,7 @@ from itertools import count, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -61,9 +63,11 @@ class EliasFano:
         bits = np.arange(n, dtype=np.uint64) * np.uint64(w)
         self.low = np.zeros(n * w // 64 + 2, np.uint64)
         at, shift = (bits >> np.uint64(6)).astype(np.int64), bits & np.uint64(63)
-        np.bitwise_or.at(self.low, at, low << shift)
-        spill = (shift > 0) & (shift + np.uint64(w) > 64)
-        np.bitwise_or.at(self.low, at[spill] + 1, low[spill] >> (np.uint64(64) - shift[spill]))
+        if n:
+            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            self.low[at[heads]] = np.bitwise_or.reduceat(low << shift, heads)
+            spill = (shift > 0) & (shift + np.uint64(w) > 64)  # at most one value crosses into each word
+            self.low[at[spill] + 1] |= low[spill] >> (np.uint64(64) - shift[spill])
         high = (values.astype(np.uint64) >> np.uint64(w)).astype(np.int64) + np.arange(n)
         size = int(high[-1]) + 2 if n else 1
         marks = np.zeros((size // 64 + 1) * 64, np.uint8)
@@ -158,12 +162,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """uint32 as four byte planes, which compress better."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """uint32 as four compressed byte planes."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _joined(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _packed5(x: np.ndarray) -> bytes:
@@ -200,36 +204,45 @@ def _word_order(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray
     return order, shard[order]
 
 
-def _tokenise(shards: int):
-    """(rid, train, text) batches -> the block itself, and its questions for words."""
+def _block(block: int, rids: np.ndarray, train: np.ndarray, texts: list[bytes | None], shards: int) -> list[Message]:
+    """The documents of a block as a stream of word numbers, and the block's questions for words."""
+    ids: defaultdict[bytes, int] = defaultdict(count(1).__next__)  # 0 is the end token
+    parts, lengths = [], []
+    for text in texts:
+        words = (text or b"").lower().split()
+        parts.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)))
+        parts.append(np.zeros(1, np.uint32))
+        lengths.append(len(words) + 1)
+    stream, lengths = np.concatenate(parts), np.array(lengths, np.int64)
+    n = len(ids) + 1
+    hashes = np.fromiter((END, *map(xxhash.xxh64_intdigest, ids)), np.uint64, n)
+    # frequent words get small numbers, so that the stream compresses
+    by_use = np.argsort(-np.bincount(stream, minlength=n), kind="stable")
+    number = np.empty(n, np.uint32)
+    number[by_use] = np.arange(n, dtype=np.uint32)
+    stream, hashes = number[stream], hashes[by_use]
+    counts = np.bincount(stream[np.repeat(train, lengths)], minlength=n)
+    rows: list[Message] = [("block", block, None, rids.astype("<i8").tobytes(), lengths.tobytes(), train.tobytes(), _planes(stream), hashes.tobytes())]
+    order, shard = _word_order(hashes, shards)
+    for s, (x, y) in enumerate(_runs(shard, shards)):
+        if y > x:
+            rows.append(("words", block, s, hashes[order[x:y]].tobytes(), _planes(counts[order[x:y]]), None, None, None))
+    return rows
+
+
+def _tokenise(shards: int, block_bytes: int):
+    """(rid, train, text) -> blocks of about ``block_bytes`` of text, and their questions for words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nth, batch in enumerate(batches):
-            block = (TaskContext.get().partitionId() << 24) + nth
-            ids: defaultdict[bytes, int] = defaultdict(count(1).__next__)  # 0 is the end token
-            parts, lengths = [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                words = (text or b"").lower().split()
-                parts.append(np.fromiter(map(ids.__getitem__, words), np.uint32, len(words)))
-                parts.append(np.zeros(1, np.uint32))
-                lengths.append(len(words) + 1)
-            if not lengths:
-                continue
-            train = np.array(batch.column(1).to_pylist(), bool)
-            stream, lengths = np.concatenate(parts), np.array(lengths, np.int64)
-            n = len(ids) + 1
-            hashes = np.fromiter((END, *map(xxhash.xxh64_intdigest, ids)), np.uint64, n)
-            # frequent words get small numbers, so that the stream compresses
-            by_use = np.argsort(-np.bincount(stream, minlength=n), kind="stable")
-            number = np.empty(n, np.uint32)
-            number[by_use] = np.arange(n, dtype=np.uint32)
-            stream, hashes = number[stream], hashes[by_use]
-            counts = np.bincount(stream[np.repeat(train, lengths)], minlength=n).astype("<u4")
-            rows: list[Message] = [("block", block, None, np.asarray(batch.column(0)).astype("<i8").tobytes(), lengths.tobytes(), train.tobytes(), _planes(stream), hashes.tobytes())]
-            order, shard = _word_order(hashes, shards)
-            for s, (x, y) in enumerate(_runs(shard, shards)):
-                if y > x:
-                    rows.append(("words", block, s, hashes[order[x:y]].tobytes(), counts[order[x:y]].tobytes(), None, None, None))
-            yield pa.RecordBatch.from_pandas(_frame(rows), schema=_SCHEMA, preserve_index=False)
+        number = count(TaskContext.get().partitionId() << 28)
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64) + 1
+            of_block = np.cumsum(sizes) // block_bytes
+            rids, train = np.asarray(batch.column(0)), np.array(batch.column(1).to_pylist(), bool)
+            for i in np.unique(of_block).tolist():
+                x, y = np.searchsorted(of_block, [i, i + 1]).tolist()
+                rows = _block(next(number), rids[x:y], train[x:y], texts.slice(x, y - x).to_pylist(), shards)
+                yield pa.RecordBatch.from_pandas(_frame(rows), schema=_SCHEMA, preserve_index=False)
 
     return run
 
@@ -241,7 +254,7 @@ def _count_words(key: tuple, questions: pd.DataFrame) -> pd.DataFrame:
     """All questions of one shard -> an answer for each block (total counts), and the shard's totals."""
     questions = questions.sort_values("block")
     asked = [np.frombuffer(x, np.uint64) for x in questions["a"]]
-    counts = np.concatenate([np.frombuffer(x, "<u4") for x in questions["b"]])
+    counts = np.concatenate([_joined(x) for x in questions["b"]])
     _, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(inverse, weights=counts).astype(np.int64)
     answers, at = [], 0
@@ -273,15 +286,16 @@ class Block:
         pieces = 1 + self.counts // piece
         part = (_mix(self.hashes[word]) % pieces[context].astype(np.uint64)).astype(np.int64)
         # every part of a split context is asked, as its number of successors is the sum over its parts
-        split = np.flatnonzero(pieces > 1)
-        split = split[np.isin(split, context)]
+        asked = np.zeros(n, bool)
+        asked[context] = True
+        split = np.flatnonzero(asked & (pieces > 1))
         whole = np.repeat(split, pieces[split])
         parts = np.arange(len(whole)) - np.repeat(np.cumsum(pieces[split]) - pieces[split], pieces[split])
         context = np.concatenate([context, whole])
         self.word = np.concatenate([word, np.full(len(whole), -1)])
         trained, part = np.concatenate([trained, np.zeros(len(whole), np.int64)]), np.concatenate([part, parts])
         shard = (_mix(self.hashes[context] + part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        self.order = np.lexsort((self.word, part, context, shard))
+        self.order = np.argsort((shard * n + context) * int(pieces.max()) + part, kind="stable")  # words are in order already
         self.context, self.part, self.shard, self.trained = (x[self.order] for x in (context, part, shard, trained))
         self.word = self.word[self.order]
         self.n_pairs = len(pairs)
@@ -302,7 +316,7 @@ def _ask_pairs(shards: int, piece: int):
                 word = block.word[x:y]
                 low = np.where(word >= 0, block.hashes[word] & np.uint64((1 << SUCCESSOR_BITS) - 1), np.uint64(0))
                 trained = np.where(word >= 0, block.trained[x:y] + 1, 0)  # 0: no pair, only the context is asked
-                out.append(("pairs", int(key[0]), s, contexts.tobytes(), block.counts[block.context[heads]].tobytes(), _planes(sizes), _packed5(low), _planes(trained)))
+                out.append(("pairs", int(key[0]), s, contexts.tobytes(), block.counts[block.context[heads]].astype("<f4").tobytes(), _planes(sizes), _packed5(low), _planes(trained)))
         return _frame(out)
 
     return run
@@ -312,19 +326,20 @@ def _answer_pairs(key: tuple, questions: pd.DataFrame) -> pd.DataFrame:
     """All questions of one shard -> its trie -> for each block the successors of contexts and the codes of pairs."""
     questions = questions.sort_values("block")
     contexts = [np.frombuffer(x, np.uint64) for x in questions["a"]]
-    totals = np.concatenate([np.frombuffer(x, np.int64) for x in questions["b"]])
+    totals = np.concatenate([np.frombuffer(x, "<f4") for x in questions["b"]])
     sizes = [_joined(x).astype(np.int64) for x in questions["c"]]
     names, first, node = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
     owner = np.repeat(node, np.concatenate(sizes))
     successor = np.concatenate([_unpacked5(x) for x in questions["d"]])
     trained = np.concatenate([_joined(x).astype(np.int64) for x in questions["e"]]) - 1
     seen = trained > 0
-    order = np.lexsort((successor[seen], owner[seen]))
-    o, s, t = owner[seen][order], successor[seen][order], trained[seen][order]
-    head = np.concatenate([[True], (o[1:] != o[:-1]) | (s[1:] != s[:-1])]) if len(o) else np.zeros(0, bool)
-    starts = np.flatnonzero(head)
+    pair = (owner[seen].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor[seen]
+    order = np.argsort(pair)
+    pair, t = pair[order], trained[seen][order]
+    starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
     summed = np.add.reduceat(t, starts) if len(starts) else t
-    trie = Trie(names, totals[first], o[starts], s[starts], summed)
+    pair = pair[starts]
+    trie = Trie(names, totals[first], (pair >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), pair & np.uint64((1 << SUCCESSOR_BITS) - 1), summed)
     out: list[Message] = []
     at = 0
     for block, own, size in zip(questions["block"], contexts, sizes):
@@ -360,17 +375,17 @@ def _score(shards: int, piece: int, n_train: int, n_kinds: int):
     return run
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 64 << 20, piece: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 16 << 20, piece: int = 1_000_000, block_bytes: int = 12 << 20) -> DataFrame:
     """One row per document: (key, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     ``shard_bytes``: text that one shard of words or contexts stands for; ``piece``:
-    training tokens of a context in one shard.
+    training tokens of a context in one shard; ``block_bytes``: text of a block.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     held = steady(docs).select(F.col(key).alias("id"), F.col(text).alias("text"), (fold == HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("rid"))
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, math.ceil(size / shard_bytes))
-    sent = written(held.select("rid", F.expr("NOT held_out").alias("train"), "text").mapInArrow(_tokenise(shards), MESSAGE))
+    sent = written(held.select("rid", F.expr("NOT held_out").alias("train"), "text").mapInArrow(_tokenise(shards, block_bytes), MESSAGE))
     blocks = sent.where("kind = 'block'")
     counts = written(sent.where("kind = 'words'").groupBy("shard").applyInPandas(_count_words, MESSAGE))
     sums = [np.frombuffer(bytes(r["a"]), "<i8") for r in counts.where("kind = 'totals'").select("a").collect()]

@@ -298,7 +298,7 @@ def plain_scores(rows):
         yield i, not train, len(w), sum(one[b] > 0 for b in w), n, sum(base), sum(full)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 5000, "piece": 40}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 5000, "piece": 40, "block_bytes": 9000}])
 def test_scores(make_docs, corpus, options):
     key = lambda r: (str(r[0]), r[2], round(r[5], 4))
     found = sorted((tuple(r) for r in lm.score(make_docs(corpus), **options).collect()), key=key)
