@@ -16,7 +16,7 @@ from ledgerlens.plans import pipeline
 T = v.TARGET
 SEG = list(segments.FEATURES)
 ZS = [f"z_{c}" for c in SEG]
-QUICK = segments.Config(k_max=4, n_init=3, silhouette_sample=1_000)
+WHOLE = segments.Config()
 
 
 # ---------------------------------------------------------------- given labels
@@ -158,7 +158,7 @@ def _(spark, d):
 
 @query("scaler_comparison")
 def _(spark, d):
-    return segments.scaler_table(segments.compare_scalers(feats(spark, d), QUICK)[1])
+    return segments.scaler_table(segments.compare_scalers(feats(spark, d), WHOLE)[1])
 
 
 @query("stratified_sample", on_features("SELECT CAST(client_id % 3 AS INTEGER) AS cluster, CAST(round_even(300 * count(*) / (SELECT count(*) FROM feat), 0) AS BIGINT) AS n FROM feat GROUP BY 1"))
@@ -174,7 +174,7 @@ def _(spark, d):
 
 @query("segmentation_run")
 def _(spark, d):
-    return segments.run_segmentation(feats(spark, d), QUICK, compare=False)["segments"]
+    return segments.run_segmentation(feats(spark, d), WHOLE)["segments"]
 
 
 @query("embedding_clusters")

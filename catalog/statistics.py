@@ -627,7 +627,7 @@ def _(spark, d):
 
 @query("driver_analysis")
 def _(spark, d):
-    return drivers.run_drivers(feats(spark, d), include_tree=False)["consensus"]
+    return drivers.run_drivers(feats(spark, d))["consensus"]
 
 
 @query("exploration_bundle")
