@@ -419,7 +419,8 @@ def _(spark, d):
     return rounded(eda.payment_segments(feats(spark, d)))
 
 
-@query("bounded_sample")
+@query("bounded_sample", """SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS available_rows, (SELECT count(*) > 1000 FROM orders) AS is_sampled
+    FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 1000""")
 def _(spark, d):
     return eda.bounded_sample(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 1_000, key="o_orderkey")
 

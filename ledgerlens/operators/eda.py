@@ -371,7 +371,7 @@ def status_reference(spark) -> DataFrame:
 def bounded_sample(df: DataFrame, rows: int = 5_000, seed: int = DEFAULTS.seed, key: str = v.ID) -> DataFrame:
     """At most ``rows`` rows, repeatable for a seed; every row carries how many were available."""
     whole = agg(df, {"available_rows": "count(*)"})
-    chosen = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(rows)
+    chosen = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)).limit(rows)
     return chosen.transform(beside, whole).withColumn("is_sampled", F.col("available_rows") > rows)
 
 
