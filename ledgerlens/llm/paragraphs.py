@@ -44,6 +44,7 @@ MIN_WORDS = 50
 WINDOW, REACH = 30, 21
 SHINGLE = 5
 SIMILARITY, RECALL, ROWS = 0.8, 0.9995, 4
+BLOCK = 8192  # lines hashed together
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -109,18 +110,18 @@ def kept_windows(x: np.ndarray) -> np.ndarray:
     return at[since % REACH == 0]
 
 
-def signature_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys of a set of shingle hashes."""
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * BASE) | np.uint64(1)
-    lows = np.array([(mix(shingles ^ s)).min() for s in seeds], np.uint64).reshape(bands, rows)
-    return runs_of_rows(lows)
-
-
-def runs_of_rows(lows: np.ndarray) -> np.ndarray:
-    key = np.arange(1, len(lows) + 1, dtype=np.uint64)
-    for j in range(lows.shape[1]):
-        key = mix(key * BASE + lows[:, j])
-    return key
+def band_keys(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """Band keys of many shingle lists, one row each: all lists are hashed together, seed by seed."""
+    sizes = np.array([len(x) for x in shingles])
+    starts, every = np.cumsum(sizes) - sizes, np.concatenate(shingles)
+    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * BASE)
+    keys = np.empty((len(shingles), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(shingles), band + 1, np.uint64)
+        for seed in seeds[band * rows:(band + 1) * rows]:
+            key = mix(key * BASE + np.minimum.reduceat((every ^ seed) * (seed | np.uint64(1)), starts))
+        keys[:, band] = key
+    return keys
 
 
 _OUT = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
@@ -141,7 +142,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Words()
     for batch in batches:
         found: list[tuple[str, np.ndarray, int, np.ndarray, np.ndarray]] = []
-        contents: dict[int, tuple[np.ndarray, bytes]] = {}
+        contents: dict[int, np.ndarray] = {}
         for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             words = (text or b"").lower().split()
             if len(words) < MIN_WORDS:
@@ -160,8 +161,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a.append(points[start[i]])
                     b.append(points[stop[j - 1]])
                     if node not in contents:
-                        shingles = np.unique(runs_of(h[i:j], SHINGLE))
-                        contents[node] = (signature_keys(shingles, BANDS, ROWS), np.unique(shingles.astype(np.uint32)).tobytes())
+                        contents[node] = runs_of(h[i:j], SHINGLE)
             if nodes:
                 found.append(("line", np.array(nodes, np.uint64), rid, np.array(a), np.array(b)))
         if not found:
@@ -173,11 +173,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             pa.array(np.repeat([f[0] for f in found], sizes), pa.string()), pa.array(join(1, np.uint64).view(np.int64)), pa.array(np.repeat([f[2] for f in found], sizes), pa.int64()),
             pa.array(join(3, np.int32)), pa.array(join(4, np.int32)), *blank], schema=_OUT)
-        if contents:
-            n = len(contents)
+        lines = list(contents.items())
+        for k in range(0, len(lines), BLOCK):
+            part = lines[k:k + BLOCK]
+            n, keys = len(part), band_keys([x for _, x in part], BANDS, ROWS)
             yield pa.RecordBatch.from_arrays([
-                pa.array(["content"] * n), pa.array(np.array(list(contents), np.uint64).view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
-                pa.array([k.view(np.int64) for k, _ in contents.values()], pa.list_(pa.int64())), pa.array([s for _, s in contents.values()], pa.binary())], schema=_OUT)
+                pa.array(["content"] * n), pa.array(np.array([node for node, _ in part], np.uint64).view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([np.unique(x.astype(np.uint32)).tobytes() for _, x in part], pa.binary())], schema=_OUT)
 
 
 def similar(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
