@@ -18,8 +18,9 @@ successor search inside its context's range.  A context with more than
 ``piece`` training tokens is split by its successors' hashes over several
 shards, so a word with a third of all tokens does not gather in one task.
 
-Words are known by 64-bit hashes, successors by 40 bits of them.  Probabilities
-are quantised to 255 steps of the logarithm; base scores use exact counts.
+Words are known by 64-bit hashes; in messages a context has 40 bits of its hash, a
+successor 32, and a context's count eight steps an octave.  Probabilities are
+quantised to 255 steps of the logarithm; base scores use exact counts.
 
 Defined cases: a null or blank text is the end token alone; without training
 documents every count is zero and all scores are those of unknown words;
@@ -49,7 +50,7 @@ from ledgerlens.llm.common import steady, written
 
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 HELD_OUT, FOLDS = 2, 7
-SUCCESSOR_BITS = 40
+SUCCESSOR_BITS, CONTEXT_BITS = 32, 40
 STEPS, LOWEST = 254, -9.0  # quantised logarithms from 1e-9 to 1
 
 
@@ -141,7 +142,7 @@ class Trie:
         self.pointers = EliasFano(np.searchsorted(owner, np.arange(n + 1)), len(owner) + 1)
         self.kinds = np.bincount(owner, minlength=n).astype(np.uint32)  # different successors
         self.successors = EliasFano((owner.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor, max(1, n) << SUCCESSOR_BITS)
-        self.codes = np.append(quantise(pairs / np.maximum(1, counts[owner])), np.uint8(0))
+        self.codes = np.append(quantise(pairs / counts[owner]), np.uint8(0))
 
     def find(self, context: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.contexts, context)
@@ -170,6 +171,17 @@ def _joined(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _wide(x: np.ndarray) -> bytes:
+    """int64 as two halves of compressed planes."""
+    low = _planes(x & 0xFFFFFFFF)
+    return len(low).to_bytes(4, "little") + low + _planes(x >> 32)
+
+
+def _widened(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return _joined(data[4 + n:]).astype(np.int64) << 32 | _joined(data[4:4 + n]).astype(np.int64)
+
+
 def _packed5(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
@@ -181,6 +193,15 @@ def _unpacked5(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def octaves(counts: np.ndarray) -> np.ndarray:
+    """Least number of eighths of an octave that is not below the count; 0 for none and for one."""
+    return np.ceil(8 * np.log2(np.maximum(counts, 1)) - 1e-9).astype(np.int64)
+
+
+def rounded_up(steps: np.ndarray) -> np.ndarray:
+    return 2.0 ** (steps / 8)
+
+
 # A message: its kind, its block and shard, and packed arrays.
 MESSAGE = "kind string, block long, shard int, a binary, b binary, c binary, d binary, e binary"
 FIELDS = ("kind", "block", "shard", "a", "b", "c", "d", "e")
@@ -204,8 +225,8 @@ def _word_order(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray
     return order, shard[order]
 
 
-def _block(block: int, rids: np.ndarray, train: np.ndarray, texts: list[bytes | None], shards: int) -> list[Message]:
-    """The documents of a block as a stream of word numbers, and the block's questions for words."""
+def _block(block: int, rids: np.ndarray, train: np.ndarray, texts: list[bytes | None]) -> Message:
+    """The documents of a block as a stream of word numbers."""
     ids: defaultdict[bytes, int] = defaultdict(count(1).__next__)  # 0 is the end token
     parts, lengths = [], []
     for text in texts:
@@ -221,17 +242,27 @@ def _block(block: int, rids: np.ndarray, train: np.ndarray, texts: list[bytes |
     number = np.empty(n, np.uint32)
     number[by_use] = np.arange(n, dtype=np.uint32)
     stream, hashes = number[stream], hashes[by_use]
-    counts = np.bincount(stream[np.repeat(train, lengths)], minlength=n)
-    rows: list[Message] = [("block", block, None, rids.astype("<i8").tobytes(), lengths.tobytes(), train.tobytes(), _planes(stream), hashes.tobytes())]
-    order, shard = _word_order(hashes, shards)
-    for s, (x, y) in enumerate(_runs(shard, shards)):
-        if y > x:
-            rows.append(("words", block, s, hashes[order[x:y]].tobytes(), _planes(counts[order[x:y]]), None, None, None))
-    return rows
+    return ("block", block, None, rids.astype("<i8").tobytes(), lengths.tobytes(), train.tobytes(), _planes(stream), hashes.tobytes())
+
+
+def _ask_words(shards: int):
+    """Blocks -> their questions for words, with the block's training counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, lengths, train, stream, hashes = (batch.column(batch.schema.get_field_index(f))[i].as_py() for f in ("block", "b", "c", "d", "e"))
+                hashes, used = np.frombuffer(hashes, np.uint64), np.repeat(np.frombuffer(train, bool), np.frombuffer(lengths, np.int64))
+                counts = np.bincount(_joined(stream)[used], minlength=len(hashes))
+                order, shard = _word_order(hashes, shards)
+                rows = [("words", block, s, hashes[order[x:y]].tobytes(), _planes(counts[order[x:y]]), None, None, None)
+                        for s, (x, y) in enumerate(_runs(shard, shards)) if y > x]
+                yield pa.RecordBatch.from_pandas(_frame(rows), schema=_SCHEMA, preserve_index=False)
+
+    return run
 
 
-def _tokenise(shards: int, block_bytes: int):
-    """(rid, train, text) -> blocks of about ``block_bytes`` of text, and their questions for words."""
+def _tokenise(block_bytes: int):
+    """(rid, train, text) -> blocks of about ``block_bytes`` of text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = count(TaskContext.get().partitionId() << 28)
         for batch in batches:
@@ -241,7 +272,7 @@ def _tokenise(shards: int, block_bytes: int):
             rids, train = np.asarray(batch.column(0)), np.array(batch.column(1).to_pylist(), bool)
             for i in np.unique(of_block).tolist():
                 x, y = np.searchsorted(of_block, [i, i + 1]).tolist()
-                rows = _block(next(number), rids[x:y], train[x:y], texts.slice(x, y - x).to_pylist(), shards)
+                rows = [_block(next(number), rids[x:y], train[x:y], texts.slice(x, y - x).to_pylist())]
                 yield pa.RecordBatch.from_pandas(_frame(rows), schema=_SCHEMA, preserve_index=False)
 
     return run
@@ -259,7 +290,7 @@ def _count_words(key: tuple, questions: pd.DataFrame) -> pd.DataFrame:
     total = np.bincount(inverse, weights=counts).astype(np.int64)
     answers, at = [], 0
     for block, own in zip(questions["block"], asked):
-        answers.append(("counts", block, key[0], total[inverse[at:at + len(own)]].astype("<i8").tobytes(), None, None, None, None))
+        answers.append(("counts", block, key[0], _wide(total[inverse[at:at + len(own)]]), None, None, None, None))
         at += len(own)
     sums = np.array([total.sum(), (total > 0).sum()], "<i8").tobytes()
     return _frame([*answers, ("totals", -1, key[0], sums, None, None, None, None)])
@@ -274,7 +305,7 @@ class Block:
         order, _ = _word_order(self.hashes, shards)
         counts = answers[answers["kind"] == "counts"].sort_values("shard")["a"]
         self.counts = np.empty(len(order), np.int64)
-        self.counts[order] = np.concatenate([np.frombuffer(x, "<i8") for x in counts])
+        self.counts[order] = np.concatenate([_widened(x) for x in counts])
         n = len(self.hashes)
         end = int(np.flatnonzero(self.hashes == np.uint64(END))[0])
         before = np.empty_like(self.stream)
@@ -316,7 +347,7 @@ def _ask_pairs(shards: int, piece: int):
                 word = block.word[x:y]
                 low = np.where(word >= 0, block.hashes[word] & np.uint64((1 << SUCCESSOR_BITS) - 1), np.uint64(0))
                 trained = np.where(word >= 0, block.trained[x:y] + 1, 0)  # 0: no pair, only the context is asked
-                out.append(("pairs", int(key[0]), s, contexts.tobytes(), block.counts[block.context[heads]].astype("<f4").tobytes(), _planes(sizes), _packed5(low), _planes(trained)))
+                out.append(("pairs", int(key[0]), s, _packed5(contexts), _planes(octaves(block.counts[block.context[heads]])), _planes(sizes), low.astype("<u4").tobytes(), _planes(trained)))
         return _frame(out)
 
     return run
@@ -325,12 +356,12 @@ def _ask_pairs(shards: int, piece: int):
 def _answer_pairs(key: tuple, questions: pd.DataFrame) -> pd.DataFrame:
     """All questions of one shard -> its trie -> for each block the successors of contexts and the codes of pairs."""
     questions = questions.sort_values("block")
-    contexts = [np.frombuffer(x, np.uint64) for x in questions["a"]]
-    totals = np.concatenate([np.frombuffer(x, "<f4") for x in questions["b"]])
+    contexts = [_unpacked5(x) for x in questions["a"]]
+    totals = rounded_up(np.concatenate([_joined(x) for x in questions["b"]]).astype(float))
     sizes = [_joined(x).astype(np.int64) for x in questions["c"]]
     names, first, node = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
     owner = np.repeat(node, np.concatenate(sizes))
-    successor = np.concatenate([_unpacked5(x) for x in questions["d"]])
+    successor = np.concatenate([np.frombuffer(x, "<u4") for x in questions["d"]]).astype(np.uint64)
     trained = np.concatenate([_joined(x).astype(np.int64) for x in questions["e"]]) - 1
     seen = trained > 0
     pair = (owner[seen].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successor[seen]
@@ -361,8 +392,9 @@ def _score(shards: int, piece: int, n_train: int, n_kinds: int):
         weight = block.counts + kinds
         known = block.word >= 0
         c, w = block.context[known], block.word[known]
+        stored = rounded_up(octaves(block.counts).astype(float))  # the count the probability was taken of
         total = np.maximum(weight[c], 1)
-        p = np.where(weight[c] > 0, (seen[known] * block.counts[c] + kinds[c] * base[w]) / total, base[w])
+        p = np.where(weight[c] > 0, (seen[known] * stored[c] + kinds[c] * base[w]) / total, base[w])
         pair = np.empty(block.n_pairs)
         pair[block.order[known]] = np.log10(p)
         starts = np.cumsum(block.lengths) - block.lengths
@@ -385,9 +417,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes:
     held = steady(docs).select(F.col(key).alias("id"), F.col(text).alias("text"), (fold == HELD_OUT).alias("held_out"), F.monotonically_increasing_id().alias("rid"))
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, math.ceil(size / shard_bytes))
-    sent = written(held.select("rid", F.expr("NOT held_out").alias("train"), "text").mapInArrow(_tokenise(shards, block_bytes), MESSAGE))
-    blocks = sent.where("kind = 'block'")
-    counts = written(sent.where("kind = 'words'").groupBy("shard").applyInPandas(_count_words, MESSAGE))
+    blocks = written(held.select("rid", F.expr("NOT held_out").alias("train"), "text").mapInArrow(_tokenise(block_bytes), MESSAGE))
+    counts = written(blocks.mapInArrow(_ask_words(shards), MESSAGE).groupBy("shard").applyInPandas(_count_words, MESSAGE))
     sums = [np.frombuffer(bytes(r["a"]), "<i8") for r in counts.where("kind = 'totals'").select("a").collect()]
     n_train, n_kinds = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     answers = counts.where("kind = 'counts'")
