@@ -234,15 +234,17 @@ def line_classes(sketch: DataFrame, threshold: float, group_bound: int) -> DataF
     busy = written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low"))
     candidates = keyed.join(busy, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     groups = written(components(candidates))
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    # one group for a class within the bound; beyond it, a group for every pair of blocks of its lines
-    blocks = groups.join(sizes, "root").withColumn("n", F.ceil(F.col("size") / group_bound).cast("int"))
+    # one group for a class within the bound; beyond it, a group for every pair of blocks of its lines.
+    # Classes beyond the bound are at most one in group_bound of the lines.
+    large = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_bound)
+    blocks = groups.join(F.broadcast(large), "root", "left").withColumn("n", F.coalesce(F.ceil(F.col("size") / group_bound), F.lit(1)).cast("int"))
     block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
     pairs = blocks.withColumn("block", block).select("node", "root", "block", other)
     pairs = pairs.select("node", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     once = content.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    links = written(once.join(pairs, "node").groupBy("root", "i", "j").applyInPandas(_verify(threshold), "a long, b long"))
+    tasks = int(sketch.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing takes time, not bytes: tasks are not merged by size
+    links = written(once.join(pairs, "node").repartition(tasks, "root", "i", "j").groupBy("root", "i", "j").applyInPandas(_verify(threshold), "a long, b long"))
     return components(links)
 
 
