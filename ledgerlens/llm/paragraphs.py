@@ -8,7 +8,11 @@ links are clustered by components.  Passages that stand inside other text have
 no paragraph borders, so every run of words is a paragraph too: of each
 ``REACH`` consecutive windows of ``WINDOW`` words the one with the least hash is
 kept.  Equal passages keep equal windows, so a passage of ``WINDOW + REACH - 1``
-= 50 words or more that repeats is always found, and windows match exactly.
+= 50 words or more that repeats is always found, and windows match exactly.  The
+kept windows of a repeat leave up to ``REACH - 1`` words at either end: there the
+windows grow word by word as long as another document has the same words, so
+that spans hold the whole repeat.  Each grown run has a keeper of its own, the
+first document with that run, and what a document loses stands in the keeper.
 
 Of every class the first document keeps its text; the others list the spans to
 remove.  Result rows are (document, keeper) pairs with spans.
@@ -18,6 +22,10 @@ them; band keys are counted before any row is joined back; a band of many lines
 gives one edge a line.  A candidate class is verified in groups of at most
 ``group_bound`` lines (pairs of blocks beyond that, so no pair is lost), and inside
 a group only lines outside the largest component are compared with all others.
+Only windows at the end of a run of windows with one keeper are grown, by grouped
+minima over hashes of (window, words beside it); texts of documents with such
+windows are read again, by broadcast up to ``broadcast_places`` places and by a
+shuffle beyond that.
 
 Defined cases: null, blank and short texts have no paragraphs; a text equal to
 another is one long passage; repeats inside one document only are not reported;
@@ -34,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,8 +132,8 @@ def band_keys(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-_OUT = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
-_DDL = "kind string, node long, rid long, start int, stop int, keys array<long>, shingles binary"
+_OUT = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary())])
+_DDL = "kind string, node long, rid long, pos int, start int, stop int, keys array<long>, shingles binary"
 
 
 def places(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +149,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, text) -> kept windows ('window'), long lines ('line'), and once a batch each line's keys and shingles ('content')."""
     cache = _Words()
     for batch in batches:
-        found: list[tuple[str, np.ndarray, int, np.ndarray, np.ndarray]] = []
+        found: list[tuple[str, np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]] = []
         contents: dict[int, np.ndarray] = {}
         for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             words = (text or b"").lower().split()
@@ -151,7 +159,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, stop, line, points = places(text)
             x = runs_of(h, WINDOW)
             at = kept_windows(x)
-            found.append(("window", x[at], rid, points[start[at]], points[stop[at + WINDOW - 1]]))
+            found.append(("window", x[at], rid, points[start[at]], points[stop[at + WINDOW - 1]], at))
             first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             nodes, a, b = [], [], []
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(h)]):
@@ -163,7 +171,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if node not in contents:
                         contents[node] = runs_of(h[i:j], SHINGLE)
             if nodes:
-                found.append(("line", np.array(nodes, np.uint64), rid, np.array(a), np.array(b)))
+                found.append(("line", np.array(nodes, np.uint64), rid, np.array(a), np.array(b), np.zeros(len(a))))
         if not found:
             continue
         sizes = [len(f[1]) for f in found]
@@ -172,13 +180,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = lambda i, t: np.concatenate([f[i] for f in found]).astype(t)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.repeat([f[0] for f in found], sizes), pa.string()), pa.array(join(1, np.uint64).view(np.int64)), pa.array(np.repeat([f[2] for f in found], sizes), pa.int64()),
-            pa.array(join(3, np.int32)), pa.array(join(4, np.int32)), *blank], schema=_OUT)
+            pa.array(join(5, np.int32)), pa.array(join(3, np.int32)), pa.array(join(4, np.int32)), *blank], schema=_OUT)
         lines = list(contents.items())
         for k in range(0, len(lines), BLOCK):
             part = lines[k:k + BLOCK]
             n, keys = len(part), band_keys([x for _, x in part], BANDS, ROWS)
             yield pa.RecordBatch.from_arrays([
-                pa.array(["content"] * n), pa.array(np.array([node for node, _ in part], np.uint64).view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+                pa.array(["content"] * n), pa.array(np.array([node for node, _ in part], np.uint64).view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
                 pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([np.unique(x.astype(np.uint32)).tobytes() for _, x in part], pa.binary())], schema=_OUT)
 
 
@@ -248,15 +256,68 @@ def line_classes(sketch: DataFrame, threshold: float, group_bound: int) -> DataF
     return components(links)
 
 
-def occurrences(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY, group_bound: int = 20_000) -> DataFrame:
-    """(rid, kind, start, stop, class, keeper): all places of windows and lines that occur in two or more documents.
+_GROWN = pa.schema([("node", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text, places) -> each asked window with 1 to ``REACH - 1`` words more on the asked sides: hash, place."""
+    cache = _Words()
+    for batch in batches:
+        out: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
+        for rid, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            words = text.lower().split()
+            h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+            start, stop, _, points = places(text)
+            for side in ("left", "right"):
+                at = np.array([p["pos"] for p in asked if p[side]], np.int64)
+                key = np.array([p["node"] for p in asked if p[side]], np.int64).view(np.uint64) + np.uint64(1 + (side == "left"))
+                for n in range(1, REACH):
+                    inside = at >= n if side == "left" else at + WINDOW + n <= len(h)
+                    at, key = at[inside], key[inside]
+                    first, last = (at - n, at + WINDOW - 1) if side == "left" else (at, at + WINDOW - 1 + n)
+                    key = mix(key * BASE + h[first if side == "left" else last])
+                    out.append((key, rid, points[start[first]], points[stop[last]]))
+        if out:
+            join = lambda i, t: np.concatenate([x[i] for x in out]).astype(t)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(join(0, np.uint64).view(np.int64)), pa.array(np.repeat([x[1] for x in out], [len(x[0]) for x in out]), pa.int64()),
+                pa.array(join(2, np.int32)), pa.array(join(3, np.int32))], schema=_GROWN)
+
+
+def repeated_of(places_: DataFrame) -> DataFrame:
+    """(node, keeper) of the nodes that occur in two or more documents."""
+    return written(places_.groupBy("node").agg(F.min("rid").alias("keeper"), F.max("rid").alias("last")).where("keeper <> last").select("node", "keeper"))
+
+
+def grown(docs: DataFrame, windows: DataFrame, broadcast_places: int) -> DataFrame:
+    """(rid, start, stop, node, keeper): repeated windows with the words beside them that repeat too.
+
+    A window needs no growing towards a neighbour of the same keeper: words that
+    repeat up to that neighbour lie in it, and a longer repeat holds the neighbour.
+    All places of a window are grown if one of them must be.
+    """
+    order = Window.partitionBy("rid").orderBy("pos")
+    ended = lambda x: ~F.coalesce((F.abs(x("pos").over(order) - F.col("pos")) <= WINDOW) & (x("keeper").over(order) == F.col("keeper")), F.lit(False))
+    ends = windows.select("node", ended(F.lag).alias("left"), ended(F.lead).alias("right"))
+    asked = ends.groupBy("node").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
+    asked = written(windows.select("node", "rid", "pos").join(asked, "node").groupBy("rid").agg(F.collect_list(F.struct("pos", "node", "left", "right")).alias("places")))
+    few = (asked.agg(F.sum(F.size("places"))).first()[0] or 0) <= broadcast_places
+    held = docs.join(F.broadcast(asked) if few else asked.hint("merge"), "rid").select("rid", "text", "places")
+    longer = written(held.mapInArrow(_grown, "node long, rid long, start int, stop int"))
+    return longer.join(repeated_of(longer), "node").select("rid", "start", "stop", "node", "keeper")
+
+
+def occurrences(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY, group_bound: int = 20_000, broadcast_places: int = 1_000_000) -> DataFrame:
+    """(rid, kind, start, stop, class, keeper): all places of windows, grown windows and lines that occur in two or more documents.
 
     ``docs`` has ``rid``; ``keeper`` is the smallest rid of the class.
     """
-    sketch = written(docs.select("rid", F.col(text).alias("text")).mapInArrow(_sketch, _DDL))
-    windows = sketch.where("kind = 'window'").select("node", "rid", "start", "stop")
-    repeated = written(windows.groupBy("node").agg(F.min("rid").alias("keeper"), F.max("rid").alias("last")).where("keeper <> last").select("node", "keeper"))
-    of_windows = windows.join(repeated, "node").select("rid", F.lit("passage").alias("kind"), "start", "stop", F.col("node").alias("class"), "keeper")
+    docs = docs.select("rid", F.col(text).alias("text"))
+    sketch = written(docs.mapInArrow(_sketch, _DDL))
+    windows = sketch.where("kind = 'window'").select("node", "rid", "pos", "start", "stop")
+    windows = written(windows.join(repeated_of(windows), "node"))
+    of_windows = windows.select("rid", "start", "stop", "node", "keeper").union(grown(docs, windows, broadcast_places))
+    of_windows = of_windows.select("rid", F.lit("passage").alias("kind"), "start", "stop", F.col("node").alias("class"), "keeper")
     roots = line_classes(sketch, threshold, group_bound)
     lines = sketch.where("kind = 'line'").select("node", "rid", "start", "stop")
     lines = lines.join(roots, "node", "left").select("rid", "start", "stop", F.coalesce("root", "node").alias("class"))

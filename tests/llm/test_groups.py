@@ -156,6 +156,40 @@ def test_repeated_passages_and_paragraphs(make_docs, corpus):
     assert paragraphs.repeats(make_docs(rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_spans_hold_whole_repeats(make_docs, limit):
+    rng = random.Random(8)
+    prose = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [prose(n) for n in (50, 51, 60, 87, 300) for _ in range(4)]
+    rows = [(10 * n + k, prose(rng.randint(0, 70)) + p + prose(rng.randint(0, 70))) for n, p in enumerate(passages) for k in range(3)]
+    part, whole = prose(35), prose(40)  # two documents share more than the first with the window does
+    rows += [(900, prose(40) + part + prose(40)), (901, prose(9) + part + whole + prose(9)), (902, prose(30) + part + whole + prose(50)), (903, whole + part + prose(20))]
+    rows += [(910 + k, ["x"] * (70 + 7 * k) + prose(9)) for k in range(3)]  # one word all along
+    docs = make_docs([(i, " ".join(w)) for i, w in rows]).coalesce(1).orderBy("doc_id")
+    found, texts = paragraphs.repeats(docs, broadcast_places=limit).where("kind = 'passage'").collect(), dict(rows)
+    spans, cut = defaultdict(list), defaultdict(list)
+    for r in found:
+        keeper = " ".join(texts[r["keeper_doc_id"]])
+        text = " ".join(texts[r["doc_id"]])
+        spans[r["doc_id"]] += [(s["start"], s["stop"]) for s in r["spans"]]
+        if r["removed"]:
+            cut[r["doc_id"]] += [(s["start"], s["stop"]) for s in r["spans"]]
+            if r["doc_id"] < 910:
+                assert all(text[s["start"]:s["stop"]] in keeper for s in r["spans"])
+    runs = defaultdict(set)
+    for i, w in rows:
+        for k in range(len(w) - 49):
+            runs[tuple(w[k:k + 50])].add((i, k))
+    kept = {i: paragraphs.remove(" ".join(w), cut[i]).split() for i, w in rows}
+    for run, places in runs.items():
+        if len({i for i, _ in places}) > 1:
+            assert any(set(run) <= set(kept[i]) for i, _ in places)
+            for i, k in places:
+                a = len(" ".join(texts[i][:k])) + (k > 0)
+                assert any(x <= a and a + len(" ".join(run)) <= y for x, y in paragraphs.merged(spans[i])), (i, k)
+    assert sum(len(kept[10 * n + k]) for n in range(20) for k in (1, 2)) == sum(len(texts[10 * n + k]) - len(passages[n]) for n in range(20) for k in (1, 2))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_verified_forest(seed):
     rng = random.Random(seed)
