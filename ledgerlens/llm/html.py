@@ -4,9 +4,12 @@ A page is read once into text events and element ranges.  Every element outside
 the running text has a hash of its subtree (tag names and text, attributes left
 out).  Spark counts on how many pages of a host each subtree occurs; subtrees
 that recur on many of them are template and are deleted, besides what tags and
-class names already show to be navigation, adverts, forms or comments.  Blocks
-of an article's own text (paragraphs, headings, list items and so on) are never
-template, so copies of an article keep their text.
+class names already show to be navigation, adverts, forms or comments.  Pages
+are counted once for each content: the longest block of their articles, or the
+whole body where there is no article.  So copies of an article make no template,
+and what lies in an article is template only if it recurs beside different
+longest blocks; blocks of text (paragraphs, headings, list items and so on) and
+whatever holds the longest block never are.
 
 Counting is a grouped sum over (host, subtree), combined before the shuffle: a
 host with a third of all pages is many keys.  The list of recurring subtrees a
@@ -137,12 +140,44 @@ def read(html: str) -> tuple[list[str | None], list[Element]]:
     return events, done
 
 
-def candidates(html: str) -> set[int]:
-    """Hashes of the subtrees that may be template: not prose, and not around the article."""
-    _, elements = read(html)
+def articles(elements: list[Element]) -> list[Element]:
+    """The articles of a page, or else its main elements."""
+    mains = [e for e in elements if e.main and not e.beside]
+    return [e for e in mains if e.tag == "article"] or mains
+
+
+def longest(events: list[str | None], spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """The longest text block in the spans of events, and where it begins."""
+    best, place = "", 0
+    for start, stop in spans:
+        now, at = [], start
+        for i in range(start, stop + 1):
+            text = events[i] if i < stop else None
+            if text is not None:
+                now.append(text)
+                continue
+            block = SPACE.sub(" ", "".join(now)).strip(" ")
+            if len(block) > len(best):
+                best, place = block, next(k for k in range(at, i) if SPACE.sub("", events[k] or ""))
+            now, at = [], i + 1
+    return best, place
+
+
+def candidates(html: str) -> tuple[int, set[int]]:
+    """Hash of the content, and hashes of the subtrees that may be template: not prose, not around the article, not around its longest block."""
+    events, elements = read(html)
     mains = sorted(e.start for e in elements if e.main)
-    return {e.digest for e in elements
-            if e.tag not in PROSE and not e.main and e.parts and bisect_right(mains, e.stop - 1) == bisect_right(mains, e.start - 1)}
+    kept = articles(elements)
+    if kept:
+        block, place = longest(events, sorted({(e.start, e.stop) for e in kept}))
+        content = xxhash.xxh64_intdigest(block.encode("utf-8", "surrogatepass")) >> 1
+        own = {e.digest for e in elements if e.start <= place < e.stop}
+    else:
+        bodies = [e.digest for e in elements if e.tag == "body"]
+        content = xxhash.xxh64_intdigest(repr(bodies or events).encode("utf-8", "surrogatepass")) >> 1
+        own = set()
+    return content, {e.digest for e in elements
+                     if e.tag not in PROSE and not e.main and e.parts and bisect_right(mains, e.stop - 1) == bisect_right(mains, e.start - 1)} - own
 
 
 def extract(html: str | None, template: set[int]) -> str:
@@ -179,15 +214,17 @@ def host_of(url: Column) -> Column:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, host, html) -> (rid, host, subtree), once a page."""
+    """(rid, host, html) -> (rid, host, content, subtree), once a page, and a row without subtree for each page."""
     for batch in batches:
-        places, subtrees = [], []
+        places, contents, subtrees = [], [], []
         for i, html in enumerate(batch.column(2).to_pylist()):
-            for s in candidates(html or ""):
+            content, found = candidates(html or "")
+            for s in (None, *found):
                 places.append(i)
+                contents.append(content)
                 subtrees.append(s)
         at = pa.array(places, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(subtrees, pa.int64())], names=["rid", "host", "subtree"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(contents, pa.int64()), pa.array(subtrees, pa.int64())], names=["rid", "host", "content", "subtree"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +238,14 @@ def main_text(pages: DataFrame, keep: list[str], url: str = "url", html: str = "
               broadcast_rows: int = 200_000) -> DataFrame:
     """One row per page: the columns ``keep``, and ``text``.
 
-    A subtree is template on a host where it occurs on at least ``min_pages``
-    pages and ``min_share`` of all.
+    A subtree is template on a host where it occurs with at least ``min_pages``
+    contents and ``min_share`` of all; pages of one content count once.
     """
     held = steady(pages).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("rid"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
-    seen = written(held.select("rid", "host", "html").mapInArrow(_candidates, "rid long, host string, subtree long"))
-    sizes = held.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    often = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    seen = written(held.select("rid", "host", "html").mapInArrow(_candidates, "rid long, host string, content long, subtree long"))
+    counts = seen.select("host", "subtree", "content").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.where("subtree IS NULL").select("host", F.col("n").alias("n_host"))
+    often = counts.where("subtree IS NOT NULL").where(F.col("n") >= min_pages)
     often = often.join(sizes, "host").where(F.col("n") >= min_share * F.col("n_host")).select("host", "subtree")
     template = written(seen.join(often, ["host", "subtree"]).groupBy("rid").agg(F.collect_list("subtree").alias("template")))
     side = F.broadcast(template) if template.count() <= broadcast_rows else template.hint("merge")

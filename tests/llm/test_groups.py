@@ -300,6 +300,23 @@ def test_templates_recur_on_a_host(spark):
     assert html.main_text(pages.limit(0), ["page_id"]).count() == 0
 
 
+def test_copied_articles_keep_their_text(spark):
+    inner = ("<h1>Title</h1>{0}<div class=x><p>The longest paragraph of this article stands in a div.</p><div>and a div</div></div><section><p>Another part.</p></section>"
+             "<ul><li>one<li>two</ul><table><tbody><tr><td>a<td>b</table><figure><figcaption>seen</figcaption></figure>")
+    want = "Title\n\nThe longest paragraph of this article stands in a div.\n\nand a div\n\nAnother part.\n\none\n\ntwo\n\na\n\nb\n\nseen"
+    page = lambda body: f"<html><body><div>Site</div>{body}</body></html>"
+    rows = [(i, "http://copies.example/", page(f"<article>{inner.format('')}</article>")) for i in range(12)]
+    rows += [(100 + i, "http://dated.example/", page(f"<article>{inner.format(f'<p>May {i}</p>')}</article>")) for i in range(12)]
+    rows += [(200 + i, "http://bare.example/", page("<div><p>All text of a page without article.</p></div>")) for i in range(12)]
+    rows += [(300 + i, "http://boxes.example/", page(f"<article><p>Article {i} has words of its own, and more of them.</p><div>Share this</div></article>")) for i in range(12)]
+    found = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), ["page_id"]).collect()}
+    for i in range(12):
+        assert found[i] == want
+        assert found[100 + i] == want.replace("Title", f"Title\n\nMay {i}")
+        assert found[200 + i] == "Site\n\nAll text of a page without article."
+        assert found[300 + i] == f"Article {i} has words of its own, and more of them."
+
+
 # ------------------------------------------------------------------ scores
 
 def test_elias_fano():
