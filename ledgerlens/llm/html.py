@@ -16,6 +16,11 @@ host with a third of all pages is many keys.  The list of recurring subtrees a
 page has returns by page; it is broadcast only up to ``broadcast_rows`` pages,
 beyond that it is joined by a shuffle.
 
+Class names and ids never remove the body, an article or main element that is not
+part of another article, or what encloses one.  Scripts, styles, titles and text
+areas that are not closed reach to the end of the page; other embedded parts that
+are not closed, and self-closed ones, are empty.
+
 Defined cases: a null or empty page has the empty text; a null address is a host
 of its own; repeated pages are extracted one by one and count as pages; unclosed
 and stray tags are closed or ignored; an empty table gives an empty table; extra
@@ -52,6 +57,8 @@ SELF_CLOSING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "d
                 "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>", re.S)
 MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+RAW_TO_END = frozenset("script style title textarea".split())
+CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -64,6 +71,10 @@ class Element:
     stop: int = -1
     digest: int = 0
     inside: bool = False  # of an article or main element
+    nested: bool = False  # in an article
+    named: bool = False  # class or id has a word of BESIDE
+    under: bool = False  # an element named so, with no main element between
+    around: bool = False  # is or encloses an article or main element that is not nested
     parts: list[str] = field(default_factory=list)
 
 
@@ -78,8 +89,11 @@ def read(html: str) -> tuple[list[str | None], list[Element]]:
             e = stack.pop()
             e.stop = len(events)
             e.digest = xxhash.xxh64_intdigest(f"{e.tag}({''.join(e.parts)})") >> 1
+            e.around |= e.main and not e.nested
+            e.beside |= e.named and not e.around and e.tag not in ("body", "html")
             if stack:
                 stack[-1].parts.append(f"<{e.digest}>")
+                stack[-1].around |= e.around
             done.append(e)
 
     def say(raw: str) -> None:
@@ -115,8 +129,11 @@ def read(html: str) -> tuple[list[str | None], list[Element]]:
                 events.append(None)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            end = None if CLOSED.search(m[3] or "") else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if end:
+                at = end.end()
+            elif tag in RAW_TO_END and not CLOSED.search(m[3] or ""):
+                at = len(html)
             continue
         if tag in BLOCKS:
             closing, until = SELF_CLOSING.get(tag, ("", ()))
@@ -131,9 +148,11 @@ def read(html: str) -> tuple[list[str | None], list[Element]]:
                 close(p)
             events.append(None)
         marks = {k.lower(): a or b or c for k, a, b, c in MARKS.findall(m[3] or "")}
-        beside = tag in OUTSIDE or bool(BESIDE.search(marks.get("class", ""))) or bool(BESIDE.search(marks.get("id", "")))
-        e = Element(tag, len(events), beside, tag in ("article", "main") or marks.get("role") == "main")
+        e = Element(tag, len(events), tag in OUTSIDE, tag in ("article", "main") or marks.get("role") == "main")
         e.inside = bool(stack) and (stack[-1].inside or stack[-1].main)
+        e.nested = bool(stack) and (stack[-1].nested or stack[-1].tag == "article")
+        e.under = bool(stack) and not (stack[-1].main and stack[-1].tag != "article") and (stack[-1].under or stack[-1].named and stack[-1].tag not in ("body", "html"))
+        e.named = bool(BESIDE.search(marks.get("class", "")) or BESIDE.search(marks.get("id", "")))
         e.beside |= tag == "header" and not e.inside
         stack.append(e)
     close(0)
@@ -141,9 +160,10 @@ def read(html: str) -> tuple[list[str | None], list[Element]]:
 
 
 def articles(elements: list[Element]) -> list[Element]:
-    """The articles of a page, or else its main elements."""
+    """The articles of a page, or else its main elements; both if an article may be a comment by the names around it."""
     mains = [e for e in elements if e.main and not e.beside]
-    return [e for e in mains if e.tag == "article"] or mains
+    found = [e for e in mains if e.tag == "article"]
+    return mains if any(e.under and not e.nested for e in found) else found or mains
 
 
 def longest(events: list[str | None], spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -187,10 +207,7 @@ def extract(html: str | None, template: set[int]) -> str:
     for e in elements:
         if e.beside or (e.digest in template and e.tag not in PROSE and not e.main):
             gone[e.start:e.stop] = b"\1" * (e.stop - e.start)
-    for wanted in ("article", "main"):
-        kept = [e for e in elements if e.main and (e.tag == "article") == (wanted == "article") and not e.beside and not (e.start < e.stop and gone[e.start])]
-        if kept:
-            break
+    kept = articles([e for e in elements if not (e.start < e.stop and gone[e.start])])
     if kept:
         shown = bytearray(len(events))
         for e in kept:

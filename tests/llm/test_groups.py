@@ -289,6 +289,22 @@ def test_article_text():
     assert html.extract("<p>no article<table><tr><td>a<td>b</table>tail</div></p>", set()) == "no article\n\na\n\nb\n\ntail"
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "with-side", "post social", "nav-open"])
+def test_class_words_leave_the_article(name):
+    text = "<p>Text.</p><section class=comments><article class=comment><p>first!</p></article></section>"
+    for page in (f"<body class='{name}'><article>{text}</article></body>", f"<body><div id='x' class='{name}'><main>{text}</main></div>", f"<html class='{name}'><body id='{name}'><p>Text.</p>",
+                 f"<body><main class='{name}'><div class='{name}'><article>{text}</article></div></main></body>", f"<body><article class='{name}'>{text}</article><div class='{name}'>ad</div></body>"):
+        assert html.extract(page, set()).split("\n\n")[0] == "Text."
+    assert html.extract(f"<article class='{name}'>{text}</article>", set()) == "Text."
+
+
+def test_unclosed_embedded_parts_leave_the_rest():
+    for tag in ("svg", "math", "object", "template", "iframe", "noscript"):
+        assert html.extract(f"<article><p>a</p><{tag}/><p>b</p><{tag} x='1' /><p>c</p><{tag}>", set()) == "a\n\nb\n\nc"
+        assert html.extract(f"<article><p>a</p><{tag}><p>b</p>", set()) == "a\n\nb"
+    assert html.extract("<article><p>a</p><script src='x'/><p>b</p><script src=/x/>no</script><style>no", set()) == "a\n\nb"
+
+
 def test_templates_recur_on_a_host(spark):
     body = "<div><p>Box of this site</p></div><div id=x><p>page {0} has its own words</p></div>"
     rows = [(i, "http://a.example/" + str(i), body.format(i)) for i in range(20)] + [(99, "http://b.example/", body.format(99)), (100, None, None), (0, "http://a.example/0", body.format(0))]
