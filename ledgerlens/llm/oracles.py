@@ -55,8 +55,23 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0)
 FROM based"""
 
 
+CHATS_SQL = r"""
+WITH chat_rows AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+named AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM chat_rows),
+escaped AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?(INST|SYS|ROLE)\]|(NAME|NEXT)\])', '\1\\\2\3', 'g')) AS chars,
+  length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?(INST|SYS|ROLE)\]|(NAME|NEXT)\])', '\1\\\2\3', 'g')) AS role_chars,
+  lag(role) OVER w AS before, lead(role) OVER w AS after FROM named WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+marked AS (SELECT *, CASE WHEN before = role THEN 6 WHEN role = 'user' THEN 6 WHEN role = 'system' THEN 5 WHEN role = 'assistant' THEN 0 ELSE 12 + role_chars END
+  + CASE WHEN after = role THEN 0 WHEN role = 'user' THEN 7 WHEN role = 'system' THEN 6 WHEN role = 'assistant' THEN 4 ELSE 7 END AS marks FROM escaped),
+whole AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS spoken,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS trained, 3 + sum(chars + marks) AS formatted_chars FROM marked GROUP BY conv_id)
+SELECT conv_id, n AS n_turns, sha256(spoken) AS turns_sha256, CAST(length(trained) AS BIGINT) AS loss_chars, sha256(trained) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars FROM whole"""
+
 ORACLES: dict[str, str] = {
     "op3_warc": RESOLVE_SQL,
     "op5_fm_index": windows_sql(),
     "op7_quality": quality_sql(),
+    "op11_chat": CHATS_SQL,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import bpe, fm_index, html, lm, paragraphs, pii, quality, ring, simhash, warc
+from ledgerlens.llm import bpe, chat, fm_index, html, lm, paragraphs, pii, quality, ring, simhash, warc
 from ledgerlens.llm.common import table
 from ledgerlens.llm.oracles import ORACLES as ORACLES
 
@@ -65,6 +65,14 @@ def op10_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keeper_doc_id", "kind", "removed", chars.alias("n_chars"), F.concat_ws(",", places).alias("spans"))
 
 
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(said).alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digests(chat.format_turns(rows))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_ring": op2_ring,
@@ -76,5 +84,6 @@ QUERIES: dict[str, Query] = {
     "op8_lm": op8_lm,
     "op9_html": op9_html,
     "op10_paragraphs": op10_paragraphs,
+    "op11_chat": op11_chat,
     "pipeline": corpus_pipeline.run,
 }
