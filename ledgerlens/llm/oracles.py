@@ -55,6 +55,43 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0)
 FROM based"""
 
 
+def collocations_sql(threshold: int = 100, top: int = 2000) -> str:
+    body = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    return f"""
+WITH pieces AS (SELECT lang, row_number() OVER () AS p, ws FROM (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({body}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)) WHERE len(ws) > 0),
+sums AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(ws) >= size)),
+counted AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= {threshold}),
+candidates AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM counted WHERE size > 1),
+inside AS (SELECT DISTINCT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, a FROM (SELECT lang, ws, a, m, unnest(range(1, size - m + 2)) AS i
+  FROM candidates, (SELECT unnest([2, 3, 4]) AS m) WHERE m < size)),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:size], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates ANTI JOIN inside USING (lang, phrase, a))),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, n, CAST((1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = head JOIN counted y ON y.lang = c.lang AND y.phrase = tail JOIN sums s ON s.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {top}"""
+
+
+def ranking_sql(k: int = 10) -> str:
+    terms = f"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+WITH items AS (SELECT item_id, row_number() OVER () AS item, {terms} AS ts FROM benchmark),
+asked AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(ts) AS term FROM items) GROUP BY item, term),
+docs AS (SELECT doc_id, row_number() OVER () AS r, {terms} AS ts FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT doc_id, r, len(ts) AS n FROM docs WHERE len(ts) > 0),
+whole AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM sized),
+counted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weighed AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, whole GROUP BY term),
+scored AS (SELECT item, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l))))) AS BIGINT) AS score
+  FROM counted JOIN weighed USING (term) JOIN asked USING (term) JOIN sized USING (r), whole GROUP BY item, doc_id, r),
+ranked AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= {k}"""
+
+
 CHATS_SQL = r"""
 WITH chat_rows AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -74,4 +111,6 @@ ORACLES: dict[str, str] = {
     "op5_fm_index": windows_sql(),
     "op7_quality": quality_sql(),
     "op11_chat": CHATS_SQL,
+    "op12_reversed_search": ranking_sql(),
+    "op13_phrases": collocations_sql(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import bpe, chat, fm_index, html, lm, paragraphs, pii, quality, ring, simhash, warc
+from ledgerlens.llm import bpe, chat, fm_index, html, lm, paragraphs, phrases, pii, quality, reversed_search, ring, simhash, warc
 from ledgerlens.llm.common import table
 from ledgerlens.llm.oracles import ORACLES as ORACLES
 
@@ -73,6 +73,14 @@ def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows))
 
 
+def op12_reversed_search(spark: SparkSession, folder: str) -> DataFrame:
+    return reversed_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_ring": op2_ring,
@@ -85,5 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_html": op9_html,
     "op10_paragraphs": op10_paragraphs,
     "op11_chat": op11_chat,
+    "op12_reversed_search": op12_reversed_search,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
