@@ -9,7 +9,7 @@ every shard once, wherever in the cycle it began.  Scans end when no phrase is
 left on its way.
 
 Which phrases have reached the threshold, and in which scan, is told to the tasks
-by a table of ``slots`` bytes: the slot of a phrase's hash holds one more than
+by a table of ``slots`` bytes, sent compressed: the slot of a phrase's hash holds one more than
 that scan, and a slot that is set never changes.  A shared slot makes a phrase
 count too early, never too late, and every task and scan sees the same slot, so
 each phrase has one definite first scan and its cycle stays whole.  Phrases are
@@ -32,6 +32,7 @@ their names.  Ties go by count, then by phrase in byte order.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,16 +127,27 @@ def _levels(lang: str, ids: bytes, words: bytes, table: np.ndarray) -> Iterator[
         longer = np.zeros(len(hashes) - 1, np.uint64)
         longer[places] = mixed
         hashes = longer
+        # a shared slot may have been set before the phrase itself could be counted
+        told = table[_slot(mixed, len(table))].astype(np.int64)
         reached = np.zeros(len(hashes), np.int64)
-        reached[places] = table[_slot(mixed, len(table))]
+        reached[places] = np.where(told > 0, np.maximum(told, first), 0)
+
+
+def _packed(table: np.ndarray) -> bytes:
+    return zlib.compress(table.tobytes(), 1)
+
+
+def _table(shared) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shared.value), np.uint8)
 
 
 def _scanner(shared, scan: int) -> object:
     """Blocks to rows (hash, told): told holds count, first scan and length of a phrase counted in this scan."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(shared)
         for batch in batches:
             for lang, ids, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for length, places, hashes, first in _levels(lang, ids, words, shared.value):
+                for length, places, hashes, first in _levels(lang, ids, words, table):
                     if length == 1:
                         if scan >= SHARDS:
                             continue
@@ -154,7 +166,7 @@ def _scanner(shared, scan: int) -> object:
 def _texts(shared) -> object:
     """Blocks to rows (lang, hash, phrase, n) of the phrases all of whose subphrases, and which themselves, have their slots set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = _table(shared)
         for batch in batches:
             for lang, ids, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 at, vocabulary = np.frombuffer(ids, np.uint32), [b"", *words.split(b" ")]
@@ -187,12 +199,13 @@ def frequent(blocks: DataFrame, threshold: int, slots: int = 1 << 24) -> DataFra
     scan, until, state, ended = 0, SHARDS, None, []
     count, first, length = F.expr("told div 65536"), F.expr("(told div 256) % 256"), F.expr("told % 256")
     while scan < until:
-        shared = spark.sparkContext.broadcast(table)
+        shared = spark.sparkContext.broadcast(_packed(table))
         own = blocks.where(F.col("shard") == scan % SHARDS).select("lang", "ids", "words").mapInArrow(_scanner(shared, scan), "hash long, told long")
         if state is not None:
             own = own.union(state.where(first + SHARDS > scan))
         summed = own.groupBy("hash").agg((F.sum(count) * 65536 + F.max(F.expr("told % 65536"))).alias("told"))
         state = written(summed)
+        shared.destroy()
         ended.append(state.where((first + SHARDS - 1 == scan) & (count >= threshold)))
         slot = F.expr(f"hash & {slots - 1}L")
         reached = state.where(count >= threshold).groupBy(slot.alias("slot")).agg(F.min(length).alias("length")).toArrow()
@@ -203,7 +216,7 @@ def frequent(blocks: DataFrame, threshold: int, slots: int = 1 << 24) -> DataFra
         if len(new):
             until = scan + 1 + SHARDS
         scan += 1
-    shared = spark.sparkContext.broadcast(np.maximum(table, longest))
+    shared = spark.sparkContext.broadcast(_packed(np.maximum(table, longest)))
     texts = blocks.select("lang", "ids", "words").mapInArrow(_texts(shared), "lang string, hash long, phrase string, n long")
     hashes = ended[0]
     for more in ended[1:]:
