@@ -12,7 +12,7 @@ kept.  Equal passages keep equal windows, so a passage of ``WINDOW + REACH - 1``
 kept windows of a repeat leave up to ``REACH - 1`` words at either end: there the
 windows grow word by word as long as another document has the same words, so
 that spans hold the whole repeat.  Each grown run has a keeper of its own, the
-first document with that run, and what a document loses stands in the keeper.
+first of the documents known to hold that run, and what a document loses stands in the keeper.
 
 Of every class the first document keeps its text; the others list the spans to
 remove.  Result rows are (document, keeper) pairs with spans.
@@ -22,8 +22,9 @@ them; band keys are counted before any row is joined back; a band of many lines
 gives one edge a line.  A candidate class is verified in groups of at most
 ``group_bound`` lines (pairs of blocks beyond that, so no pair is lost), and inside
 a group only lines outside the largest component are compared with all others.
-Only windows at the end of a run of windows with one keeper are grown, by grouped
-minima over hashes of (window, words beside it); texts of documents with such
+Only windows at the end of a run of windows with one keeper are grown: the words
+beside them (32-bit hashes) are sorted over all tasks by ranges, and a row shares
+most words with the nearest row of another document before or after it; texts of documents with such
 windows are read again, by broadcast up to ``broadcast_places`` places and by a
 shuffle beyond that.
 
@@ -37,10 +38,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +56,7 @@ WINDOW, REACH = 30, 21
 SHINGLE = 5
 SIMILARITY, RECALL, ROWS = 0.8, 0.9995, 4
 BLOCK = 8192  # lines hashed together
+SORTED = 100_000  # rows beside windows that one task sorts
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -256,32 +260,114 @@ def line_classes(sketch: DataFrame, threshold: float, group_bound: int) -> DataF
     return components(links)
 
 
-_GROWN = pa.schema([("node", pa.int64()), ("rid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_BESIDE = "node long, beside binary, rid long, left boolean, start int, stop int, cuts binary, open boolean"
 
 
-def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, text, places) -> each asked window with 1 to ``REACH - 1`` words more on the asked sides: hash, place."""
-    cache = _Words()
+def _varying(matrix: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Binary values: the valid leading entries of each row."""
+    offsets = np.concatenate([[0], np.cumsum(valid.sum(1) * matrix.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(matrix[valid].tobytes())])
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, text, places) -> one row for each asked side of a window: up to ``REACH - 1`` words beside it, as 32-bit hashes, and where they end."""
+    cache, width = _Words(), np.arange(REACH - 1)
     for batch in batches:
-        out: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]] = []
-        for rid, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+        if not batch.num_rows:
+            continue
+        hashes, begins, ends = [], [], []
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
             words = text.lower().split()
-            h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
             start, stop, _, points = places(text)
-            for side in ("left", "right"):
-                at = np.array([p["pos"] for p in asked if p[side]], np.int64)
-                key = np.array([p["node"] for p in asked if p[side]], np.int64).view(np.uint64) + np.uint64(1 + (side == "left"))
-                for n in range(1, REACH):
-                    inside = at >= n if side == "left" else at + WINDOW + n <= len(h)
-                    at, key = at[inside], key[inside]
-                    first, last = (at - n, at + WINDOW - 1) if side == "left" else (at, at + WINDOW - 1 + n)
-                    key = mix(key * BASE + h[first if side == "left" else last])
-                    out.append((key, rid, points[start[first]], points[stop[last]]))
-        if out:
-            join = lambda i, t: np.concatenate([x[i] for x in out]).astype(t)
+            hashes.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
+            begins.append(points[start])
+            ends.append(points[stop])
+        sizes = np.array([len(h) for h in hashes])
+        h, begin, end = mix(np.concatenate(hashes)).astype(np.uint32), np.concatenate(begins), np.concatenate(ends)
+        asked = batch.column(2)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+        pos, node, left, right = (asked.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+        rid = batch.column(0).to_numpy()
+        base = (np.cumsum(sizes) - sizes)[doc] + pos
+        for side, mine in ((True, left.astype(bool)), (False, right.astype(bool))):
+            room = pos if side else sizes[doc] - pos - WINDOW
+            mine = np.flatnonzero(mine & (room > 0))
+            if not len(mine):
+                continue
+            valid = width < room[mine, None]
+            at = np.where(valid, base[mine, None] + (-1 - width if side else WINDOW + width), 0)
             yield pa.RecordBatch.from_arrays([
-                pa.array(join(0, np.uint64).view(np.int64)), pa.array(np.repeat([x[1] for x in out], [len(x[0]) for x in out]), pa.int64()),
-                pa.array(join(2, np.int32)), pa.array(join(3, np.int32))], schema=_GROWN)
+                pa.array(mix(node[mine].view(np.uint64) + np.uint64(1 + side)).view(np.int64)), _varying(h[at], valid), pa.array(rid[doc[mine]]), pa.array(np.full(len(mine), side)),
+                pa.array(begin[base[mine]].astype(np.int32)), pa.array(end[base[mine] + WINDOW - 1].astype(np.int32)),
+                _varying((begin if side else end)[at].astype(np.int32), valid), pa.array(np.full(len(mine), True))],
+                names=["node", "beside", "rid", "left", "start", "stop", "cuts", "open"])
+
+
+def common_words(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+    """Sorted rows beside windows to (grown runs, rows that need the neighbouring tasks' rows).
+
+    The most words that a row shares with a row of another document are those that
+    it shares with the nearest such row before or after it.  Only the first and the
+    last document's rows of a task can have that neighbour in another task: they go on, with a
+    closed row of the next document beside them.  ``last``: there is no other task.
+    """
+    n, width = rows.num_rows, REACH - 1
+    node, rid = rows["node"].to_numpy(), rows["rid"].to_numpy()
+    open_ = rows["open"].to_numpy(zero_copy_only=False).astype(bool)
+    both = [rows[c].combine_chunks().cast(pa.binary()) if rows.num_rows else pa.array([], pa.binary()) for c in ("beside", "cuts")]
+    size = np.array(pa.compute.binary_length(both[0]).to_numpy(), np.int64) // 4
+    words, cuts = np.zeros((n, width), np.uint32), np.zeros((n, width), np.int32)
+    valid = np.arange(width) < size[:, None]
+    words[valid] = np.frombuffer(b"".join(both[0].to_pylist()), np.uint32)
+    cuts[valid] = np.frombuffer(b"".join(both[1].to_pylist()), np.int32)
+    alike = (words[1:] == words[:-1]) & valid[1:] & valid[:-1] & (node[1:] == node[:-1])[:, None]
+    shared = np.concatenate([[0], np.minimum.accumulate(alike, 1).sum(1), [0]])  # with the row before
+    same = np.concatenate([[False], rid[1:] == rid[:-1], [False]])
+    before, other = shared[:-1].copy(), np.concatenate([[0], rid[:-1]])
+    for i in np.flatnonzero(same[:-1]).tolist():
+        before[i], other[i] = min(before[i], before[i - 1]), other[i - 1]
+    after, another = shared[1:].copy(), np.concatenate([rid[1:], [0]])
+    for i in np.flatnonzero(same[1:])[::-1].tolist():
+        after[i], another[i] = min(after[i], after[i + 1]), another[i + 1]
+    if same[:-1].any():  # the first document has none before it, the last none after it
+        borders = np.flatnonzero(~same)
+        before[:borders[1]], after[borders[-2]:] = 0, 0
+    most = np.maximum(before, after)
+    witness = np.where(before >= after, other, another)
+    edge = np.zeros(n, bool)
+    if n and not last:
+        borders = np.flatnonzero(~same)  # starts of runs of one document, and n
+        edge[:borders[1]], edge[borders[-2]:] = True, True
+    passed = edge.copy()
+    if n and not last:
+        passed[min(borders[1], n - 1)], passed[max(borders[-2] - 1, 0)] = True, True
+    key = node.view(np.uint64).copy()
+    for j in range(width):
+        key = np.where(j < most, mix(key * BASE + words[:, j]), key)
+    left = rows["left"].to_numpy(zero_copy_only=False).astype(bool)
+    cut = cuts[np.arange(n), np.maximum(most - 1, 0)] if n else np.zeros(0, np.int32)
+    start, stop = np.where(left, cut, rows["start"].to_numpy()), np.where(left, rows["stop"].to_numpy(), cut)
+    done = np.flatnonzero(open_ & ~edge & (most > 0))
+    grown_ = pa.table({"node": key[done].view(np.int64), "rid": rid[done], "start": start[done].astype(np.int32), "stop": stop[done].astype(np.int32), "low": np.minimum(rid, witness)[done]})
+    return grown_, rows.filter(pa.array(passed)).set_column(7, "open", pa.array((open_ & edge)[passed]))
+
+
+def _neighbours(last: bool):
+    """Rows beside windows, sorted, to grown runs (``low`` not null) and rows that go on (``low`` null)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        grown_, further = common_words(pa.Table.from_batches(held), last)
+        for table_ in (grown_, further):
+            if table_.num_rows:
+                columns = [table_[f.name].combine_chunks() if f.name in table_.column_names else pa.nulls(table_.num_rows, f.type) for f in _MET]
+                yield pa.RecordBatch.from_arrays(columns, schema=_MET)
+
+    return run
+
+
+_MET = pa.schema([("node", pa.int64()), ("beside", pa.binary()), ("rid", pa.int64()), ("left", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32()), ("cuts", pa.binary()), ("open", pa.bool_()), ("low", pa.int64())])
 
 
 def repeated_of(places_: DataFrame) -> DataFrame:
@@ -299,12 +385,23 @@ def grown(docs: DataFrame, windows: DataFrame, broadcast_places: int) -> DataFra
     order = Window.partitionBy("rid").orderBy("pos")
     ended = lambda x: ~F.coalesce((F.abs(x("pos").over(order) - F.col("pos")) <= WINDOW) & (x("keeper").over(order) == F.col("keeper")), F.lit(False))
     ends = windows.select("node", ended(F.lag).alias("left"), ended(F.lead).alias("right"))
-    asked = ends.groupBy("node").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
-    asked = written(windows.select("node", "rid", "pos").join(asked, "node").groupBy("rid").agg(F.collect_list(F.struct("pos", "node", "left", "right")).alias("places")))
+    asked = written(ends.groupBy("node").agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right"))
+    asked = windows.select("node", "rid", "pos").join(asked, "node").select("rid", F.struct("pos", "node", "left", "right").alias("place"))
+    asked = written(asked.groupBy("rid").agg(F.collect_list("place").alias("places")))
     few = (asked.agg(F.sum(F.size("places"))).first()[0] or 0) <= broadcast_places
     held = docs.join(F.broadcast(asked) if few else asked.hint("merge"), "rid").select("rid", "text", "places")
-    longer = written(held.mapInArrow(_grown, "node long, rid long, start int, stop int"))
-    return longer.join(repeated_of(longer), "node").select("rid", "start", "stop", "node", "keeper")
+    beside, found, size = written(held.mapInArrow(_beside, _BESIDE)), [], SORTED
+    while True:
+        tasks, size = -(-beside.count() // size) or 1, 2 * size  # what goes on is a few rows a task, or one document's
+        sorted_ = beside.repartitionByRange(tasks, "node", "beside", "rid") if tasks > 1 else beside.coalesce(1)
+        met = written(sorted_.sortWithinPartitions("node", "beside", "rid").mapInArrow(_neighbours(tasks == 1), _BESIDE + ", low long"))
+        found.append(met.where("low IS NOT NULL").select("node", "rid", "start", "stop", "low"))
+        if tasks == 1:
+            break
+        beside = met.where("low IS NULL").drop("low")
+    runs = reduce(DataFrame.union, found)
+    keepers = written(runs.groupBy("node").agg(F.min("low").alias("keeper")))
+    return runs.join(keepers, "node").select("rid", "start", "stop", "node", "keeper")
 
 
 def occurrences(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY, group_bound: int = 20_000, broadcast_places: int = 1_000_000) -> DataFrame:

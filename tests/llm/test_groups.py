@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from ledgerlens.llm import common, html, lm, paragraphs, ring, simhash, warc
@@ -156,8 +157,9 @@ def test_repeated_passages_and_paragraphs(make_docs, corpus):
     assert paragraphs.repeats(make_docs(rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_spans_hold_whole_repeats(make_docs, limit):
+@pytest.mark.parametrize("limit, sorted_rows", [(1_000_000, 100_000), (0, 100_000), (1_000_000, 7)])
+def test_spans_hold_whole_repeats(make_docs, limit, sorted_rows, monkeypatch):
+    monkeypatch.setattr(paragraphs, "SORTED", sorted_rows)
     rng = random.Random(8)
     prose = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     passages = [prose(n) for n in (50, 51, 60, 87, 300) for _ in range(4)]
@@ -190,6 +192,39 @@ def test_spans_hold_whole_repeats(make_docs, limit):
     assert sum(len(kept[10 * n + k]) for n in range(20) for k in (1, 2)) == sum(len(texts[10 * n + k]) - len(passages[n]) for n in range(20) for k in (1, 2))
 
 
+def test_common_words_over_tasks():
+    """Slices of the sorted rows, and what they pass on, find what one task finds."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = np.array([rng.randrange(2) for _ in range(rng.randint(1, 20))], np.uint32)
+        rows.append({"node": rng.randrange(4), "beside": words.tobytes(), "rid": rng.randrange(60), "left": False, "start": 0, "stop": 1, "cuts": np.arange(len(words), dtype=np.int32).tobytes(), "open": True})
+    order = lambda r: (r["node"], r["beside"], r["rid"])
+    table = lambda part: pa.Table.from_pylist(part, paragraphs._MET.remove(8))
+    best = Counter()
+    for r in rows:
+        mine = np.frombuffer(r["beside"], np.uint32)
+        most = 0
+        for o in rows:
+            if o["node"] == r["node"] and o["rid"] != r["rid"]:
+                yours = np.frombuffer(o["beside"], np.uint32)
+                alike = mine[:min(len(mine), len(yours))] == yours[:min(len(mine), len(yours))]
+                most = max(most, int(np.minimum.accumulate(alike).sum()))
+        if most:
+            best[r["rid"], most - 1] += 1
+    rows.sort(key=order)
+    for size in (400, 90, 7, 2, 1):
+        found, left = [], rows
+        while left:
+            last = len(left) <= size or size < 2 and left is not rows
+            step = len(left) if last else size
+            parts = [paragraphs.common_words(table(left[i:i + step]), last) for i in range(0, len(left), step)]
+            found += [r for g, _ in parts for r in g.to_pylist()]
+            left = sorted([r for _, f in parts for r in f.to_pylist()], key=order)
+            size = size * 2
+        assert Counter((r["rid"], r["stop"]) for r in found) == best, size
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_verified_forest(seed):
     rng = random.Random(seed)
