@@ -7,7 +7,7 @@ never pairs of rows) and combined map-side per pair.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +22,15 @@ from ledgerlens.settings import DEFAULTS
 PAIRS_PER_PASS = 400
 
 
-def family(column: str) -> str | None:
-    """The underlying measure a column restates, if any."""
-    for group, stems in v.DERIVATION_FAMILIES.items():
-        if any(column.startswith(stem) for stem in stems):
-            return group
-    return None
+def restating_pairs(columns: Sequence[str]) -> set[frozenset[str]]:
+    """Pairs of columns whose correlation only shows how they were computed.
 
-
-def restates(left: str, right: str) -> bool:
-    """True when a correlation of the two only rediscovers how they were computed."""
-    a, b = family(left), family(right)
-    if a is None or b is None:
-        return False
-    return a == b or b in v.FAMILY_DEPENDENCIES.get(a, ()) or a in v.FAMILY_DEPENDENCIES.get(b, ())
+    The columns of each measure are linked among themselves and with the columns
+    of the measures it is computed from.
+    """
+    members = {measure: [c for c in columns if c.startswith(stems)] for measure, stems in v.DERIVATION_FAMILIES.items()}
+    links = [(m, m) for m in members] + [(m, source) for m, sources in v.FAMILY_DEPENDENCIES.items() for source in sources]
+    return {frozenset(pair) for one, other in links for pair in product(members[one], members[other])}
 
 
 def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
@@ -159,7 +154,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, metho
     if len(columns) < 2:
         return status(df.sparkSession, analysis, df.count(), min_rows, "At least two numeric columns are needed.")
     found = spearman_pairs(df, columns, key) if method == "spearman" else METHODS[method](df, columns)
-    redundant = [f"{a}|{b}" for a, b in combinations(columns, 2) if restates(a, b)]
+    restating = restating_pairs(columns)
+    redundant = [f"{a}|{b}" for a, b in combinations(columns, 2) if {a, b} in restating]
     listed = "array(" + ", ".join(s.text(r) for r in redundant) + ")" if redundant else "CAST(array() AS ARRAY<STRING>)"
     return found.filter("NOT isnan(correlation)").selectExpr(
         "left", "right", "correlation", "n", f"{s.strength('correlation')} AS strength",

@@ -1,36 +1,39 @@
-"""Exact linear-interpolated quantiles without holding a column in one task.
+"""Exact linear-interpolated quantiles by selection on digits, without a sorted column.
 
 Spark's ``percentile`` keeps a value -> count map of the whole group in a single
-aggregation buffer.  Here the work is split in two passes:
-
-1. ``percentile_approx`` sketches give, for every wanted quantile, a bracket
-   that must contain the two order statistics needed (sketch size is bounded by
-   ``accuracy``).
-2. One scan counts the values below each bracket and the distinct values inside
-   it; a running count over the inside values picks the exact order statistics.
-
-Everything outside the brackets collapses map-side to one counter, so the
-window of pass 2 sees about ``4 * n / accuracy`` values per quantile.
-
-Inputs whose planned size is small skip all this and use ``percentile``.
+aggregation buffer, and sorting puts a column into one task.  Here every wanted
+order statistic is closed in on by counting:
+
+1. The first digit of a value is its sign and its binary logarithm in steps of
+   1/512.  Counts of the digits (combined before the shuffle) say in which digit
+   each wanted position lies, and with which least and greatest value.
+2. Values between that least and greatest value are dealt to 65,536 equal steps
+   and counted again, until least and greatest are one value.
+
+Both digits never fall as the value rises, so counting them finds exact order
+statistics.  A round narrows a range 65,536-fold: money amounts need one round of
+step 2, no column of doubles more than four.  Only rows inside a wanted range are counted
+again; a running count sees the digits that occur, at most about a million of one
+column in step 1 and 65,536 of one range in step 2, however many rows there are.
+
+The ranges still open decide whether another round runs.  Without groups they are at
+most two for each column and probability and pass through the driver; with
+groups they are written to the shared folder and counted there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import session
 from ledgerlens.functions.scalars import name, number, text, value
 from ledgerlens.functions.tables import agg, unpivot
 
-ACCURACY = 10_000
-SMALL = 1_000          # at most this many values: the bracket is the whole range
-WIDE_MARGIN = 0.005    # bracket half-width while n is moderate
-MAX_BROADCAST_GROUPS = 100_000
-SMALL_BYTES = 1 << 20  # planned input size up to which one aggregation buffer is fine (and faster)
+OCTAVE = 512   # first digits in a factor of two
+STEPS = 65_536  # second and later digits in a range
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -39,94 +42,71 @@ def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataF
     return unpivot(df, pairs, keep=by).filter("value IS NOT NULL")
 
 
-def _brackets(long: DataFrame, keys: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    narrow = 2.0 / accuracy
-    grid = [
-        edge for p in probs for margin in (WIDE_MARGIN, narrow) for edge in (max(p - margin, 0.0), min(p + margin, 1.0))
-    ]
-    sketch = agg(long, {
-        "n": "count(value)", "least": "min(value)", "most": "max(value)",
-        "grid": f"percentile_approx(value, array({', '.join(number(g) for g in grid)}), {accuracy})",
-    }, keys)
-
-    def edge(p: float, i: int, end: str, room: float) -> str:
-        wide = f"get(grid, {i})" if room > WIDE_MARGIN else end
-        thin = f"get(grid, {i + 2})" if room > narrow else end
-        return f"CASE WHEN n <= {SMALL} THEN {end} WHEN n <= {10 * accuracy} THEN {wide} ELSE {thin} END"
-
-    rows = [
-        {"prob": number(p), "position": f"{number(p)} * (n - 1)",
-         "low": edge(p, 4 * i, "least", p), "high": edge(p, 4 * i + 1, "most", 1 - p)}
-        for i, p in enumerate(probs)
-    ]
-    return unpivot(sketch, rows, keep=[*keys, "n"])
-
-
-def quantiles_long(long: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY,
-                   bounded: bool = True) -> DataFrame:
-    """(keys..., prob, n, quantile) for a long table with a non-null ``value``.
-
-    ``bounded`` says that the number of distinct keys is known to be small
-    (column names, say).  Otherwise the bracket table is measured first, and is
-    broadcast only when it is small enough.
+def _counted(rows: DataFrame, keys: list[str], digit: str) -> DataFrame:
+    """Per (keys, digit): how many values, least and greatest, and the running count up to the digit."""
+    counts = agg(rows.selectExpr(*map(name, keys), "value", f"{digit} AS digit"),
+                 {"many": "count(*)", "least": "min(value)", "most": "max(value)"}, [*keys, "digit"])
+    apart = ", ".join(map(name, keys))
+    return counts.selectExpr("*", f"sum(many) OVER (PARTITION BY {apart} ORDER BY digit ROWS UNBOUNDED PRECEDING) AS upto",
+                             f"sum(many) OVER (PARTITION BY {apart}) AS n")
+
+
+def _first_ranges(long: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """For each wanted position: the range (low, high) it lies in, and its place among the values of the range."""
+    digit = f"IF(value = 0, 0, CAST(signum(value) * (floor(log2(abs(value)) * {OCTAVE}) + {1200 * OCTAVE}) AS BIGINT))"
+    spots = [{"prob": number(p), "upper": str(bool(end)), "spot": f"CAST({('floor', 'ceil')[end]}({number(p)} * (n - 1)) AS BIGINT)", "n": "n", "many": "many",
+              "before": "upto - many", "low": "least", "high": "most"} for p in probs for end in (0, 1)]
+    found = unpivot(_counted(long, keys, digit), spots, keep=keys).filter("spot >= before AND spot < before + many")
+    return found.selectExpr(*map(name, keys), "prob", "upper", "n", "spot - before AS spot", "low", "high")
+
+
+def _narrowed(long: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """The ranges after one more digit; ranges of one value stay."""
+    open_, closed = ranges.filter("low < high"), ranges.filter("low = high")
+    wanted = open_.select(*keys, "low", "high").distinct()
+    same = " AND ".join(f"l.{name(k)} <=> r.{name(k)}" for k in keys)
+    rows = long.alias("l").join(wanted.alias("r"), F.expr(f"{same} AND value >= low AND value <= high")).selectExpr(*[f"l.{name(k)}" for k in keys], "low", "high", "value")
+    digit = f"CAST(floor((value - low) / (high - low) * {STEPS - 1}) AS INT)"
+    counts = _counted(rows, [*keys, "low", "high"], digit).drop("n")
+    met = open_.alias("l").join(counts.alias("r"), F.expr(f"{same} AND l.low = r.low AND l.high = r.high AND spot >= upto - many AND spot < upto"))
+    return closed.union(met.selectExpr(*[f"l.{name(k)}" for k in keys], "prob", "upper", "l.n", "spot - (upto - many) AS spot", "least AS low", "most AS high"))
+
+
+def quantiles_long(long: DataFrame, keys: Sequence[str], probs: Sequence[float], few: bool = False) -> DataFrame:
+    """(keys..., prob, n, quantile) for a long table with a finite, non-null ``value``.
+
+    ``few`` says that the keys take few values (names of columns), so that one
+    row for each of them and each probability may pass through the driver.
     """
     keys = list(keys)
-    brackets = _brackets(long, keys, probs, accuracy)
-    if not bounded:
-        brackets = session.reuse(brackets)
-        bounded = brackets.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
-    side = F.broadcast(brackets) if bounded else brackets
-    counted = (
-        long.select(*keys, "value").join(side, keys)
-        .filter("value <= high")
-        .groupBy(*keys, "prob", "n", "position", F.expr("IF(value >= low, value, NULL)").alias("inside"))
-        .agg(F.count("*").alias("rows"))
-    )
-    order = Window.partitionBy(*keys, "prob").orderBy(F.col("inside").asc_nulls_first())
-    upto = F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pick = "max(IF(inside IS NOT NULL AND {0} >= upto - rows AND {0} < upto, inside, NULL))"
-    missed = "CAST(raise_error('quantile bracket missed its order statistic; raise the accuracy') AS DOUBLE)"
-    picked = agg(counted.withColumn("upto", upto), {
-        "n": "first(n)", "below": pick.format("floor(position)"), "above": pick.format("ceil(position)"),
-        "part": "first(position) - floor(first(position))",
-    }, [*keys, "prob"])
-    value_at = f"IF(below IS NULL OR above IS NULL, {missed}, below + (above - below) * part)"
-    return picked.selectExpr(*[name(k) for k in keys], "prob", "n", f"{value_at} AS quantile")
-
-
-def _builtin(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    wanted = ", ".join(number(p) for p in probs)
-    at = agg(long, {"n": "count(value)", "q": f"percentile(value, array({wanted}))"}, keys)
-    rows = [{"prob": number(p), "n": "n", "quantile": f"get(q, {i})"} for i, p in enumerate(probs)]
-    return unpivot(at, rows, keep=keys)
-
-
-def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-              accuracy: int = ACCURACY, small: bool | None = None) -> DataFrame:
-    """(by..., feature, prob, n, quantile) for every column; columns without values give no row.
-
-    ``small`` forces (or forbids) the one-pass path; by default the planned size decides.
-    """
-    long = melt(df, columns, by)
-    if small is None:
-        small = session.planned_bytes(long) <= SMALL_BYTES
-    if small:
-        return _builtin(long, [*by, "feature"], probs)
-    return quantiles_long(long, [*by, "feature"], probs, accuracy, bounded=not by)
+    spark = long.sparkSession
+
+    def settle(ranges: DataFrame) -> DataFrame:
+        return spark.createDataFrame(ranges.collect(), ranges.schema) if few else session.stored(ranges)
+
+    ranges = settle(_first_ranges(long, keys, probs))
+    while not ranges.filter("low < high").isEmpty():
+        ranges = settle(_narrowed(long, ranges, keys))
+    ends = agg(ranges, {"n": "first(n)", "below": "max(IF(upper, NULL, low))", "above": "max(IF(upper, low, NULL))"}, [*keys, "prob"])
+    part = "(prob * (n - 1) - floor(prob * (n - 1)))"
+    return ends.selectExpr(*map(name, keys), "prob", "n", f"below + (above - below) * {part} AS quantile")
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, prob, n, quantile) for every column; columns without values give no row."""
+    return quantiles_long(melt(df, columns, by), [*by, "feature"], probs, few=not by)
 
 
-def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    accuracy: int = ACCURACY) -> dict[str, dict[float, float]]:
+def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:
     """The same on the driver: columns x probs numbers, a size fixed by the call."""
     out: dict[str, dict[float, float]] = {c: {} for c in columns}
     if columns:
-        for row in quantiles(df, columns, probs, accuracy=accuracy).collect():
+        for row in quantiles(df, columns, probs).collect():
             out[row["feature"]][row["prob"]] = row["quantile"]
     return out
 
 
-def quantile_table(df: DataFrame, columns: Sequence[str], named: dict[str, float], by: Sequence[str] = (),
-                   accuracy: int = ACCURACY) -> DataFrame:
+def quantile_table(df: DataFrame, columns: Sequence[str], named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per (by..., feature) with one column per named quantile."""
-    long = quantiles(df, columns, list(named.values()), by, accuracy)
+    long = quantiles(df, columns, list(named.values()), by)
     return agg(long, {n: f"max(IF(prob = {number(p)}, quantile, NULL))" for n, p in named.items()}, [*by, "feature"])

@@ -31,9 +31,9 @@ def test_quality_of_edge_cases(edge):
     assert issues["undocumented_category_code", "education_code"]["affected_rows"] == 2
     assert issues["duplicate_rows_excluding_id", None]["affected_rows"] == 1
     score = quality.quality_score(edge).first()
-    assert score["invalid_cells"] == 2 + 1 + 2 + 1 and score["cells_checked"] == 8 * 12
-    assert score["uniqueness"] == pytest.approx(7 / 8) and score["completeness"] == 1.0
-    assert score["score"] == pytest.approx(30 + 20 * 7 / 8 + 35 * (1 - 6 / 96) + 15 * score["consistency"])
+    assert score["invalid_cells"] == 2 + 1 + 2 + 1 and score["cells_checked"] == 9 * 12
+    assert score["uniqueness"] == pytest.approx(8 / 9) and score["completeness"] == 1.0
+    assert score["score"] == pytest.approx(30 + 20 * 8 / 9 + 35 * (1 - 6 / 108) + 15 * score["consistency"])
 
 
 def test_contradictions_count_a_client_once(minimal):

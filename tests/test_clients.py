@@ -32,13 +32,13 @@ def test_descriptions():
 def test_edge_cases_survive_cleaning(edge):
     cleaned, report = cleaning.clean(edge)
     rows = by_id(cleaned)
-    assert len(rows) == 8
-    assert rows[1]["credit_limit"] is None and rows[1]["credit_limit_original"] == 0
-    assert rows[7]["credit_limit"] is None and rows[7]["credit_limit_original"] == -5000
-    assert rows[2]["has_negative_balance"] and rows[2]["bill_amt_m1"] == -2000 and not rows[1]["has_negative_balance"]
-    assert rows[3]["education"] == rows[3]["marriage"] == "Unknown" and rows[3]["education_code"] == 5
-    assert rows[8]["age_is_implausible"] and rows[8]["age"] == 150
-    assert {i for i, r in rows.items() if r["is_duplicate_excluding_id"]} == {5, 6}
+    assert len(rows) == 9
+    assert rows[2]["credit_limit"] is None and rows[2]["credit_limit_original"] == 0
+    assert rows[1]["credit_limit"] is None and rows[1]["credit_limit_original"] == -750
+    assert rows[3]["has_negative_balance"] and rows[3]["bill_amt_m1"] == -320 and not rows[1]["has_negative_balance"]
+    assert rows[4]["education"] == rows[4]["marriage"] == "Unknown" and rows[4]["education_code"] == 6
+    assert rows[8]["age_is_implausible"] and rows[8]["age"] == 131
+    assert {i for i, r in rows.items() if r["is_duplicate_excluding_id"]} == {6, 7}
     steps = {r["name"]: r for r in report.collect()}
     assert [r["name"] for r in report.orderBy("step").collect()] == list(cleaning.RATIONALE)
     assert steps["remove_duplicates"]["affected_rows"] == 1 and steps["remove_duplicates"]["rows_removed"] == 0
@@ -48,7 +48,7 @@ def test_edge_cases_survive_cleaning(edge):
 
 def test_dropping_key_only_duplicates_keeps_the_first(edge):
     cleaned, report = cleaning.clean(edge, drop_without_id=True)
-    assert set(by_id(cleaned)) == {1, 2, 3, 4, 5, 7, 8}
+    assert set(by_id(cleaned)) == {1, 2, 3, 4, 5, 6, 8, 9}
     step = report.filter("name = 'remove_duplicates'").first()
     assert step["rows_removed"] == 1 and step["affected_rows"] == 2  # removed and counted, both
 
@@ -69,7 +69,7 @@ def gaps(minimal):
     })
 
 
-@pytest.mark.parametrize("strategy, wanted", [("median", 41.0), ("mean", 42.6), ("zero", 0.0), ("leave", None)])
+@pytest.mark.parametrize("strategy, wanted", [("median", 44.0), ("mean", 41.0), ("zero", 0.0), ("leave", None)])
 def test_numeric_imputation(minimal, strategy, wanted):
     rows = by_id(cleaning.clean(gaps(minimal), numeric=strategy)[0])
     assert rows[2]["age"] == (pytest.approx(wanted) if wanted is not None else None)
@@ -99,22 +99,23 @@ def test_extreme_fence_ignores_columns_with_two_values(spark):
 
 def test_hand_computed_features(small_featured):
     r = by_id(small_featured)[1]
-    assert r["utilisation_m1"] == pytest.approx(0.6) and r["utilisation_latest"] == pytest.approx(0.6)
-    assert r["utilisation_mean_6m"] == pytest.approx(0.35) and r["utilisation_max_6m"] == pytest.approx(0.6)
-    assert r["utilisation_volatility"] == pytest.approx(np.std([0.1, 0.2, 0.3, 0.4, 0.5, 0.6]))
-    assert r["repayment_ratio_m1"] == pytest.approx(3000 / 5000) and r["repayment_ratio_m5"] == pytest.approx(1000 / 1000)
-    assert r["repayment_ratio_median"] == pytest.approx(np.median([3 / 5, 2.5 / 4, 2 / 3, 1.5 / 2, 1]))
-    assert r["bill_trend_slope"] == pytest.approx(1000) and r["balance_growth_6m"] == pytest.approx(5.0)
-    assert r["total_paid_6m"] == 10_500 and r["avg_payment_6m"] == 1750 and r["months_zero_payment"] == 0
-    assert by_id(small_featured)[4]["max_delinquency"] == 0 and by_id(small_featured)[5]["delinquent_months_count"] == 6
+    used = [1500 / 24e3, 2700 / 24e3, 3900 / 24e3, 5100 / 24e3, 6300 / 24e3, 7500 / 24e3]
+    assert r["utilisation_m1"] == pytest.approx(used[5]) and r["utilisation_latest"] == pytest.approx(used[5])
+    assert r["utilisation_mean_6m"] == pytest.approx(0.1875) and r["utilisation_max_6m"] == pytest.approx(used[5])
+    assert r["utilisation_volatility"] == pytest.approx(np.std(used))
+    assert r["repayment_ratio_m1"] == pytest.approx(900 / 6300) and r["repayment_ratio_m5"] == pytest.approx(500 / 1500)
+    assert r["repayment_ratio_median"] == pytest.approx(np.median([900 / 6300, 800 / 5100, 700 / 3900, 600 / 2700, 500 / 1500]))
+    assert r["bill_trend_slope"] == pytest.approx(1200) and r["balance_growth_6m"] == pytest.approx(4.0)
+    assert r["total_paid_6m"] == 3900 and r["avg_payment_6m"] == 650 and r["months_zero_payment"] == 0
+    assert by_id(small_featured)[3]["max_delinquency"] == 0 and by_id(small_featured)[6]["delinquent_months_count"] == 6
 
 
 def test_undefined_ratios_are_null(edge_featured):
     rows = by_id(edge_featured)
-    assert rows[1]["utilisation_latest"] is None and rows[7]["utilisation_latest"] is None and rows[1]["is_high_utilisation"] is False
-    assert rows[4]["repayment_ratio_mean"] is None and rows[2]["repayment_ratio_mean"] is None and rows[4]["is_revolver"] is False
-    assert rows[2]["utilisation_latest"] < 0 and rows[5]["utilisation_latest"] == 1.5 and rows[5]["is_over_limit"]
-    assert rows[4]["balance_growth_6m"] is None
+    assert rows[1]["utilisation_latest"] is None and rows[2]["utilisation_latest"] is None and rows[2]["is_high_utilisation"] is False
+    assert rows[5]["repayment_ratio_mean"] is None and rows[3]["repayment_ratio_mean"] is None and rows[5]["is_revolver"] is False
+    assert rows[3]["utilisation_latest"] < 0 and rows[6]["utilisation_latest"] == 1.75 and rows[6]["is_over_limit"]
+    assert rows[5]["balance_growth_6m"] is None
     bad = [c for c, t in edge_featured.dtypes if t == "double" and edge_featured.filter(f"isnan(`{c}`) OR abs(`{c}`) = double('Infinity')").count()]
     assert bad == []
 
@@ -163,7 +164,7 @@ def test_panel_shape_and_order(minimal):
     long = panel.build_panel(minimal)
     assert long.count() == 36
     r = long.filter("client_id = 2 AND month_index = 6").first()
-    assert (r["month_order"], r["month_label"], r["bill_amt"], r["utilisation"]) == (1, "Apr 2005", 2000.0, 0.1)
+    assert (r["month_order"], r["month_label"], r["bill_amt"], r["utilisation"]) == (1, "Apr 2005", 3000.0, 0.1)
 
 
 def test_panel_months_are_dense_when_some_are_missing(minimal):
@@ -252,7 +253,7 @@ def test_the_two_delinquency_rates_differ_on_nulls(minimal):
     long = panel.build_panel(holes)
     trend = trends.measure_points(long, ["delinquency_rate"]).filter("month_index = 1").first()
     summary = trends.panel_summary(long).filter("month_index = 1").first()
-    assert (trend["value"], trend["n"]) == (50.0, 4) and summary["delinquency_rate_pct"] == pytest.approx(100 / 3)
+    assert (trend["value"], trend["n"]) == (25.0, 4) and summary["delinquency_rate_pct"] == pytest.approx(100 / 6)
 
 
 def test_forecasts_are_refused(minimal):

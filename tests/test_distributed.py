@@ -17,38 +17,55 @@ def skewed(spark):
         "IF(id % 11 = 0, NULL, double(pmod(xxhash64(id, 'z'), 50))) AS z", "id % 2 AS g").cache()
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_quantiles_equal_numpy(spark, skewed, small):
+def test_quantiles_equal_numpy(skewed):
     probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.995, 1.0)
-    got = {(r["feature"], r["prob"]): r["quantile"] for r in quantiles.quantiles(skewed, ["x", "y", "z"], probs, small=small).collect()}
+    got = {(r["feature"], r["prob"]): r["quantile"] for r in quantiles.quantiles(skewed, ["x", "y", "z"], probs).collect()}
     data = skewed.toPandas()
     for c in ("x", "y", "z"):
         for p in probs:
             assert got[c, p] == pytest.approx(data[c].quantile(p), rel=1e-12), (c, p)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 999, 1001, 5000])
-def test_bracketed_quantiles_at_every_size(spark, n):
+@pytest.mark.parametrize("n", [1, 2, 3, 999, 5000])
+def test_quantiles_at_every_size(spark, n):
     df = spark.range(n).selectExpr("double(pmod(xxhash64(id), 1000)) AS x")
-    got = {r["prob"]: r["quantile"] for r in quantiles.quantiles(df, ["x"], (0.1, 0.5, 0.9), small=False).collect()}
+    got = {r["prob"]: r["quantile"] for r in quantiles.quantiles(df, ["x"], (0.1, 0.5, 0.9)).collect()}
     values = df.toPandas()["x"]
     assert got == {p: pytest.approx(values.quantile(p)) for p in (0.1, 0.5, 0.9)}
 
 
-def test_bracketed_quantiles_beyond_the_wide_margin(spark):
-    """More values than ten times the accuracy, so the narrow brackets are used."""
-    df = spark.range(40_000).selectExpr("IF(id % 3 = 0, 5D, pow(pmod(xxhash64(id), 99991) / 1000D, 3)) AS x")
-    got = {r["prob"]: r["quantile"] for r in quantiles.quantiles(df, ["x"], (0.05, 0.5, 0.95), accuracy=1_000, small=False).collect()}
-    values = df.toPandas()["x"]
-    assert got == {p: pytest.approx(values.quantile(p)) for p in (0.05, 0.5, 0.95)}
+def test_quantiles_of_hostile_doubles(spark):
+    """Both signs, zeros, the smallest and greatest doubles, neighbours in the last bit: order statistics are exact."""
+    rng = np.random.default_rng(4)
+    bits = rng.integers(-(1 << 63), (1 << 63) - 1, 3_000).view(np.float64)
+    near = 1 + np.arange(400) * np.finfo(float).eps
+    x = np.concatenate([bits[np.isfinite(bits)], near, -near, [0.0, -0.0, 5e-324, -5e-324, 1e-323, 1.7976931348623157e308, -1.7976931348623157e308]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = tuple(float(k / (len(x) - 1)) for k in rng.choice(len(x), 25, replace=False))
+    got = {r["prob"]: r["quantile"] for r in quantiles.quantiles(df, ["x"], probs).collect()}
+    ordered = np.sort(x)
+    for p in probs:
+        at = p * (len(x) - 1)
+        below, above = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        with np.errstate(over="ignore"):
+            assert got[p] == below + (above - below) * (at - np.floor(at)), p
+
+
+def test_quantiles_without_values(spark):
+    df = spark.sql("SELECT CAST(NULL AS DOUBLE) AS x, 1D AS y")
+    assert [tuple(r) for r in quantiles.quantiles(df, ["x", "y"], (0.5,)).collect()] == [("y", 0.5, 1, 1.0)]
+    assert quantiles.quantiles(df.limit(0), ["x"], (0.5,), by=["y"]).count() == 0
 
 
 def test_grouped_quantiles(skewed):
-    got = {(r["g"], r["prob"]): r["quantile"] for r in quantiles.quantiles(skewed, ["x"], (0.5, 0.9), by=["g"], small=False).collect()}
+    got = {(r["g"], r["prob"]): r["quantile"] for r in quantiles.quantiles(skewed, ["x"], (0.5, 0.9), by=["g"]).collect()}
     data = skewed.toPandas()
     for g, part in data.groupby("g"):
         for p in (0.5, 0.9):
             assert got[g, p] == pytest.approx(part["x"].quantile(p))
+    nulls = skewed.selectExpr("IF(g = 0, NULL, g) AS g", "y")
+    got = {(r["g"], r["prob"]): r["quantile"] for r in quantiles.quantiles(nulls, ["y"], (0.5,), by=["g"]).collect()}
+    assert got == {(None if g == 0 else g, 0.5): part["y"].quantile(0.5) for g, part in data.groupby("g")}
 
 
 def test_sliced_ranks_equal_pandas(skewed):
