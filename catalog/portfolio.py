@@ -149,6 +149,28 @@ def _(spark, d):
     return agg(segments.assign(model, data), {"clients": "count(*)"}, ["cluster"])
 
 
+ONE = "repayment_ratio_capped_mean" if "repayment_ratio_capped_mean" in SEG else SEG[0]
+
+
+@query("kmeans_one_feature", on_features(f"""SELECT CAST(row_number() OVER (ORDER BY n DESC, centre) - 1 AS INTEGER) AS cluster, n AS clients, {R('centre', 'centre')}, {R('total', 'inertia', 4)}
+    FROM (SELECT n, centre, sum(cost) OVER () AS total FROM parts)""",
+    SCALED + f""", p AS MATERIALIZED (SELECT i, sum(x) OVER (ORDER BY i) AS s1, sum(x * x) OVER (ORDER BY i) AS s2 FROM (SELECT z_{ONE} AS x, row_number() OVER (ORDER BY z_{ONE}, client_id) AS i FROM z)),
+    whole AS (SELECT max(i) AS n, max_by(s1, i) AS t1, max_by(s2, i) AS t2 FROM p),
+    best AS (SELECT a.i AS ai, a.s1 AS a1, a.s2 AS a2, b.i AS bi, b.s1 AS b1, b.s2 AS b2 FROM p a JOIN p b ON a.i < b.i, whole WHERE b.i < n
+      ORDER BY -a.s1 * a.s1 / a.i - pow(b.s1 - a.s1, 2) / (b.i - a.i) - pow(t1 - b.s1, 2) / (n - b.i) LIMIT 1),
+    parts AS (SELECT ai AS n, a1 / ai AS centre, a2 - a1 * a1 / ai AS cost FROM best
+      UNION ALL SELECT bi - ai, (b1 - a1) / (bi - ai), (b2 - a2) - pow(b1 - a1, 2) / (bi - ai) FROM best
+      UNION ALL SELECT n - bi, (t1 - b1) / (n - bi), (t2 - b2) - pow(t1 - b1, 2) / (n - bi) FROM best, whole)"""))
+def _(spark, d):
+    """K-Means on one feature, whose best three groups SQL finds by trying every pair of cuts."""
+    config = segments.Config(features=(ONE,), scaler="standard", tolerance=0.0)
+    p = segments.prepare(feats(spark, d), config)
+    data = segments.matrix_of(p)
+    model = segments.fit_many(data, p.features, [3], config)[3]
+    groups = agg(segments.assign(model, data), {"clients": "count(*)", "centre": f"avg(z_{ONE})"}, ["cluster"])
+    return rounded(groups.selectExpr("*", f"{s.number(model.inertia)} AS inertia"), 6, inertia=4)
+
+
 @query("k_sweep")
 def _(spark, d):
     p = prepared(spark, d)
@@ -172,6 +194,21 @@ def _(spark, d):
     return rounded(segments.project_2d(p.data, p.features)[0].select("client_id", "pc1", "pc2"), 4)
 
 
+TWO = SEG[:2]
+
+
+@query("principal_components_pair", on_features(f"""SELECT client_id, {R('(x * u + y * w) * sign_', 'pc1', 5)}, {R('(y * u - x * w) * other', 'pc2', 5)} FROM xy, axis""",
+    ROBUST + f""", m AS (SELECT avg(z_{TWO[0]}) AS mx, avg(z_{TWO[1]}) AS my, var_samp(z_{TWO[0]}) AS a, covar_samp(z_{TWO[0]}, z_{TWO[1]}) AS b, var_samp(z_{TWO[1]}) AS c FROM z),
+    xy AS (SELECT client_id, z_{TWO[0]} - mx AS x, z_{TWO[1]} - my AS y FROM z, m),
+    turned AS (SELECT 0.5 * atan2(2 * b, a - c) AS angle FROM m),
+    axis AS (SELECT cos(angle) AS u, sin(angle) AS w, CASE WHEN abs(cos(angle)) >= abs(sin(angle)) THEN sign(cos(angle)) ELSE sign(sin(angle)) END AS sign_,
+      CASE WHEN abs(sin(angle)) >= abs(cos(angle)) THEN -sign(sin(angle)) ELSE sign(cos(angle)) END AS other FROM turned)"""))
+def _(spark, d):
+    """Two features, whose principal axes SQL knows in closed form."""
+    p = segments.prepare(feats(spark, d), segments.Config(features=tuple(TWO), scaler="robust"))
+    return rounded(segments.project_2d(p.data, p.features)[0].select("client_id", "pc1", "pc2"), 5)
+
+
 @query("segmentation_run")
 def _(spark, d):
     return segments.run_segmentation(feats(spark, d), WHOLE)["segments"]

@@ -91,13 +91,20 @@ def convert_types(df: DataFrame) -> DataFrame:
     return s.project(df, {c: s.parse_number(s.name(c)) for c in columns}) if columns else df
 
 
+def conversion_losses(df: DataFrame) -> dict[str, str]:
+    """For each text column, the count of the values that conversion would make missing."""
+    return {c: f"count_if({s.name(c)} IS NOT NULL AND {s.parse_number(s.name(c))} IS NULL)" for c in text_columns(df)}
+
+
 def conversion_counts(df: DataFrame) -> dict[str, int]:
     """Values each text column would lose by conversion (one aggregation)."""
-    columns = text_columns(df)
-    if not columns:
-        return {}
-    lost = {c: f"count_if({s.name(c)} IS NOT NULL AND {s.parse_number(s.name(c))} IS NULL)" for c in columns}
-    return agg(df, lost).first().asDict()
+    lost = conversion_losses(df)
+    return agg(df, lost).first().asDict() if lost else {}
+
+
+def missing_after_conversion(df: DataFrame) -> dict[str, str]:
+    texts = set(text_columns(df))
+    return {c: f"({s.parse_number(s.name(c))} IS NULL)" if c in texts else s.is_missing(df, c) for c in df.columns}
 
 
 # ------------------------------------------------------------ 3. imputation
@@ -212,21 +219,24 @@ def clean(df: DataFrame, drop_exact: bool = True, drop_without_id: bool = False,
           conditional_columns: bool = False) -> tuple[DataFrame, DataFrame]:
     """(cleaned, report): types, duplicates, nulls, labels, ranges, extremes - in this order."""
     spark, steps = df.sparkSession, []
-    original_rows = df.count()
-
-    lost = conversion_counts(df)
+    converted = {f"lost:{c}": e for c, e in conversion_losses(df).items()}
     typed = convert_types(df)
+    # one scan says what conversion loses and what is missing, one narrow grouping says which rows repeat
+    raw = agg(df, {"rows": "count(*)", **converted, **{f"null:{c}": f"count_if({missing})" for c, missing in missing_after_conversion(df).items()}}).first().asDict()
+    original_rows, lost = raw["rows"], {c.removeprefix("lost:"): n for c, n in raw.items() if c.startswith("lost:")}
+    nulls = {c.removeprefix("null:"): n for c, n in raw.items() if c.startswith("null:")}
+    repeats = duplicates.duplicate_counts(typed).first()
     steps.append(Step("convert_dtypes", original_rows, original_rows, sum(lost.values()), [], list(lost), bool(lost),
                       {"values_made_missing": sum(lost.values())}))
 
-    working = duplicates.drop_exact(typed) if drop_exact else typed
     has_id = v.ID in df.columns and len(df.columns) > 1
+    removed, added, dropped = repeats["exact_duplicates"] if drop_exact else 0, [], 0
+    working, rows = (duplicates.drop_exact(typed), original_rows - removed) if removed else (typed, original_rows)
     working = session.reuse(working)
-    rows, nulls = missing_counts(working)
-    removed, flagged, added, dropped = original_rows - rows, 0, [], 0
+    if removed:
+        rows, nulls = missing_counts(working)
+    flagged = repeats["duplicates_without_id"] - removed if has_id else 0
     if has_id:
-        groups = working.groupBy(*duplicates.payload(working)).agg(F.count("*").alias("n"))
-        flagged = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
         if drop_without_id and flagged:
             working, dropped = session.reuse(duplicates.drop_ignoring_key(working)), flagged
             rows, nulls = missing_counts(working)

@@ -72,6 +72,7 @@ class Config:
     n_init: int = 10
     max_iter: int = 300
     silhouette_sample: int = 5_000
+    tolerance: float = 1e-4  # a run has settled when its centroids move by less than this share of the mean variance (squared); 0: not at all
     start_rows: int = 4_096  # weighted rows on which the starts are chosen and refined before they see all rows
 
     def __post_init__(self):
@@ -148,9 +149,6 @@ def scale(raw: DataFrame, features: Sequence[str], scaler: str) -> DataFrame:
     })
 
 
-HOPE = 20  # a run may still gain so many times its last gain; gains shrink from pass to pass
-
-
 def matrix_of(prepared: Prepared) -> DataFrame:
     """The cached rows all fits read."""
     return session.reuse(prepared.data)
@@ -236,11 +234,11 @@ def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config
     """
     cols = [f"z_{c}" for c in features]
     points, weight, variance = _starting_rows(data, cols, config, key)
-    settled = 1e-4 * variance
+    settled = config.tolerance * variance
     runs = [(k, i) for k in ks for i in range(config.n_init)]
     centres = {r: _warm_start(points, weight, r[0], np.random.default_rng([config.seed, *r])) for r in runs}
     runs = _distinct_starts(runs, centres, settled)
-    cost, gain, sizes, steps = {}, {}, {}, dict.fromkeys(runs, 0)
+    cost, sizes, steps = {}, {}, dict.fromkeys(runs, 0)
     active = list(runs)
     schema = "run int, cluster int, n double, cost double, " + ", ".join(f"s{j} double" for j in range(len(cols)))
     sums = {x: f"sum({x})" for x in ["n", "cost", *[f"s{j}" for j in range(len(cols))]]}
@@ -271,14 +269,11 @@ def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config
             n = part["n"].to_numpy()
             moved = np.where(n[:, None] > 0, part[[f"s{j}" for j in range(len(cols))]].to_numpy() / np.maximum(n, 1)[:, None], centres[r])
             shift = ((moved - centres[r]) ** 2).sum()
-            before, cost[r] = cost.get(r, np.inf), float(part["cost"].sum())
-            gain[r] = before - cost[r]
+            cost[r] = float(part["cost"].sum())
             centres[r], sizes[r], steps[r] = moved, n, steps[r] + 1
             if shift > settled:
                 still.append(r)
-        # a run that cannot reach the best settled one, or that has met another's path, is not carried on
-        best = {k: min((cost[r] for r in runs if r[0] == k and r not in still and r in cost), default=np.inf) for k in ks}
-        still = [r for r in still if cost[r] - best[r[0]] <= HOPE * gain[r]]
+        # every run goes on until it settles; of runs that have met, one goes on for both
         active = _distinct_starts(still, centres, settled)
         if not active:
             break
