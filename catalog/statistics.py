@@ -615,10 +615,26 @@ def _(spark, d):
     return drivers.sentences(drivers.mann_whitney(ranks))
 
 
-@query("driver_p_values")
+# Tail areas as sums of positive terms: normal, Student (finite sums, whole degrees of freedom), chi-square.
+NORMAL_P = """CASE WHEN z <= 0 THEN 1 ELSE 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi())
+    * list_sum([exp((2 * k + 1) * ln(z) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) for k in range(0, 500)]) END"""
+STUDENT_P = """CASE WHEN df % 2 = 0 THEN 1 - sin(theta) * list_sum([exp(lgamma(j + 0.5) - ln(pi()) / 2 - lgamma(j + 1) + 2 * j * ln(cos(theta))) for j in range(0, df // 2)])
+    ELSE 1 - 2 / pi() * (theta + sin(theta) * cos(theta) * list_sum([exp(ln(pi()) / 2 + lgamma(j + 1) - ln(2) - lgamma(j + 1.5) + 2 * j * ln(cos(theta))) for j in range(0, (df - 1) // 2)])) END"""
+CHI_P = "1 - list_sum([exp(-x / 2 + (df / 2 + k) * ln(x / 2) - lgamma(df / 2 + k + 1)) for k in range(0, 3000)])"
+MW_Z = """SELECT feature, greatest(abs(sum(r) FILTER (WHERE y = 1) - n1 * (n1 + 1) / 2 - n1 * n0 / 2) - 0.5, -0.5) / sqrt(n1 * n0 / 12 * (n + 1 - any_value(tied) / (n * (n - 1)))) AS z
+    FROM rk JOIN (SELECT feature, sum(CAST(c AS DOUBLE) * c * c - c) AS tied FROM (SELECT feature, r, count(*) AS c FROM rk GROUP BY ALL) GROUP BY feature) USING (feature)
+    JOIN (SELECT feature, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE y = 1))::DOUBLE AS n1, (count(*) FILTER (WHERE y = 0))::DOUBLE AS n0 FROM rk GROUP BY feature) USING (feature) GROUP BY feature, n, n1, n0"""
+
+
+@query("driver_p_values", on_features(f"""SELECT feature, 'spearman_correlation' AS method, {R(STUDENT_P, 'p_value')}
+      FROM (SELECT feature, n_used - 2 AS df, atan(abs(statistic) / sqrt(1 - statistic * statistic)) AS theta FROM ({SP}))
+    UNION ALL SELECT feature, 'mann_whitney_u', {R(NORMAL_P, 'p_value')} FROM ({MW_Z})
+    UNION ALL SELECT feature, 'chi_square', {R(CHI_P, 'p_value')} FROM (SELECT feature, statistic AS x, k - 1 AS df FROM ({CHI_TEST}) JOIN tt USING (feature))""", RANKED + ", " + CHI))
 def _(spark, d):
-    ranks = drivers.ranked_values(feats(spark, d), T, DRIVE)
-    return drivers.spearman_with_outcome(ranks).unionByName(drivers.mann_whitney(ranks)).select("feature", "method", "p_value")
+    f = feats(spark, d)
+    ranks = drivers.ranked_values(f, T, DRIVE)
+    union = drivers.spearman_with_outcome(ranks).unionByName(drivers.mann_whitney(ranks)).unionByName(drivers.chi_square(f, T, LEVELS).select(*drivers.EVIDENCE))
+    return rounded(union.select("feature", "method", "p_value"))
 
 
 @query("tree_importance")
