@@ -1,14 +1,16 @@
-"""Pairwise-complete correlations of many columns in a bounded number of passes.
+"""Pairwise-complete correlations of many columns in two scans.
 
-All pairs of one row are emitted side by side (a width fixed by the column list,
-never pairs of rows) and combined map-side per pair.
+The first scan centres the columns; in the second each task multiplies its rows
+into square matrices of sums, and one row per pair and task is added up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,6 @@ from ledgerlens.operators.eda import numeric_columns, status
 from ledgerlens.operators.ranking import attach_ranks, running_before
 from ledgerlens.settings import DEFAULTS
 
-PAIRS_PER_PASS = 400
-
-
 def restating_pairs(columns: Sequence[str]) -> set[frozenset[str]]:
     """Pairs of columns whose correlation only shows how they were computed.
 
@@ -33,18 +32,47 @@ def restating_pairs(columns: Sequence[str]) -> set[frozenset[str]]:
     return {frozenset(pair) for one, other in links for pair in product(members[one], members[other])}
 
 
+NO_VARIANCE = 1e-12  # share of a mean square below which its centred part is rounding
+
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _cross_sums(shift: np.ndarray, lefts: np.ndarray, rights: np.ndarray):
+    """Batches of columns to the sums of every wanted pair over the rows where both have a value.
+
+    Products with the 0/1 matrix of present values give all pairs at once, by
+    matrix multiplication; a task holds six square matrices of the columns.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(shift), len(shift)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift[:, None]
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([there @ there.T, x @ there.T, (x * x) @ there.T, x @ x.T])
+        n, s1, s2, sxy = total
+        columns = [n[lefts, rights], s1[lefts, rights], s1[rights, lefts], s2[lefts, rights], s2[rights, lefts], sxy[lefts, rights]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lefts))), *map(pa.array, columns)], names=["pair", *_SUMS])
+
+    return run
+
+
 def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:
-    """corr per (left, right, x expression, y expression), skipping rows where either is null."""
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        entries = [{"pair": str(start + i), "x": x, "y": y} for i, (_, _, x, y) in enumerate(chunk)]
-        long = unpivot(df, entries).filter("x IS NOT NULL AND y IS NOT NULL")
-        part = agg(long, {"correlation": "corr(x, y)", "n": "count(*)"}, ["pair"])
-        out = part if out is None else out.unionByName(part)
-    lefts = "array(" + ", ".join(s.text(p[0]) for p in pairs) + ")"
-    rights = "array(" + ", ".join(s.text(p[1]) for p in pairs) + ")"
-    return out.selectExpr(f"get({lefts}, pair) AS left", f"get({rights}, pair) AS right", "correlation", "n")
+    """corr per (left, right, x expression, y expression) over the rows where neither is null: one scan for all pairs."""
+    place: dict[str, int] = {}
+    for _, _, x, y in pairs:
+        place.setdefault(x, len(place))
+        place.setdefault(y, len(place))
+    columns = df.selectExpr(*[f"double({x}) AS x{i}" for x, i in place.items()])
+    means = agg(columns, {c: f"avg({c})" for c in columns.columns}).first()
+    lefts, rights = (np.array([place[p[side]] for p in pairs]) for side in (2, 3))
+    sums = columns.mapInArrow(_cross_sums(np.array([m or 0.0 for m in means]), lefts, rights), "pair long, " + ", ".join(f"{c} double" for c in _SUMS))
+    total = agg(sums, {c: f"sum({c})" for c in _SUMS}, ["pair"]).selectExpr(
+        "pair", "n", "sxy - sx * sy / n AS xy", f"IF(sxx - sx * sx / n > {NO_VARIANCE} * sxx, sxx - sx * sx / n, NULL) AS xx",
+        f"IF(syy - sy * sy / n > {NO_VARIANCE} * syy, syy - sy * sy / n, NULL) AS yy").filter("n > 0")
+    lefts_, rights_ = ("array(" + ", ".join(s.text(p[side]) for p in pairs) + ")" for side in (0, 1))
+    return total.selectExpr(f"get({lefts_}, int(pair)) AS left", f"get({rights_}, int(pair)) AS right",
+                            "greatest(-1D, least(1D, xy / sqrt(xx * yy))) AS correlation", "bigint(n) AS n")
 
 
 def _null_masks(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> dict[str, str]:
