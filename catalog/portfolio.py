@@ -296,6 +296,45 @@ def _(spark, d):
     return findings.unsupported(findings.key_findings(feats(spark, d)))
 
 
+BAND_N = "(SELECT n FROM lev WHERE lev.dimension = gr.dimension AND lev.level = gr.{}_level)"
+EVIDENCE = FIND + f""", ev AS (
+    SELECT 'delinquency_gradient' AS key, 'default_rate_no_delay' AS metric, base_rate AS value, (SELECT n FROM lev WHERE dimension = 'delay' AND level = 'No delay') AS n FROM gr WHERE dimension = 'delay'
+    UNION ALL SELECT 'delinquency_gradient', 'default_rate_worst_delay', high_rate, {BAND_N.format('high')} FROM gr WHERE dimension = 'delay'
+    UNION ALL SELECT 'utilisation_gradient', 'default_rate_low_utilisation', low_rate, {BAND_N.format('low')} FROM gr WHERE dimension = 'utilisation'
+    UNION ALL SELECT 'utilisation_gradient', 'default_rate_high_utilisation', high_rate, {BAND_N.format('high')} FROM gr WHERE dimension = 'utilisation'
+    UNION ALL SELECT 'utilisation_gradient', 'default_rate_in_credit', rate, n FROM lev WHERE dimension = 'utilisation' AND level = 'Negative / zero'
+    UNION ALL SELECT 'limit_band_gradient', 'default_rate_lowest_limit', first_rate, first_n FROM gr WHERE dimension = 'limit'
+    UNION ALL SELECT 'limit_band_gradient', 'default_rate_highest_limit', last_rate, (SELECT arg_max(n, ord) FROM lev WHERE dimension = 'limit') FROM gr WHERE dimension = 'limit'
+    UNION ALL SELECT 'age_band_pattern', 'age_band_highest_rate', high_rate, {BAND_N.format('high')} FROM gr WHERE dimension = 'age'
+    UNION ALL SELECT 'age_band_pattern', 'age_band_lowest_rate', low_rate, {BAND_N.format('low')} FROM gr WHERE dimension = 'age'
+    UNION ALL SELECT 'repayment_behaviour', 'repayment_ratio_defaulters', avg(repayment_ratio_capped_mean), count(repayment_ratio_capped_mean) FROM (SELECT repayment_ratio_capped_mean, {T} AS y FROM feat) WHERE y = 1
+    UNION ALL SELECT 'repayment_behaviour', 'repayment_ratio_non_defaulters', avg(repayment_ratio_capped_mean), count(repayment_ratio_capped_mean) FROM (SELECT repayment_ratio_capped_mean, {T} AS y FROM feat) WHERE y = 0
+    UNION ALL SELECT 'delinquency_trend', 'delinquency_first_period', avg(CAST(pay_status_m6 >= 1 AS INTEGER)) * 100, count(*) FROM feat
+    UNION ALL SELECT 'delinquency_trend', 'delinquency_last_period', avg(CAST(pay_status_m1 >= 1 AS INTEGER)) * 100, count(*) FROM feat
+    UNION ALL SELECT 'delinquency_trend', 'utilisation_change', (avg(utilisation_m1) - avg(utilisation_m6)) * 100, count(*) FROM feat
+    UNION ALL SELECT 'full_payer_segment', 'full_payer_count', {FULL}, count(*) FROM feat
+    UNION ALL SELECT 'full_payer_segment', 'full_payer_default_rate', (SELECT avg({T}) FILTER (WHERE is_full_payer) * 100 FROM feat), {FULL}
+    UNION ALL SELECT 'full_payer_segment', 'full_payer_avg_limit', (SELECT avg(credit_limit) FILTER (WHERE is_full_payer) FROM feat), {FULL})"""
+# of levels with one rate the first counts
+EVIDENCE = EVIDENCE.replace("arg_min(level, rate)", "arg_min(level, rate * 1000000 + ord)").replace("arg_max(level, rate)", "arg_max(level, rate * 1000000 - ord)")
+EVIDENCE_SQL = on_features(f"""SELECT key, metric, {R('value', 'value', 4)}, CAST(n AS BIGINT) AS n,
+    CASE WHEN key = 'repayment_behaviour' AND {N} >= 1000 THEN 'high' WHEN max(n) OVER (PARTITION BY key) >= 100 THEN 'medium' ELSE 'low' END AS confidence FROM ev JOIN fnd USING (key)""", EVIDENCE)
+
+
+@query("finding_evidence", EVIDENCE_SQL)
+def evidence(spark, d):
+    """Every piece of evidence behind the findings, with the confidence it gives."""
+    found = findings.key_findings(feats(spark, d))
+    return rounded(found.selectExpr("key", "confidence", "inline(evidence)").select("key", "metric", "value", "n", "confidence"), 4)
+
+
+@query("finding_evidence_planted", EVIDENCE_SQL.replace(f"{T} AS y", f"{PLANTED} AS y").replace(f", {T} FROM feat", f", {PLANTED} FROM feat")
+       .replace(f"FILTER (WHERE {T} =", f"FILTER (WHERE {PLANTED} =").replace(f"avg({T})", f"avg({PLANTED})"))
+def _(spark, d):
+    found = findings.key_findings(s.project(feats(spark, d), {T: PLANTED}))
+    return rounded(found.selectExpr("key", "confidence", "inline(evidence)").select("key", "metric", "value", "n", "confidence"), 4)
+
+
 @query("finding_counts", on_features("""SELECT facet, name, count(key) AS findings FROM (VALUES ('type', 'risk'), ('type', 'opportunity'), ('type', 'observation'), ('type', 'data_quality'),
     ('severity', 'info'), ('severity', 'low'), ('severity', 'medium'), ('severity', 'high'), ('severity', 'critical')) AS t(facet, name)
     LEFT JOIN fnd ON (facet = 'type' AND type = name) OR (facet = 'severity' AND ['info', 'low', 'medium', 'high', 'critical'][sev + 1] = name) GROUP BY ALL""", FIND))
@@ -350,6 +389,14 @@ def _(spark, d):
     return agg(features.feature_report(feats(spark, d)), {"n": "count(*)"}, ["created"])
 
 
+@query("feature_coverage", on_features(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{definition[0]}' AS category, count(*) AS n_rows, count(*) - count({c}) AS missing, {R(f'(count(*) - count({c})) / count(*) * 100', 'missing_pct')} FROM feat"
+    for c, definition in features.DEFINITIONS.items())))
+def _(spark, d):
+    out = features.feature_coverage(feats(spark, d)).filter("created")
+    return rounded(out.select("feature", "category", "n_rows", "missing", "missing_pct"))
+
+
 @query("results_as_json", "SELECT '{\"o_orderpriority\":\"' || o_orderpriority || '\",\"n\":' || count(*) || '}' AS json FROM orders GROUP BY o_orderpriority")
 def _(spark, d):
     return pipeline.as_json(agg(table(spark, d, "orders"), {"n": "count(*)"}, ["o_orderpriority"]))

@@ -7,10 +7,13 @@ an action (their quartile edges).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from ledgerlens import vocabulary as v
 from ledgerlens.functions import scalars as s
+from ledgerlens.functions.tables import agg, unpivot
 from ledgerlens.operators.quantiles import quantile_values
 from ledgerlens.roles import Roles
 from ledgerlens.settings import DEFAULTS, Settings
@@ -226,6 +229,18 @@ def feature_report(df: DataFrame, skipped: dict[str, str] | None = None) -> Data
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def feature_coverage(df: DataFrame, skipped: dict[str, str] | None = None) -> DataFrame:
+    """The feature report with what the data says: rows and missing values of every feature (one aggregation)."""
+    report = feature_report(df, skipped)
+    made = [c for c in DEFINITIONS if c in df.columns]
+    counts = agg(df, {"n_rows": "count(*)", **{c: f"count_if({s.is_missing(df, c)})" for c in made}})
+    found = unpivot(counts, [{"feature": s.text(c), "missing": s.name(c)} for c in made], keep=["n_rows"]) if made else None
+    if found is None:
+        found = counts.selectExpr("CAST(NULL AS STRING) AS feature", "CAST(NULL AS BIGINT) AS missing", "n_rows").limit(0)
+    return report.join(F.broadcast(found), "feature", "left").selectExpr(
+        *map(s.name, report.columns), "n_rows", "missing", f"{s.divide('missing', 'n_rows')} * 100 AS missing_pct")
+
+
 def utilisation_bands(threshold: float = DEFAULTS.high_utilisation) -> list[tuple[str, float, float]]:
     inf = float("inf")
     return [
