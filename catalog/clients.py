@@ -540,6 +540,13 @@ def _(spark, d):
     return rounded(selection.page(feats(spark, d).select("client_id", "age", "credit_limit"), 3, 25), 2)
 
 
+@query("pagination_by_ranges", f"SELECT o_orderkey, o_custkey, {R('o_totalprice', 'o_totalprice', 2)} FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 5700")
+def _(spark, d):
+    """A far page: only the key ranges it lies in are sorted."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return rounded(selection.pages(orders, 100, "o_orderkey", ranges=16).page(58), 2)
+
+
 @query("page_count", "SELECT count(*) AS n_rows, CAST(ceil(count(*) / 100) AS BIGINT) AS pages FROM lineitem")
 def _(spark, d):
     return selection.page_count(table(spark, d, "lineitem"), 100)

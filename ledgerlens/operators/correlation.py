@@ -72,7 +72,7 @@ def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFra
         f"IF(syy - sy * sy / n > {NO_VARIANCE} * syy, syy - sy * sy / n, NULL) AS yy").filter("n > 0")
     lefts_, rights_ = ("array(" + ", ".join(s.text(p[side]) for p in pairs) + ")" for side in (0, 1))
     return total.selectExpr(f"get({lefts_}, int(pair)) AS left", f"get({rights_}, int(pair)) AS right",
-                            "greatest(-1D, least(1D, xy / sqrt(xx * yy))) AS correlation", "bigint(n) AS n")
+                            "IF(xx IS NULL OR yy IS NULL OR xy IS NULL, NULL, greatest(-1D, least(1D, xy / (sqrt(xx) * sqrt(yy))))) AS correlation", "bigint(n) AS n")
 
 
 def _null_masks(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> dict[str, str]:

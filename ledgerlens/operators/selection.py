@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from math import ceil
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens import vocabulary as v
 from ledgerlens.functions import scalars as s
@@ -196,6 +197,53 @@ def page(df: DataFrame, number: int, size: int = 25, order: str = v.ID) -> DataF
     return df.orderBy(order).offset((number - 1) * size).limit(size)
 
 
+@dataclass(frozen=True)
+class Pages:
+    """Pages in key order that read only the key ranges they lie in.
+
+    ``ranges`` has one row (low, high, rows, before) for each range: as many as
+    the sort has partitions.  Null keys belong to the first range.
+    """
+
+    df: DataFrame
+    order: str
+    size: int
+    ranges: tuple
+
+    @property
+    def n_rows(self) -> int:
+        return sum(r["rows"] for r in self.ranges)
+
+    def page(self, number: int) -> DataFrame:
+        """Page ``number`` (1-based): a filter on the key that reaches the scan, then a sort of those ranges."""
+        start = (number - 1) * self.size
+        own = [r for r in self.ranges if r["before"] < start + self.size and start < r["before"] + r["rows"]]
+        if not own:
+            return self.df.limit(0)
+        key, low, high = F.col(self.order), own[0]["low"], own[-1]["high"]
+        within = F.lit(False) if high is None else key <= F.lit(high)
+        if low is not None:
+            within = within & (key >= F.lit(low))
+        if own[0]["before"] == 0:
+            within = within | key.isNull()
+        return self.df.filter(within).orderBy(self.order).offset(start - own[0]["before"]).limit(self.size)
+
+
+def pages(df: DataFrame, size: int = 25, order: str = v.ID, ranges: int | None = None) -> Pages:
+    """Counts the keys by ranges, once; only keys are shuffled, and equal keys share a range.
+
+    ``ranges``: how many; left out, the session's shuffle settings decide.
+    """
+    keys = df.select(F.col(order).alias("key"))
+    keys = keys.repartitionByRange("key") if ranges is None else keys.repartitionByRange(ranges, "key")
+    found = keys.groupBy(F.spark_partition_id().alias("slice")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("rows"))
+    before, counted = 0, []
+    for r in found.orderBy("slice").collect():
+        counted.append({"low": r["low"], "high": r["high"], "rows": r["rows"], "before": before})
+        before += r["rows"]
+    return Pages(df, order, size, tuple(counted))
+
+
 def page_count(df: DataFrame, size: int = 25) -> DataFrame:
     return agg(df, {"n_rows": "count(*)", "pages": f"greatest(1L, bigint(ceil(count(*) / {size})))"})
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import session
 from ledgerlens.functions.tables import agg
-from ledgerlens.operators import correlation, duplicates, quantiles, ranking
+from ledgerlens.operators import correlation, duplicates, quantiles, ranking, selection
 
 
 @pytest.fixture(scope="module")
@@ -140,3 +140,33 @@ def test_scan_reads_only_what_is_needed(spark, tmp_path):
     plan = chosen.data.select("client_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(age), IsNotNull(credit_limit)" in plan and "other" not in plan.split("ReadSchema")[1]
     assert F is not None
+
+
+def test_pages_by_ranges(spark):
+    df = spark.range(0, 3000).selectExpr("IF(id % 100 = 3, NULL, pmod(xxhash64(id), 100000)) AS k", "id AS v").repartition(5)
+    wanted = [r["k"] for r in df.orderBy("k").collect()]
+    for ranges in (1, 7):
+        pages = selection.pages(df, 70, "k", ranges)
+        assert pages.n_rows == 3000
+        found = [[r["k"] for r in pages.page(n).collect()] for n in (1, 2, 20, 43, 44)]
+        assert found == [wanted[(n - 1) * 70:n * 70] for n in (1, 2, 20, 43, 44)]
+    assert selection.pages(df.limit(0), 70, "k").page(1).count() == 0
+    plan = selection.pages(df, 70, "k", 7).page(20)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">=" in plan and "<=" in plan  # the key range is a filter
+
+
+def test_correlations_by_cross_sums(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 6)) * [1, 1e3, 1e-3, 1, 1, 1] + [0, 1e6, 5, 0, 0, 0]
+    x[:, 1] += 500 * x[:, 0]
+    x[:, 3] = 7.1  # no variance
+    data = pd.DataFrame(x, columns=list("abcdef"))
+    data.loc[rng.random(500) < 0.3, "e"] = np.nan
+    data.loc[5:, "f"] = np.nan  # few pairs
+    got = {(r["left"], r["right"]): (r["correlation"], r["n"]) for r in correlation.pearson_pairs(spark.createDataFrame(data).repartition(3), list("abcdef")).collect()}
+    for i, p in enumerate("abcdef"):
+        for q in "abcdef"[i + 1:]:
+            r, n = got[p, q]
+            wanted = data[p].corr(data[q])
+            assert n == (data[p].notna() & data[q].notna()).sum()
+            assert r is None if "d" in (p, q) else r == pytest.approx(wanted, abs=1e-9), (p, q)
