@@ -13,9 +13,9 @@ by a table of ``slots`` bytes, sent compressed: the slot of a phrase's hash hold
 that scan, and a slot that is set never changes.  A shared slot makes a phrase
 count too early, never too late, and every task and scan sees the same slot, so
 each phrase has one definite first scan and its cycle stays whole.  Phrases are
-told apart by 64-bit hashes while they are counted; when their cycles are over,
-the texts of the frequent ones are read from the blocks and their occurrences
-are summed by text, as an exact check against meeting hashes.
+told apart by 64-bit hashes (of 10^9 different phrases on their way, two meet in
+one run of 37, and then matter only if one is frequent).  Every count carries a
+block that holds the phrase, and when the cycles are over that block gives its text.
 
 Scale: blocks are written once; a scan reads one shard of them.  Tasks send
 (hash, count) rows of phrases on their way, one for each block that holds them;
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import shared_folder, table_written, written
+from ledgerlens.llm.common import table_written, written
 
 LONGEST = 5
 SHARDS = 4
@@ -102,6 +103,12 @@ def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
+def _both_slots(hashes: np.ndarray, block, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two slots that stand for a phrase in a block: a phrase not named for the block seldom finds both set."""
+    pair = _mixed(hashes, np.asarray(block).astype(np.uint64))
+    return _slot(pair, slots), _slot(pair >> np.uint64(32), slots)
+
+
 def _levels(lang: str, ids: bytes, words: bytes, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: (length, places, hashes, first scan) of the phrases at these places that may be on their way.
 
@@ -142,11 +149,11 @@ def _table(shared) -> np.ndarray:
 
 
 def _scanner(shared, scan: int) -> object:
-    """Blocks to rows (hash, told): told holds count, first scan and length of a phrase counted in this scan."""
+    """Blocks to rows (hash, n, told) of the phrases counted in this scan; told holds a block, the first scan and the length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared)
         for batch in batches:
-            for lang, ids, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for lang, block, ids, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for length, places, hashes, first in _levels(lang, ids, words, table):
                     if length == 1:
                         if scan >= SHARDS:
@@ -157,58 +164,59 @@ def _scanner(shared, scan: int) -> object:
                         found, where, count = np.unique(hashes[active], return_index=True, return_counts=True)
                         first = first[active][where]
                     if len(found):
-                        told = (count.astype(np.int64) << 16) | (first << 8) | length
-                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(told)], names=["hash", "told"])
+                        told = (block << 16) | (first << 8) | length
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(told)], names=["hash", "n", "told"])
 
     return run
 
 
-def _texts(shared) -> object:
-    """Blocks to rows (lang, hash, phrase, n) of the phrases all of whose subphrases, and which themselves, have their slots set."""
+def _texts(shared, named) -> object:
+    """Blocks to rows (lang, hash, phrase): each phrase from the one block that is named for it (and a few by chance)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(shared)
+        table, wanted = _table(shared), _table(named)
         for batch in batches:
-            for lang, ids, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                at, vocabulary = np.frombuffer(ids, np.uint32), [b"", *words.split(b" ")]
-                for length, places, hashes, counts in _levels(lang, ids, words, table):
-                    reached = np.flatnonzero(table[_slot(hashes, len(table))])
+            for lang, block, ids, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                at, vocabulary = np.frombuffer(ids, np.uint32), words.split(b" ")
+                for length, places, hashes, _ in _levels(lang, ids, words, table):
+                    one, other = _both_slots(hashes, block, len(wanted))
+                    own = np.flatnonzero(wanted[one] & wanted[other])
+                    found, one = np.unique(hashes[own], return_index=True)
                     if length == 1:
-                        found, n, phrases = hashes[reached], counts[reached], [vocabulary[i + 1] for i in reached.tolist()]
+                        phrases = [vocabulary[i] for i in own[one].tolist()]
                     else:
-                        # exact within the block: word numbers, not hashes, tell phrases apart
-                        rows = at[places[reached][:, None] + np.arange(length)]
-                        order = np.lexsort((*rows.T[::-1], hashes[reached]))
-                        rows, own = rows[order], hashes[reached][order]
-                        new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])) if len(rows) else np.zeros(0, np.int64)
-                        found, n = own[new], np.diff(np.append(new, len(rows)))
-                        phrases = [b" ".join([vocabulary[i] for i in row]) for row in rows[new].tolist()]
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(phrases, pa.binary()).cast(pa.string()),
-                                                          pa.array(n.astype(np.int64))], names=["lang", "hash", "phrase", "n"])
+                        rows = at[places[own[one]][:, None] + np.arange(length)] - 1
+                        phrases = [b" ".join([vocabulary[i] for i in row]) for row in rows.tolist()]
+                    if phrases:
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(phrases, pa.binary()).cast(pa.string())],
+                                                         names=["lang", "hash", "phrase"])
 
     return run
 
 
+def _set_slots(rows: DataFrame, slot, *more) -> pa.Table:
+    """The distinct slots of ``rows``, at most as many as there are slots."""
+    return rows.groupBy(slot.alias("slot")).agg(*(more or [F.count(F.lit(1))])).toArrow()
+
+
 def frequent(blocks: DataFrame, threshold: int, slots: int = 1 << 24) -> DataFrame:
     """Dynamic counting: (lang, phrase, f) of all phrases of up to ``LONGEST`` words that occur ``threshold`` times or more.
 
     ``blocks``: rows of :func:`blocks_of`, written and partitioned by shard.
     """
-    spark = blocks.sparkSession
+    broadcast = blocks.sparkSession.sparkContext.broadcast
     table, longest = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8)
     scan, until, state, ended = 0, SHARDS, None, []
-    count, first, length = F.expr("told div 65536"), F.expr("(told div 256) % 256"), F.expr("told % 256")
+    first, length = F.expr("(told div 256) % 256"), F.expr("told % 256")
     while scan < until:
-        shared = spark.sparkContext.broadcast(_packed(table))
-        own = blocks.where(F.col("shard") == scan % SHARDS).select("lang", "ids", "words").mapInArrow(_scanner(shared, scan), "hash long, told long")
+        shared = broadcast(_packed(table))
+        own = blocks.where(F.col("shard") == scan % SHARDS).select("lang", "block", "ids", "words").mapInArrow(_scanner(shared, scan), "hash long, n long, told long")
         if state is not None:
             own = own.union(state.where(first + SHARDS > scan))
-        summed = own.groupBy("hash").agg((F.sum(count) * 65536 + F.max(F.expr("told % 65536"))).alias("told"))
-        state = written(summed)
+        state = written(own.groupBy("hash").agg(F.sum("n").alias("n"), F.max("told").alias("told")))
         shared.destroy()
-        ended.append(state.where((first + SHARDS - 1 == scan) & (count >= threshold)))
-        slot = F.expr(f"hash & {slots - 1}L")
-        reached = state.where(count >= threshold).groupBy(slot.alias("slot")).agg(F.min(length).alias("length")).toArrow()
+        often = state.where(F.col("n") >= threshold)
+        ended.append(often.where(first + SHARDS - 1 == scan))
+        reached = _set_slots(often, F.expr(f"hash & {slots - 1}L"), F.min(length).alias("length"))
         at, short = reached["slot"].to_numpy(), reached["length"].to_numpy() < LONGEST
         longest[at[~short]] = 1
         new = at[short][table[at[short]] == 0]
@@ -216,13 +224,22 @@ def frequent(blocks: DataFrame, threshold: int, slots: int = 1 << 24) -> DataFra
         if len(new):
             until = scan + 1 + SHARDS
         scan += 1
-    shared = spark.sparkContext.broadcast(_packed(np.maximum(table, longest)))
-    texts = blocks.select("lang", "ids", "words").mapInArrow(_texts(shared), "lang string, hash long, phrase string, n long")
-    hashes = ended[0]
-    for more in ended[1:]:
-        hashes = hashes.union(more)
-    counted = texts.groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("f")).where(F.col("f") >= threshold)
-    return counted.join(hashes.select("hash").distinct(), "hash", "left_semi").select("lang", "phrase", "f")
+    counted = written(reduce(DataFrame.union, ended).select("hash", F.col("n").alias("f"), F.expr("told div 65536").alias("block")))
+    wanted = np.zeros(slots, np.uint8)
+    for part in counted.select("hash", "block").mapInArrow(_named(slots), "slot long").distinct().toArrow()["slot"].chunks:
+        wanted[part.to_numpy()] = 1
+    texts = blocks.select("lang", "block", "ids", "words").mapInArrow(_texts(broadcast(_packed(np.maximum(table, longest))), broadcast(_packed(wanted))), "lang string, hash long, phrase string")
+    return texts.groupBy("hash").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase")).join(counted.select("hash", "f"), "hash").select("lang", "phrase", "f")
+
+
+def _named(slots: int) -> object:
+    """Rows (hash, block) to the two slots that stand for the phrase in this block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots_of = _both_slots(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), slots)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots_of))], names=["slot"])
+
+    return run
 
 
 def blocks_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -230,6 +247,7 @@ def blocks_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     c = lambda name: F.col(f"`{name}`")
     rows = docs.select(F.coalesce(c(lang), F.lit("und")).alias("lang"), F.coalesce(c(text), F.lit("")).alias("text"))
     made = rows.mapInArrow(_blocks, "lang string, number long, total long, ids binary, words binary")
+    made = made.withColumn("block", F.spark_partition_id() * F.lit(1 << 20).cast("long") + F.col("number"))
     return table_written(made.withColumn("shard", F.pmod(F.col("number") + F.spark_partition_id(), F.lit(SHARDS)).cast("int")), "shard")
 
 
