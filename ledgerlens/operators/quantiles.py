@@ -16,9 +16,9 @@ step 2, no column of doubles more than four.  Only rows inside a wanted range ar
 again; a running count sees the digits that occur, at most about a million of one
 column in step 1 and 65,536 of one range in step 2, however many rows there are.
 
-The ranges still open decide whether another round runs.  Without groups they are at
-most two for each column and probability and pass through the driver; with
-groups they are written to the shared folder and counted there.
+The ranges still open decide whether another round runs.  Up to ``HELD`` ranges
+pass through the driver between the rounds; more, of many groups, are written to the
+shared folder.  Either way the rounds are the same.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from ledgerlens.functions.tables import agg, unpivot
 
 OCTAVE = 512   # first digits in a factor of two
 STEPS = 65_536  # second and later digits in a range
+HELD = 10_000   # ranges that may pass through the driver
 
 
 def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -72,21 +73,19 @@ def _narrowed(long: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     return closed.union(met.selectExpr(*[f"l.{name(k)}" for k in keys], "prob", "upper", "l.n", "spot - (upto - many) AS spot", "least AS low", "most AS high"))
 
 
-def quantiles_long(long: DataFrame, keys: Sequence[str], probs: Sequence[float], few: bool = False) -> DataFrame:
-    """(keys..., prob, n, quantile) for a long table with a finite, non-null ``value``.
+def _settled(ranges: DataFrame) -> DataFrame:
+    """The ranges as a table that is not computed again."""
+    rows = ranges.limit(HELD + 1).collect()
+    return ranges.sparkSession.createDataFrame(rows, ranges.schema) if len(rows) <= HELD else session.stored(ranges)
 
-    ``few`` says that the keys take few values (names of columns), so that one
-    row for each of them and each probability may pass through the driver.
-    """
-    keys = list(keys)
-    spark = long.sparkSession
 
-    def settle(ranges: DataFrame) -> DataFrame:
-        return spark.createDataFrame(ranges.collect(), ranges.schema) if few else session.stored(ranges)
+def quantiles_long(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys..., prob, n, quantile) for a long table with a finite, non-null ``value``."""
+    keys = list(keys)
 
-    ranges = settle(_first_ranges(long, keys, probs))
+    ranges = _settled(_first_ranges(long, keys, probs))
     while not ranges.filter("low < high").isEmpty():
-        ranges = settle(_narrowed(long, ranges, keys))
+        ranges = _settled(_narrowed(long, ranges, keys))
     ends = agg(ranges, {"n": "first(n)", "below": "max(IF(upper, NULL, low))", "above": "max(IF(upper, low, NULL))"}, [*keys, "prob"])
     part = "(prob * (n - 1) - floor(prob * (n - 1)))"
     return ends.selectExpr(*map(name, keys), "prob", "n", f"below + (above - below) * {part} AS quantile")
@@ -94,7 +93,7 @@ def quantiles_long(long: DataFrame, keys: Sequence[str], probs: Sequence[float],
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, prob, n, quantile) for every column; columns without values give no row."""
-    return quantiles_long(melt(df, columns, by), [*by, "feature"], probs, few=not by)
+    return quantiles_long(melt(df, columns, by), [*by, "feature"], probs)
 
 
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, dict[float, float]]:

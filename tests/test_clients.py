@@ -147,6 +147,12 @@ def test_feature_report_names_what_is_missing(minimal):
     assert report["bill_trend_slope"]["created"] and not report["savings_rate"]["created"]
 
 
+def test_feature_coverage_counts_what_is_missing(edge_featured):
+    rows = {r["feature"]: r for r in features.feature_coverage(edge_featured).collect()}
+    assert rows["utilisation_latest"]["missing"] == 2 and rows["utilisation_latest"]["missing_pct"] == pytest.approx(200 / 9)
+    assert rows["total_paid_6m"]["missing"] == 0 and rows["savings_rate"]["missing"] is None and not rows["savings_rate"]["created"]
+
+
 def test_later_utilisation_band_wins_for_a_low_threshold(spark):
     label, _ = features.utilisation_band("u", 0.4)
     rows = spark.sql("SELECT * FROM VALUES (-1D), (0.35D), (0.5D), (0.7D), (null) AS t(u)")

@@ -57,7 +57,9 @@ def test_quantiles_without_values(spark):
     assert quantiles.quantiles(df.limit(0), ["x"], (0.5,), by=["y"]).count() == 0
 
 
-def test_grouped_quantiles(skewed):
+@pytest.mark.parametrize("held", [10_000, 2])
+def test_grouped_quantiles(skewed, held, monkeypatch):
+    monkeypatch.setattr(quantiles, "HELD", held)
     got = {(r["g"], r["prob"]): r["quantile"] for r in quantiles.quantiles(skewed, ["x"], (0.5, 0.9), by=["g"]).collect()}
     data = skewed.toPandas()
     for g, part in data.groupby("g"):
