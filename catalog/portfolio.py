@@ -171,6 +171,26 @@ def _(spark, d):
     return rounded(groups.selectExpr("*", f"{s.number(model.inertia)} AS inertia"), 6, inertia=4)
 
 
+CUTS = SCALED + f""", q AS MATERIALIZED (SELECT i, x, sum(x) OVER (ORDER BY i) AS s1 FROM (SELECT z_{ONE} AS x, row_number() OVER (ORDER BY z_{ONE}, client_id) AS i FROM z)),
+    whole AS (SELECT max(i) AS n, max_by(s1, i) AS t1 FROM q),
+    two AS (SELECT i AS a FROM q, whole WHERE i < n ORDER BY -s1 * s1 / i - pow(t1 - s1, 2) / (n - i) LIMIT 1),
+    three AS (SELECT a.i AS a, b.i AS b FROM q a JOIN q b ON a.i < b.i, whole WHERE b.i < n ORDER BY -a.s1 * a.s1 / a.i - pow(b.s1 - a.s1, 2) / (b.i - a.i) - pow(t1 - b.s1, 2) / (n - b.i) LIMIT 1),
+    cut AS (SELECT 2 AS k, CAST(i > a AS INTEGER) AS g, x FROM q, two UNION ALL SELECT 3, CAST(i > a AS INTEGER) + CAST(i > b AS INTEGER), x FROM q, three),
+    c AS (SELECT k, g, count(*) AS n, avg(x) AS centre FROM cut GROUP BY ALL),
+    w AS (SELECT k, g, any_value(c.n) AS n, any_value(centre) AS centre, sum(pow(x - centre, 2)) AS within, avg(abs(x - centre)) AS scatter FROM cut JOIN c USING (k, g) GROUP BY ALL),
+    db AS (SELECT k, avg(worst) AS davies FROM (SELECT u.k, u.g, max((u.scatter + o.scatter) / abs(u.centre - o.centre)) AS worst FROM w u JOIN w o ON u.k = o.k AND u.g <> o.g GROUP BY ALL) GROUP BY k)"""
+
+
+@query("k_sweep_one_feature", on_features(f"""SELECT k, {R('sum(within)', 'inertia', 4)}, {R('any_value(davies)', 'davies_bouldin', 5)},
+    {R('sum(n * pow(centre, 2)) / (k - 1) / (sum(within) / (sum(n) - k))', 'calinski_harabasz', 3)}, {R('min(n) / sum(n) * 100', 'smallest_share_pct')} FROM w JOIN db USING (k) GROUP BY k""", CUTS))
+def _(spark, d):
+    """The sweep's scores on one feature for two and three groups, from the best of all cuts."""
+    config = segments.Config(features=(ONE,), scaler="standard", k_min=2, k_max=3, tolerance=0.0)
+    p = segments.prepare(feats(spark, d), config)
+    scores = segments.evaluate(p, config).frame(spark)
+    return rounded(scores.select("k", "inertia", "davies_bouldin", "calinski_harabasz", "smallest_share_pct"), 4, davies_bouldin=5, calinski_harabasz=3, smallest_share_pct=6)
+
+
 @query("k_sweep")
 def _(spark, d):
     p = prepared(spark, d)
