@@ -37,7 +37,7 @@ PROPOSALS = {
     "ssn": (re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), 0.4, ("ssn", "social security"), ("invoice", "order", "part no", "serial")),
     "local_phone": (re.compile(r"(?<![0-9])(?:\([0-9]{3}\)\x20|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9-])"), 0.4,
                     ("phone", "tel", "call", "mobile", "fax", "cell"), ("isbn", "version", "order", "serial")),
-    "secret": (re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]{24,128}(?![A-Za-z0-9_])"), 0.2,
+    "secret": (re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_+/-]{24,}+"), 0.2,
                ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "credential"), ("sha256", "md5", "checksum", "commit", "http")),
 }
 THRESHOLD, SUPPORT, CONTRADICTION, REACH = 0.6, 0.4, 0.3, 40
@@ -81,9 +81,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def ibans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Proposals cut at the last end of a group of characters at which mod-97 holds."""
+    m = pattern.search(text)
+    while m:
+        ends = [b for b in range(m.end(), m.start() + 14, -1) if b == m.end() or text[b] == " "]
+        stop = next((b for b in ends if mod97(text[m.start():b])), None)
+        if stop is not None:
+            yield m.start(), stop
+        m = pattern.search(text, stop or m.start() + 1)
+
+
+def proposals(text: str, kind: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    return ibans(text, pattern) if kind == "iban" else (m.span() for m in pattern.finditer(text) if _confirmed(kind, m[0]))
+
+
 def _confirmed(kind: str, match: str) -> bool:
-    if kind == "iban":
-        return mod97(match)
     if kind == "ssn":
         area, group, serial = match.split("-")
         return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -95,13 +108,11 @@ def _confirmed(kind: str, match: str) -> bool:
 def further_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
     proposed = []
     for kind, (pattern, score, support, contradiction) in PROPOSALS.items():
-        for m in pattern.finditer(text):
-            if not _confirmed(kind, m[0]):
-                continue
-            near = f"{text[max(0, m.start() - REACH):m.start()]} {text[m.end():m.end() + REACH]}".lower()
+        for start, stop in proposals(text, kind, pattern):
+            near = f"{text[max(0, start - REACH):start]} {text[stop:stop + REACH]}".lower()
             sure = score + SUPPORT * any(w in near for w in support) - CONTRADICTION * any(w in near for w in contradiction)
             if sure >= THRESHOLD:
-                proposed.append((-sure, KINDS.index(kind), *m.span()))
+                proposed.append((-sure, KINDS.index(kind), start, stop))
     kept: list[tuple[str, int, int, float]] = []
     held = sorted((a, b) for _, a, b in taken)
     for minus, kind, a, b in sorted(proposed):

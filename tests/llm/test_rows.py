@@ -51,7 +51,23 @@ def test_checksums_and_context():
     assert pii.masked("mail a@b.cd or +1 (555) 123-4567.", pii.spans_of("mail a@b.cd or +1 (555) 123-4567.")) == "mail [EMAIL] or [PHONE]."
 
 
+def test_ibans_are_cut_where_they_hold():
+    iban = "GB82 WEST 1234 5698 7654 32"
+    for after in ("", " BIC MIDLGB22", " AND SO ON", f" {iban}", ".", " 12"):
+        text = f"bank {iban}{after}"
+        found = [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "iban"]
+        assert found == [iban] * (1 + (iban in after)), text
+    assert not [s for s in pii.spans_of("account GB82 WEST 1234 5698 7654 31 BIC MIDLGB22") if s[0] == "iban"]
+
+
+def test_secrets_of_any_length():
+    for n in (24, 128, 129, 140, 5_000):
+        secret = ("aB3dE5gH7jK9" * 500)[:n]
+        assert [(k, b - a) for k, a, b, _ in pii.spans_of(f"token = {secret};")] == [("secret", n)]
+
+
 def test_long_hostile_text_is_linear():
+    pii.spans_of("GB82" + " WEST 1234" * 30_000 + " GB82" * 30_000 + " token 1" + "a1b2c3d4" * 40_000)
     pii.spans_of("a" * 300_000 + "@ " + "1" * 300_000 + " " + "1.1." * 50_000 + "+ " * 50_000 + "@" * 50_000)
 
 
