@@ -41,7 +41,7 @@ def canonical(url: Column) -> Column:
     pattern = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?"
     part = lambda i: F.regexp_extract(url, pattern, i)
     scheme = F.lower(part(1))
-    host = F.regexp_replace(F.lower(part(2)), r"^(.*?)\.?(:80|:443)?$", "$1")
+    host = F.when(scheme == "https", F.regexp_replace(F.lower(part(2)), r"^(.*?)\.?(:443)?$", "$1")).otherwise(F.regexp_replace(F.lower(part(2)), r"^(.*?)\.?(:80)?$", "$1"))
     path = F.regexp_replace(part(3), "/+$", "")
     query = F.array_join(F.array_sort(F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING))), "&")
     return F.when(url.rlike(pattern), F.concat(F.when(scheme == "https", "http").otherwise(scheme), F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
@@ -128,7 +128,7 @@ WITH log AS (
   SELECT *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref|sessionid|phpsessid|jsessionid)='))) AS wanted
   FROM parts
 ), addressed AS (
-  SELECT *, CASE WHEN lower(scheme) = 'https' THEN 'http' ELSE lower(scheme) END || '://' || regexp_replace(lower(host), '^(.*?)\.?(:80|:443)?$', '\1')
+  SELECT *, CASE WHEN lower(scheme) = 'https' THEN 'http' ELSE lower(scheme) END || '://' || CASE WHEN lower(scheme) = 'https' THEN regexp_replace(lower(host), '^(.*?)\.?(:443)?$', '\1') ELSE regexp_replace(lower(host), '^(.*?)\.?(:80)?$', '\1') END
     || regexp_replace(path, '/+$', '') || CASE WHEN len(wanted) > 0 THEN '?' || array_to_string(wanted, '&') ELSE '' END AS address
   FROM asked
 ), ranked AS (
