@@ -15,8 +15,10 @@ finely until at most ``settle`` keys remain, which are admitted one by one on
 the driver.  Then each row finds its shard by itself.  No text is shuffled, no
 shard or key gathers in one task.
 
-Keys with equal ids get tickets of their own from their place in the input, so
-a third of all rows with one id are spread like others.  Slots number the rows
+A ticket comes from the id, the text and a number among equal rows, so that
+another layout of the same rows deals them alike, and a third of all rows with one
+id and text are spread like others.  Equal rows are numbered inside their partition,
+from the count of those in partitions before it.  Slots number the rows
 of a shard in ticket order, without gaps: ticket ranges are counted, and rows
 are numbered inside a range.
 
@@ -150,13 +152,25 @@ def with_slots(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("nth", nth).join(F.broadcast(offsets), ["part", "shard"]).withColumn("slot", (F.col("offset") + F.col("nth") - 1).cast("long")).drop("part", "nth", "offset")
 
 
+def ticketed(rows: DataFrame) -> DataFrame:
+    """Adds ``ticket``: a hash of the id, the text and the number among equal rows."""
+    rows = written(rows.withColumn("pid", F.shiftright("place", 33)))
+    same = ["id", "text_hash", "pid"]
+    nth = F.row_number().over(W.partitionBy(*same).orderBy("place")) - 1
+    before = F.sum("here").over(W.partitionBy("id", "text_hash").orderBy("pid").rowsBetween(W.unboundedPreceding, -1))
+    counts = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("here")).select(*same, F.coalesce(before, F.lit(0)).alias("before"))
+    counts = written(counts.where("before > 0"))  # only rows that equal others in earlier partitions
+    both = rows.withColumn("nth", nth).alias("l").join(counts.alias("r"), F.expr("l.id <=> r.id AND l.text_hash = r.text_hash AND l.pid = r.pid"), "left")
+    number = (F.col("nth") + F.coalesce("before", F.lit(0))).cast("long")
+    return both.select("l.*", number.alias("number")).withColumn("ticket", F.shiftrightunsigned(F.xxhash64("id", "text_hash", "number"), 64 - BITS)).drop("nth", "number", "pid", "text_hash")
+
+
 def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", virtual_nodes: int = 32, slack: float = 0.0, settle: int = 20_000) -> DataFrame:
     """One row per document: (key, size, text_crc32, shard, slot); no shard has more rows than its capacity."""
     ring = Ring(shards, virtual_nodes)
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
-    rows = rows.withColumn("ticket", F.shiftrightunsigned(F.xxhash64("id", "place"), 64 - BITS)).withColumn("arc", ring.arc(F.shiftrightunsigned(F.xxhash64("id"), 1)))
-    keys = written(rows)
+    rows = docs.select(F.col(key).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(F.col(text)).alias("text_hash"), F.monotonically_increasing_id().alias("place"))
+    keys = written(ticketed(rows).withColumn("arc", ring.arc(F.shiftrightunsigned(F.xxhash64("id"), 1))))
     n = keys.count()
     bound = capacities(n, shards, slack)
     events = fill(keys.select("arc", "ticket", "place"), ring, bound, settle)

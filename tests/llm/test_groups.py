@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from ledgerlens.llm import common, html, lm, paragraphs, ring, simhash, warc
+from pyspark.sql import Window
 
 
 class Sets:
@@ -261,7 +263,8 @@ def test_ring_admits_in_order(spark, slack, settle):
     ids = [7] * 300 + list(range(500)) + [None] * 5
     docs = spark.createDataFrame([(i, None if i == 3 else "é" * ((i or 0) % 5)) for i in ids], "doc_id long, text string").repartition(3).cache()
     points = ring.Ring(8, 32)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("place")).withColumn("ticket", F.shiftrightunsigned(F.xxhash64("doc_id", "place"), 4))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("text")) - 1
+    rows = docs.withColumn("nth", nth.cast("long")).select("doc_id", F.lit(0).alias("place"), F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text"), "nth"), 4).alias("ticket"))
     rows = [tuple(r) for r in rows.withColumn("arc", points.arc(F.shiftrightunsigned(F.xxhash64("doc_id"), 1))).collect()]
     left, want = ring.capacities(len(rows), 8, slack), Counter()
     for i, _, _, arc in sorted(rows, key=lambda r: (r[2], r[1])):
@@ -280,6 +283,13 @@ def test_ring_admits_in_order(spark, slack, settle):
         assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_ring_does_not_depend_on_the_layout(spark):
+    rows = [(i % 900, f"t{i % 1800}") for i in range(2_000)] + [(5, "same")] * 700 + [(None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = [Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in ring.assign(layout).collect()) for layout in (docs.coalesce(1), docs.repartition(7), docs.repartition(3, "text"))]
+    assert dealt[0] == dealt[1] == dealt[2]
+
+
 def test_ring_moves_little(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'x' AS text").coalesce(1)
     before = {r["doc_id"]: r["shard"] for r in ring.assign(docs, 8, slack=0.25).collect()}
@@ -311,6 +321,13 @@ def test_revisits(spark):
     assert (found[5]["refers_to"], found[5]["age_seconds"], found[5]["verdict"]) == (3, 600_000, "unverified")
     assert [found[i]["verdict"] for i in (6, 7, 9)] == ["unresolved"] * 3
     assert warc.resolve(captures.limit(0)).count() == 0
+    clashing = captures.selectExpr("*", "'x' AS canonical_url", "'y' AS address", "'z' AS period", "1 AS verdict")
+    assert sorted(map(str, warc.resolve(clashing).collect())) == sorted(map(str, warc.resolve(captures).collect()))
+
+
+def test_default_ports_go_by_scheme(spark):
+    urls = spark.createDataFrame([("http://a:80/x",), ("http://a:443/x",), ("https://a:443/x",), ("https://a:80/x",), ("HTTPS://A.:443/x/",)], "url string")
+    assert [r[0] for r in urls.select(warc.canonical(urls["url"])).collect()] == ["http://a/x", "http://a:443/x", "http://a/x", "http://a:80/x", "http://a/x"]
 
 
 # ------------------------------------------------------------------ pages
@@ -340,6 +357,62 @@ def test_unclosed_embedded_parts_leave_the_rest():
     assert html.extract("<article><p>a</p><script src='x'/><p>b</p><script src=/x/>no</script><style>no", set()) == "a\n\nb"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p>Body.</article><div id="comments" class="comments-area"><ol class="comment-list"><li><article class="comment-body"><p>Nice!', "Body."),
+    ('<article><p>Body.</article><section class="comments"><article><p>No!</article></section>', "Body."),
+    ('<article><p>Body.<div id="comments"><ol><li>Nice!</ol></div><ul class="commentlist"><li>Bad</ul><div class="respond"><form>x</form>Reply</div></article>', "Body."),
+    ('<article><h2 id="related-work">Related work</h2><section id="navigation"><p>Gamma on ships.</section><div class="social"><p>Social.</div><p class="notice">Kept.', "Related work\n\nGamma on ships.\n\nSocial.\n\nKept."),
+    ('<article><p>Body.<div class="related"><a href=x>More</a></div><div class="ad">Buy</div></article>', "Body."),
+    ("<p>a<svg><svg></svg><text>junk</text></svg>b", "ab"),
+    ('<body class="has-sidebar"><form id=f><div class="with-side"><article><p>Whole</article></div></form><aside><article>teaser</article></aside>', "Whole"),
+    ('<main><p>Intro<div class="comments"><article>No</article></div></main>', "Intro"),
+    ('<div class="comments"><article><p>All there is</article></div>', "All there is"),
+    ("<table><tr><td>a<td>b<tr><td>c</table><ul><li>d<li>e</ul><p>f<p>g", "a\n\nb\n\nc\n\nd\n\ne\n\nf\n\ng"),
+    ("<article><p>x < y and 3<4</p><p>cut <b", "x < y and 3<4\n\ncut"),
+])
+def test_parts_of_pages(page, text):
+    assert html.extract(page, set()) == text
+
+
+@pytest.mark.parametrize("part", ["<ul><li>", "<b></i>", '<a "', "<svg>", "<b><dt></dt>", "<nav>", "<div><p>x", "<table><tr><td>", '<a "x>', "<", "<a<b "])
+def test_hostile_pages_take_linear_time(part):
+    start = time.process_time()
+    html.candidates(part * (200_000 // len(part)))
+    html.extract(part * (200_000 // len(part)), set())
+    assert time.process_time() - start < 10  # the square would be minutes
+
+
+def test_generated_pages(spark):
+    """Pages put together from parts whose fate is known, read against the parts that stay; templates counted by hand."""
+    rng = random.Random(21)
+    said = lambda n: " ".join(rng.choice(["ka", "lo", "mi", "tu", "é", "Ref"]) for _ in range(n)) + f" {rng.randrange(10**9)}"
+    stay = [lambda t: f"<p>{t}</p>", lambda t: f"<div><span>{t}</span></div>", lambda t: f"<h2 id='share'>{t}</h2>", lambda t: f"<section class='intro'><p>{t}</section>",
+            lambda t: f"<blockquote>{t}</blockquote>", lambda t: f"<ul><li><a href=/x>{t}</a></ul>"]
+    go = ["<nav><a href=/>{}</a></nav>", "<div class='ad big'>{}</div>", "<form>{}<input></form>", "<script>{}</script>", "<aside><p>{}</aside>", "<!-- {} -->", "<div class='share'><a>{}</a></div>",
+          "<div class='comments'><article>{}</article></div>", "<footer>{}</footer>", "<svg><svg/><text>{}</text></svg>"]
+    box = {host: f"<div><em>Follow {host} now</em></div>" for host in range(3)}
+    rows, want = [], {}
+    for i in range(60):
+        host, inside, text = i % 3, [], []
+        for _ in range(rng.randint(1, 8)):
+            t = said(rng.randint(1, 9))
+            if rng.random() < 0.6:
+                inside.append(rng.choice(stay)(t))
+                text.append(t)
+            else:
+                inside.append(rng.choice(go).format(t))
+        t = said(40)
+        inside.append(f"<p>{t}</p>{box[host]}")
+        text.append(t if host < 2 else f"{t}\n\nFollow 2 now")
+        around = [rng.choice(go).format(said(3)) for _ in range(4)]
+        if host == 2 and i > 9:  # on the third host the box stands on few pages only
+            inside[-1], text[-1] = inside[-1].replace(box[2], ""), t
+        rows.append((i, f"http://h{host}.org/{i}", "".join(around[:2]) + "<article>" + "".join(inside) + "</article>" + "".join(around[2:])))
+        want[i] = "\n\n".join(text)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS rid", "'y' AS host", "'z' AS template", "1 AS row").repartition(3)
+    assert {r["page_id"]: r["text"] for r in html.main_text(pages, ["page_id"]).collect()} == want
+
+
 def test_templates_recur_on_a_host(spark):
     body = "<div><p>Box of this site</p></div><div id=x><p>page {0} has its own words</p></div>"
     rows = [(i, "http://a.example/" + str(i), body.format(i)) for i in range(20)] + [(99, "http://b.example/", body.format(99)), (100, None, None), (0, "http://a.example/0", body.format(0))]
