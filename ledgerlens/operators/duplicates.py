@@ -64,7 +64,7 @@ def flag_ignoring_key(df: DataFrame, key: str = v.ID, flag: str = "is_duplicate_
 def duplicate_counts(df: DataFrame, key: str = v.ID) -> DataFrame:
     """One row: exact repeats, repeats without the key, repeated keys (extra rows in each case).
 
-    One grouping by (payload hash, key) is shuffled; the three counts are groupings of its narrow result.
+    One scan hashes the payloads and groups by (payload hash, key), then by payload hash; another counts the bare keys.
     """
     extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0))
     rows = F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
@@ -75,11 +75,11 @@ def duplicate_counts(df: DataFrame, key: str = v.ID) -> DataFrame:
             F.lit(0).cast("long").alias("repeated_ids"), F.lit(0).cast("long").alias("rows_in_duplicate_groups"),
         )
     base = hashed(df, payload(df, key)).groupBy(ONE, TWO, F.col(key).alias("key")).agg(F.count("*").alias("n"))
-    exact = base.agg(rows, extra.alias("exact_duplicates"))
-    without = base.groupBy(ONE, TWO).agg(F.sum("n").alias("n")).agg(
-        extra.alias("duplicates_without_id"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_duplicate_groups"))
-    ids = base.groupBy("key").agg(F.sum("n").alias("n")).agg(extra.alias("repeated_ids"))
-    return side_by_side(exact, without, ids).select(
+    same = base.groupBy(ONE, TWO).agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("exact"))
+    payloads = same.agg(rows, F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_duplicates"), extra.alias("duplicates_without_id"),
+                        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_duplicate_groups"))
+    ids = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).agg(extra.alias("repeated_ids"))
+    return side_by_side(payloads, ids).select(
         "rows", "exact_duplicates", "duplicates_without_id", "repeated_ids", "rows_in_duplicate_groups"
     )
 

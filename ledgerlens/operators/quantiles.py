@@ -73,19 +73,22 @@ def _narrowed(long: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     return closed.union(met.selectExpr(*[f"l.{name(k)}" for k in keys], "prob", "upper", "l.n", "spot - (upto - many) AS spot", "least AS low", "most AS high"))
 
 
-def _settled(ranges: DataFrame) -> DataFrame:
-    """The ranges as a table that is not computed again."""
+def _settled(ranges: DataFrame) -> tuple[DataFrame, bool]:
+    """The ranges as a table that is not computed again, and whether any is still open."""
     rows = ranges.limit(HELD + 1).collect()
-    return ranges.sparkSession.createDataFrame(rows, ranges.schema) if len(rows) <= HELD else session.stored(ranges)
+    if len(rows) <= HELD:
+        return ranges.sparkSession.createDataFrame(rows, ranges.schema), any(r["low"] < r["high"] for r in rows)
+    kept = session.stored(ranges)
+    return kept, not kept.filter("low < high").isEmpty()
 
 
 def quantiles_long(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(keys..., prob, n, quantile) for a long table with a finite, non-null ``value``."""
     keys = list(keys)
 
-    ranges = _settled(_first_ranges(long, keys, probs))
-    while not ranges.filter("low < high").isEmpty():
-        ranges = _settled(_narrowed(long, ranges, keys))
+    ranges, open_ = _settled(_first_ranges(long, keys, probs))
+    while open_:
+        ranges, open_ = _settled(_narrowed(long, ranges, keys))
     ends = agg(ranges, {"n": "first(n)", "below": "max(IF(upper, NULL, low))", "above": "max(IF(upper, low, NULL))"}, [*keys, "prob"])
     part = "(prob * (n - 1) - floor(prob * (n - 1)))"
     return ends.selectExpr(*map(name, keys), "prob", "n", f"below + (above - below) * {part} AS quantile")

@@ -18,6 +18,7 @@ MONTHS = (1, 2, 3, 4, 5, 6)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    session.compiled(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

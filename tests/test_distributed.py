@@ -127,6 +127,25 @@ def test_duplicates_with_one_dominant_payload(spark):
     assert (counts["exact_duplicates"], counts["duplicates_without_id"], counts["repeated_ids"]) == (0, 2_999, 0)
 
 
+def test_duplicate_counts_hash_the_rows_once(spark, capsys):
+    df = spark.range(60).selectExpr("IF(id < 50, id, 7L) AS client_id", "IF(id < 50, id % 40, 3L) AS a", "CAST(NULL AS STRING) AS b")
+    counts = duplicates.duplicate_counts(df)
+    assert counts.first().asDict() == {"rows": 60, "exact_duplicates": 9, "duplicates_without_id": 20, "repeated_ids": 10, "rows_in_duplicate_groups": 30}
+    counts.explain("formatted")
+    plan = capsys.readouterr().out.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    assert plan.count("xxhash64(second") <= 2  # one projection, listed once
+
+
+def test_wide_features_never_run_in_a_method_too_long_to_compile(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    session.reuse(spark.range(1)).unpersist()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "20000")  # the session's own limit stays
+    session.reuse(spark.range(1)).unpersist()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "20000"
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+
+
 def test_checkpoint_folder_is_read_from_the_session(spark, tmp_path):
     assert session.pin(spark.range(5)).count() == 5
     assert spark.sparkContext.getCheckpointDir() is not None
