@@ -25,6 +25,7 @@ from ledgerlens.functions import scalars as s
 from ledgerlens.functions.tables import agg, beside, unpivot
 from ledgerlens.operators import eda
 from ledgerlens.operators.correlation import correlation_pairs, matrix
+from ledgerlens.operators.line import best_intervals
 from ledgerlens.operators.spread import spreads
 
 # fixed values: candidate features and the words that name a segment
@@ -73,7 +74,7 @@ class Config:
     max_iter: int = 300
     silhouette_sample: int = 5_000
     tolerance: float = 1e-4  # a run has settled when its centroids move by less than this share of the mean variance (squared); 0: not at all
-    start_rows: int = 4_096  # weighted rows on which the starts are chosen and refined before they see all rows
+    start_rows: int = 131_072  # weighted rows on which the starts are chosen and settle before they see all rows
 
     def __post_init__(self):
         leaked = sorted(set(self.features) & FORBIDDEN)
@@ -168,30 +169,52 @@ class Model:
         return len(self.centres)
 
 
-def _plus_plus(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k starting points, each drawn with probability proportional to weight and squared distance so far."""
-    chosen = [points[rng.choice(len(points), p=weight / weight.sum())]]
-    gap = ((points - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        mass = weight * gap
-        pick = rng.choice(len(points), p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(len(points))
-        chosen.append(points[pick])
-        gap = np.minimum(gap, ((points - chosen[-1]) ** 2).sum(axis=1))
-    return np.array(chosen)
-
-
-def _warm_start(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, steps: int = 100) -> np.ndarray:
-    """Starting centroids: k-means++ and refinements on the bounded, weighted starting rows."""
-    centres = _plus_plus(points, weight, k, rng)
-    for _ in range(steps):
-        near = ((points ** 2).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres ** 2).sum(axis=1)).argmin(axis=1)
-        n = np.bincount(near, weights=weight, minlength=k)
-        sums = np.stack([np.bincount(near, weights=weight * points[:, j], minlength=k) for j in range(points.shape[1])], axis=1)
-        moved = np.where(n[:, None] > 0, sums / np.where(n > 0, n, 1)[:, None], centres)
-        if np.array_equal(moved, centres):
-            break
-        centres = moved
-    return centres
+def _refining():
+    """The refinement of one start; local, so that tasks get its code and need not import this package."""
+
+    def plus_plus(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+        """k starting points, each drawn with probability proportional to weight and squared distance so far."""
+        chosen = [points[rng.choice(len(points), p=weight / weight.sum())]]
+        gap = ((points - chosen[0]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            mass = weight * gap
+            pick = rng.choice(len(points), p=mass / mass.sum()) if mass.sum() > 0 else rng.integers(len(points))
+            chosen.append(points[pick])
+            gap = np.minimum(gap, ((points - chosen[-1]) ** 2).sum(axis=1))
+        return np.array(chosen)
+
+    def warm_start(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, steps: int, settled: float) -> np.ndarray:
+        """Starting centroids: k-means++ on the bounded, weighted starting rows, refined until they settle there."""
+        centres = plus_plus(points, weight, k, rng)
+        heavy = np.column_stack([weight, weight[:, None] * points])
+        for _ in range(steps):
+            near = ((centres ** 2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+            sums = (near[:, None] == np.arange(k)).astype("float64").T @ heavy
+            n = sums[:, :1]
+            moved = np.where(n > 0, sums[:, 1:] / np.where(n > 0, n, 1), centres)
+            shift = ((moved - centres) ** 2).sum()
+            centres = moved
+            if shift <= settled:
+                break
+        return centres
+
+    return warm_start
+
+
+def _starts(data: DataFrame, points: np.ndarray, weight: np.ndarray, runs: list[tuple[int, int]], config: Config, settled: float) -> dict:
+    """The starting centroids of every run, one task a run."""
+    context = data.sparkSession.sparkContext
+    shared, seed, steps, warm_start = context.broadcast((points, weight)), config.seed, config.max_iter, _refining()
+
+    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in batch["id"]:
+                centres = warm_start(*shared.value, runs[i][0], np.random.default_rng([seed, *runs[i]]), steps, settled)
+                yield pd.DataFrame({"run": [i], "centres": [centres.ravel()]})
+
+    rows = data.sparkSession.range(0, len(runs), 1, len(runs)).mapInPandas(refine, "run long, centres array<double>").collect()
+    shared.unpersist()
+    return {runs[r["run"]]: np.array(r["centres"]).reshape(runs[r["run"]][0], -1) for r in rows}
 
 
 def _starting_rows(data: DataFrame, cols: Sequence[str], config: Config, key: str) -> tuple[np.ndarray, np.ndarray, float]:
@@ -223,6 +246,12 @@ def _distinct_starts(runs: list[tuple[int, int]], centres: dict, settled: float)
     return kept
 
 
+def _line_model(data: DataFrame, column: str, k: int, features: Sequence[str]) -> Model:
+    centres, sizes, cost, scans = best_intervals(data, column, k)
+    order = sorted(range(k), key=lambda g: (-sizes[g], centres[g, 0]))
+    return Model(centres[order], cost, scans, tuple(features))
+
+
 def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config: Config = Config(),
              key: str = v.ID) -> dict[int, Model]:
     """The best of ``n_init`` K-Means runs for every K, all runs sharing each pass over the data.
@@ -231,12 +260,15 @@ def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config
     every iteration of every model would scan the data; here one pass per
     iteration serves all runs that have not settled.  A task reduces its rows to
     one partial sum per run and cluster, and a grouped sum merges the tasks.
+    On one feature no run is needed: the best of all cuts is found.
     """
     cols = [f"z_{c}" for c in features]
+    if len(cols) == 1:
+        return {k: _line_model(data, cols[0], k, features) for k in ks}
     points, weight, variance = _starting_rows(data, cols, config, key)
     settled = config.tolerance * variance
     runs = [(k, i) for k in ks for i in range(config.n_init)]
-    centres = {r: _warm_start(points, weight, r[0], np.random.default_rng([config.seed, *r])) for r in runs}
+    centres = _starts(data, points, weight, runs, config, settled / 100)
     runs = _distinct_starts(runs, centres, settled)
     cost, sizes, steps = {}, {}, dict.fromkeys(runs, 0)
     active = list(runs)
@@ -254,10 +286,8 @@ def fit_many(data: DataFrame, features: Sequence[str], ks: Sequence[int], config
                 for c, total in zip(current, totals):
                     gaps = length[:, None] - 2 * x @ c.T + (c ** 2).sum(axis=1)
                     near = gaps.argmin(axis=1)
-                    total[:, 0] += np.bincount(near, minlength=len(c))
-                    total[:, 1] += np.bincount(near, weights=np.maximum(gaps.min(axis=1), 0), minlength=len(c))
-                    for j in range(x.shape[1]):
-                        total[:, 2 + j] += np.bincount(near, weights=x[:, j], minlength=len(c))
+                    known = np.column_stack([np.ones(len(x)), np.maximum(gaps.min(axis=1), 0), x])
+                    total += (near[:, None] == np.arange(len(c))).astype("float64").T @ known
             rows = [(i, g, *total[g]) for i, total in enumerate(totals) for g in range(len(total))]
             yield pd.DataFrame(rows, columns=["run", "cluster", "n", "cost", *[f"s{j}" for j in range(len(cols))]])
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens import vocabulary as v
-from ledgerlens.operators import drivers, eda, findings, profile, quality, segments, selection
+from ledgerlens.operators import drivers, eda, findings, line, profile, quality, segments, selection
 from ledgerlens.plans import pipeline
 from ledgerlens.sources import files
 
@@ -183,6 +183,41 @@ def test_separated_groups_are_recovered(spark):
     assert len(pairs) == 3
 
 
+@pytest.mark.parametrize(("k", "column"), [(2, "x"), (3, "x"), (3, "few"), (4, "x"), (3, "far")])
+def test_one_feature_gets_the_best_of_all_cuts(spark, monkeypatch, k, column):
+    monkeypatch.setattr(line, "BLOCKS", 16)
+    rows = spark.range(240).selectExpr("id AS client_id", "pow(pmod(xxhash64(id), 997) / 300D, 2) AS x", "double(pmod(xxhash64(id), 7)) AS few",
+                                       "IF(id % 40 = 0, 1e6D * id, pmod(xxhash64(id), 997) / 1e3D) AS far").selectExpr("client_id", f"{column} AS z_a").cache()
+    model = segments.fit_many(rows, ["a"], [k], segments.Config(n_init=1, tolerance=0.0))[k]
+    x = np.sort(rows.toPandas()["z_a"].to_numpy())
+    one, two = np.concatenate([[0], x.cumsum()]), np.concatenate([[0], (x * x).cumsum()])
+    n = np.arange(241)
+    size = np.maximum(n[None] - n[:, None], 1)
+    cost = np.where(n[None] >= n[:, None], two[None] - two[:, None] - (one[None] - one[:, None]) ** 2 / size, np.inf)
+    best = cost[0]
+    for _ in range(k - 1):
+        best = (best[:, None] + cost).min(axis=0)
+    assert model.inertia == pytest.approx(best[-1], rel=1e-9) and model.centres.shape == (k, 1)
+    near = np.abs(x[:, None] - model.centres[:, 0]).min(axis=1)
+    assert (near ** 2).sum() == pytest.approx(best[-1], rel=1e-9)
+
+
+def test_one_feature_of_one_value(spark):
+    model = segments.fit_many(spark.range(9).selectExpr("id AS client_id", "2D AS z_a"), ["a"], [2])[2]
+    assert model.inertia == 0 and model.centres.tolist() == [[2.0], [2.0]]
+
+
+def test_runs_settle_on_the_starting_rows(spark):
+    """Without groups in the rows K-Means is slow; what a bounded sample can do needs no pass over all rows."""
+    rows = spark.range(20_000).selectExpr("id AS client_id", "pmod(xxhash64(id), 10007) / 1e4D AS z_a", "pmod(xxhash64(id, 1), 10007) / 1e4D AS z_b").cache()
+    model = segments.fit_many(rows, ["a", "b"], [8], segments.Config(n_init=4))[8]
+    assert model.iterations <= 2
+    x = rows.select("z_a", "z_b").toPandas().to_numpy()
+    near = ((x[:, None] - model.centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    again = np.array([x[near == g].mean(axis=0) for g in range(8)])
+    assert ((again - model.centres) ** 2).sum() <= 1e-4 * x.var(axis=0).mean()
+
+
 def test_elbow():
     assert segments.elbow([(2, 100.0), (3, 20.0), (4, 15.0), (5, 10.0)]) == 3
     assert segments.elbow([(2, 5.0)]) == 2 and segments.elbow([(2, 5.0), (3, 5.0), (4, 5.0)]) == 2
