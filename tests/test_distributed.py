@@ -70,6 +70,21 @@ def test_grouped_quantiles(skewed, held, monkeypatch):
     assert got == {(None if g == 0 else g, 0.5): part["y"].quantile(0.5) for g, part in data.groupby("g")}
 
 
+def test_kept_tables_have_as_many_partitions_as_they_need(spark):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    change = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.unset(change)
+    kept = session.reuse(spark.range(10_000).selectExpr("id % 999 AS g").groupBy("g").count())
+    assert kept.count() == 999 and kept.rdd.getNumPartitions() <= 8
+    kept.unpersist()
+    spark.conf.set(change, "false")  # the session's own choice stays
+    session.reuse(spark.range(1)).unpersist()
+    assert spark.conf.get(change) == "false"
+    spark.conf.unset(change)
+    spark.conf.set("spark.sql.shuffle.partitions", own)
+
+
 def test_sliced_ranks_equal_pandas(skewed):
     counts = agg(skewed.selectExpr("'x' AS f", "x AS value"), {"rows": "count(*)"}, ["f", "value"])
     got = {r["value"]: r["rank"] for r in ranking.value_ranks(counts, ["f"], small=False).collect()}
