@@ -8,9 +8,10 @@ order statistic is closed in on by counting:
    1/512.  Counts of the digits (combined before the shuffle) say in which digit
    each wanted position lies, and with which least and greatest value.
 2. Values between that least and greatest value are dealt to 65,536 equal steps
-   and counted again, until least and greatest are one value.
+   and counted again, until least and greatest are one value.  A range that holds
+   at most 65,536 rows needs no steps: its values are counted as they are.
 
-Both digits never fall as the value rises, so counting them finds exact order
+Digits never fall as the value rises, so counting them finds exact order
 statistics.  A round narrows a range 65,536-fold: money amounts need one round of
 step 2, no column of doubles more than four.  Only rows inside a wanted range are counted
 again; a running count sees the digits that occur, at most about a million of one
@@ -33,7 +34,7 @@ from ledgerlens.functions.scalars import name, number, text, value
 from ledgerlens.functions.tables import agg, unpivot
 
 OCTAVE = 512   # first digits in a factor of two
-STEPS = 65_536  # second and later digits in a range
+STEPS = 65_536  # second and later digits in a range, and rows of a range whose values are counted as they are
 HELD = 10_000   # ranges that may pass through the driver
 
 
@@ -58,37 +59,39 @@ def _first_ranges(long: DataFrame, keys: list[str], probs: Sequence[float]) -> D
     spots = [{"prob": number(p), "upper": str(bool(end)), "spot": f"CAST({('floor', 'ceil')[end]}({number(p)} * (n - 1)) AS BIGINT)", "n": "n", "many": "many",
               "before": "upto - many", "low": "least", "high": "most"} for p in probs for end in (0, 1)]
     found = unpivot(_counted(long, keys, digit), spots, keep=keys).filter("spot >= before AND spot < before + many")
-    return found.selectExpr(*map(name, keys), "prob", "upper", "n", "spot - before AS spot", "low", "high")
+    return found.selectExpr(*map(name, keys), "prob", "upper", "n", "spot - before AS spot", "many", "low", "high")
 
 
-def _narrowed(long: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """The ranges after one more digit; ranges of one value stay."""
+def _narrowed(long: DataFrame, ranges: DataFrame, keys: list[str], held: bool) -> DataFrame:
+    """The ranges after one more digit; ranges of one value stay.  ``held`` ranges are few: they travel to the rows."""
     open_, closed = ranges.filter("low < high"), ranges.filter("low = high")
-    wanted = open_.select(*keys, "low", "high").distinct()
+    wanted = open_.select(*keys, "low", "high", "many").distinct()
     same = " AND ".join(f"l.{name(k)} <=> r.{name(k)}" for k in keys)
-    rows = long.alias("l").join(wanted.alias("r"), F.expr(f"{same} AND value >= low AND value <= high")).selectExpr(*[f"l.{name(k)}" for k in keys], "low", "high", "value")
-    digit = f"CAST(floor((value - low) / (high - low) * {STEPS - 1}) AS INT)"
+    if held:
+        wanted = F.broadcast(wanted)
+    rows = long.alias("l").join(wanted.alias("r"), F.expr(f"{same} AND value >= low AND value <= high")).selectExpr(*[f"l.{name(k)}" for k in keys], "low", "high", "many AS held", "value")
+    digit = f"IF(held <= {STEPS}, value, floor((value - low) / (high - low) * {STEPS - 1}))"
     counts = _counted(rows, [*keys, "low", "high"], digit).drop("n")
-    met = open_.alias("l").join(counts.alias("r"), F.expr(f"{same} AND l.low = r.low AND l.high = r.high AND spot >= upto - many AND spot < upto"))
-    return closed.union(met.selectExpr(*[f"l.{name(k)}" for k in keys], "prob", "upper", "l.n", "spot - (upto - many) AS spot", "least AS low", "most AS high"))
+    met = open_.alias("l").join(counts.alias("r"), F.expr(f"{same} AND l.low = r.low AND l.high = r.high AND spot >= upto - r.many AND spot < upto"))
+    return closed.union(met.selectExpr(*[f"l.{name(k)}" for k in keys], "prob", "upper", "l.n", "spot - (upto - r.many) AS spot", "r.many", "least AS low", "most AS high"))
 
 
-def _settled(ranges: DataFrame) -> tuple[DataFrame, bool]:
-    """The ranges as a table that is not computed again, and whether any is still open."""
+def _settled(ranges: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """The ranges as a table that is not computed again, whether any is still open, and whether the driver held them."""
     rows = ranges.limit(HELD + 1).collect()
     if len(rows) <= HELD:
-        return ranges.sparkSession.createDataFrame(rows, ranges.schema), any(r["low"] < r["high"] for r in rows)
+        return ranges.sparkSession.createDataFrame(rows, ranges.schema), any(r["low"] < r["high"] for r in rows), True
     kept = session.stored(ranges)
-    return kept, not kept.filter("low < high").isEmpty()
+    return kept, not kept.filter("low < high").isEmpty(), False
 
 
 def quantiles_long(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(keys..., prob, n, quantile) for a long table with a finite, non-null ``value``."""
     keys = list(keys)
 
-    ranges, open_ = _settled(_first_ranges(long, keys, probs))
+    ranges, open_, held = _settled(_first_ranges(long, keys, probs))
     while open_:
-        ranges, open_ = _settled(_narrowed(long, ranges, keys))
+        ranges, open_, held = _settled(_narrowed(long, ranges, keys, held))
     ends = agg(ranges, {"n": "first(n)", "below": "max(IF(upper, NULL, low))", "above": "max(IF(upper, low, NULL))"}, [*keys, "prob"])
     part = "(prob * (n - 1) - floor(prob * (n - 1)))"
     return ends.selectExpr(*map(name, keys), "prob", "n", f"below + (above - below) * {part} AS quantile")

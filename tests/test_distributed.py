@@ -70,6 +70,32 @@ def test_grouped_quantiles(skewed, held, monkeypatch):
     assert got == {(None if g == 0 else g, 0.5): part["y"].quantile(0.5) for g, part in data.groupby("g")}
 
 
+def rounds_of(monkeypatch):
+    calls, plain = [], quantiles._narrowed
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: calls.append(a) or plain(*a))
+    return calls
+
+
+def test_small_ranges_take_one_round(spark, monkeypatch):
+    """Neighbours in the last bit: steps need two rounds, a range of few rows is counted by its values."""
+    calls = rounds_of(monkeypatch)
+    x = np.concatenate([1 + np.arange(400) * np.finfo(float).eps, [1.001]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    assert [r["quantile"] for r in quantiles.quantiles(df, ["x"], (0.5,)).collect()] == [np.sort(x)[200]]
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("steps", [16, 4_096])
+def test_large_ranges_are_dealt_to_steps(skewed, steps, monkeypatch):
+    calls = rounds_of(monkeypatch)
+    monkeypatch.setattr(quantiles, "STEPS", steps)
+    monkeypatch.setattr(quantiles, "OCTAVE", 1)
+    got = {(r["feature"], r["prob"]): r["quantile"] for r in quantiles.quantiles(skewed, ["x", "z"], (0.1, 0.5, 0.9)).collect()}
+    data = skewed.toPandas()
+    assert got == {(c, p): pytest.approx(data[c].quantile(p), rel=1e-12) for c in ("x", "z") for p in (0.1, 0.5, 0.9)}
+    assert len(calls) > 1
+
+
 def test_kept_tables_have_as_many_partitions_as_they_need(spark):
     own = spark.conf.get("spark.sql.shuffle.partitions")
     change = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
