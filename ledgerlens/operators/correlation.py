@@ -201,11 +201,12 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def matrix(pairs: DataFrame) -> DataFrame:
-    """Both triangles and the diagonal, as (row, column, correlation)."""
-    both = pairs.selectExpr("left AS row", "right AS column", "correlation").unionByName(
-        pairs.selectExpr("right AS row", "left AS column", "correlation"))
-    names = both.select("row").distinct()
-    return both.unionByName(names.selectExpr("row", "row AS column", "1D AS correlation"))
+    """Both triangles and the diagonal, as (row, column, correlation); the pairs are computed once."""
+    cells = unpivot(pairs, [
+        {"row": "left", "column": "right", "correlation": "correlation"}, {"row": "right", "column": "left", "correlation": "correlation"},
+        {"row": "left", "column": "left", "correlation": "1D"}, {"row": "right", "column": "right", "correlation": "1D"},
+    ])
+    return agg(cells, {"correlation": "first(correlation)"}, ["row", "column"])
 
 
 def top_pairs(pairs: DataFrame, limit: int | None = None, keep_restatements: bool = False) -> DataFrame:

@@ -111,6 +111,14 @@ def test_kept_tables_have_as_many_partitions_as_they_need(spark):
     spark.conf.set("spark.sql.shuffle.partitions", own)
 
 
+def test_the_matrix_computes_its_pairs_once(skewed):
+    found = correlation.matrix(correlation.pearson_pairs(skewed, ["x", "y", "z"]))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    cells = {(r["row"], r["column"]): r["correlation"] for r in found.collect()}
+    data = skewed.toPandas()[["x", "y", "z"]].corr()
+    assert cells == {(a, b): pytest.approx(data.loc[a, b]) for a in "xyz" for b in "xyz"}
+
+
 def test_sliced_ranks_equal_pandas(skewed):
     counts = agg(skewed.selectExpr("'x' AS f", "x AS value"), {"rows": "count(*)"}, ["f", "value"])
     got = {r["value"]: r["rank"] for r in ranking.value_ranks(counts, ["f"], small=False).collect()}
