@@ -25,7 +25,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def clients(spark: SparkSession, folder: str) -> DataFrame:
     returned = F.col("l_returnflag") == "R"
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+    # lines that are neither paid for nor returned add nothing to an order
+    lines = table(spark, folder, "lineitem").filter("l_returnflag IN ('N', 'R')").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum(F.when(F.col("l_returnflag") == "N", net)).alias("paid"),
         F.count_if(returned).alias("returned"),
     )

@@ -119,6 +119,19 @@ def test_the_matrix_computes_its_pairs_once(skewed):
     assert cells == {(a, b): pytest.approx(data.loc[a, b]) for a in "xyz" for b in "xyz"}
 
 
+def test_lines_neither_paid_nor_returned_stay_out_of_the_shuffle(spark, tmp_path):
+    from ledgerlens.plans import star
+
+    spark.sql("SELECT 1L AS c_custkey, 3 AS c_nationkey, 5D AS c_acctbal UNION ALL SELECT 2L, 4, 6D").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT id AS o_orderkey, 1 + id % 2 AS o_custkey, 10D AS o_totalprice, 'P' AS o_orderstatus, TIMESTAMP '2000-05-01' AS o_orderdate FROM range(4)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id % 4 AS l_orderkey, IF(id % 4 = 0, 'A', element_at(array('N', 'R', NULL, 'A'), 1 + int(id DIV 4) % 4)) AS l_returnflag, "
+              "8D AS l_extendedprice, 0.5D AS l_discount FROM range(32)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = star.clients(spark, str(tmp_path))
+    got = {r["client_id"]: (r["bill_amt_m1"], r["pay_amt_m1"], r["pay_status_m1"]) for r in found.collect()}
+    assert got == {1: (20.0, 8.0, 0), 2: (20.0, 16.0, 2)}
+    assert "l_returnflag#" in found._jdf.queryExecution().optimizedPlan().toString().split("Filter (")[-1].split("+- Relation")[0]
+
+
 def test_sliced_ranks_equal_pandas(skewed):
     counts = agg(skewed.selectExpr("'x' AS f", "x AS value"), {"rows": "count(*)"}, ["f", "value"])
     got = {r["value"]: r["rank"] for r in ranking.value_ranks(counts, ["f"], small=False).collect()}
