@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens import session
 from ledgerlens import vocabulary as v
 from ledgerlens.functions import scalars as s
 from ledgerlens.functions.tables import agg, unpivot
@@ -122,6 +123,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], key: Sequence[str] = (
         f"IF(size(ranks) = {len(index)}, ranks, "
         "CAST(raise_error('the key does not identify a row') AS ARRAY<DOUBLE>)) AS ranks"
     )
+    checked = session.reuse(checked)  # both scans of _correlate read the ranks, which cost more than the scans
     return _correlate(checked, [(a, b, f"ranks[{i}]", f"ranks[{j}]") for a, b, i, j in wanted])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens import session
 from ledgerlens import vocabulary as v
 from ledgerlens.functions import pvalues
 from ledgerlens.functions import scalars as s
@@ -170,9 +171,11 @@ def tree_importance(df: DataFrame, target: str, features: Sequence[str], setting
 
     used = [c for c in features if c in df.columns]
     picked = df.selectExpr(f"{s.value(df, target)} AS __y", *[f"{s.value(df, c)} AS {s.name(c)}" for c in used]).dropna()
+    picked = session.reuse(picked)  # counting, binning and growing the tree each read the complete cases
     counts = {r["__y"]: r["count"] for r in picked.groupBy("__y").count().collect()}
     n = sum(counts.values())
     if not used or n < MIN_ROWS or len(counts) < 2:
+        picked.unpersist()
         return None
     weight = "CASE " + " ".join(f"WHEN __y = {s.number(y)} THEN {n / (len(counts) * c)!r}D" for y, c in counts.items()) + " END"
     vectors = VectorAssembler(inputCols=used, outputCol="__x").transform(s.project(picked, {"__w": weight}))
@@ -180,6 +183,7 @@ def tree_importance(df: DataFrame, target: str, features: Sequence[str], setting
         featuresCol="__x", labelCol="__y", weightCol="__w", maxDepth=5, minInstancesPerNode=50, maxBins=256,
         seed=settings.seed,
     ).fit(vectors)
+    picked.unpersist()
     rows = [(c, float(x), n) for c, x in zip(used, model.featureImportances.toArray()) if x > 0]
     found = df.sparkSession.createDataFrame(rows, "feature string, statistic double, n_used long").selectExpr(
         "feature", "statistic", "statistic AS effect_size", "CAST(NULL AS DOUBLE) AS p_value", "n_used"

@@ -119,6 +119,24 @@ def test_the_matrix_computes_its_pairs_once(skewed):
     assert cells == {(a, b): pytest.approx(data.loc[a, b]) for a in "xyz" for b in "xyz"}
 
 
+def test_spearman_ranks_are_computed_once_for_both_scans(skewed):
+    found = correlation.spearman_pairs(skewed, ["x", "y", "z"], ["id"])
+    assert "InMemoryRelation [ranks" in found._jdf.queryExecution().withCachedData().toString()
+    data = skewed.toPandas()[["x", "y", "z"]]
+    assert {(r["left"], r["right"]): r["correlation"] for r in found.collect()} == {
+        (a, b): pytest.approx(data[[a, b]].dropna().rank().corr().iloc[0, 1]) for a, b in (("x", "y"), ("x", "z"), ("y", "z"))}
+
+
+def test_complete_cases_of_the_tree_are_computed_once(spark, monkeypatch):
+    from ledgerlens.operators import drivers
+
+    kept = []
+    monkeypatch.setattr(session, "reuse", lambda df, plain=session.reuse: kept.append(plain(df)) or kept[-1])
+    df = spark.range(400).selectExpr("int(id % 2) AS y", "IF(id % 7 = 0, NULL, double(id % 2 + id % 3)) AS x")
+    assert drivers.tree_importance(df, "y", ["x"]).first()["n_used"] == 342
+    assert len(kept) == 1 and not kept[0].is_cached
+
+
 def test_lines_neither_paid_nor_returned_stay_out_of_the_shuffle(spark, tmp_path):
     from ledgerlens.plans import star
 
