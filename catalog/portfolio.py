@@ -88,9 +88,8 @@ PROFILE = FILLED + f""", lab AS (SELECT *, CAST(client_id % 3 AS INTEGER) AS clu
 
 
 def given(spark, d):
-    p = prepared(spark, d)
-    named = p.data.selectExpr("client_id", "int(client_id % 3) AS cluster", *[f"{s.name('raw_' + c)} AS {s.name(c)}" for c in SEG])
-    return named.join(feats(spark, d).select("client_id", T), "client_id")
+    p = segments.prepare(feats(spark, d), segments.Config(scaler="standard"), keep=[T])
+    return p.data.selectExpr("client_id", "int(client_id % 3) AS cluster", *[f"{s.name('raw_' + c)} AS {s.name(c)}" for c in SEG], T)
 
 
 @query("segment_profiles", on_features(f"""SELECT cluster, feature, size, {R('size / (SELECT count(*) FROM feat) * 100', 'share_pct')}, {R('rate', 'observed_default_rate_pct')},

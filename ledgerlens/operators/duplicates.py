@@ -56,9 +56,14 @@ def drop_ignoring_key(df: DataFrame, key: str = v.ID) -> DataFrame:
 
 
 def flag_ignoring_key(df: DataFrame, key: str = v.ID, flag: str = "is_duplicate_excluding_id") -> DataFrame:
-    """Marks every member of a repeated payload, the first one included."""
-    rows = _with_groups(df, payload(df, key), key)
-    return rows.selectExpr(*map(name, df.columns), f"__copies IS NOT NULL AS {name(flag)}")
+    """Marks every member of a repeated payload, the first one included.
+
+    The flag is a subquery and no join, so that a scan that does not read it neither
+    hashes the payloads nor looks them up.
+    """
+    groups = repeated_groups(df, payload(df, key), key)
+    same = (F.col(ONE) == F.col(f"rows.{ONE}").outer()) & (F.col(TWO) == F.col(f"rows.{TWO}").outer())
+    return hashed(df, payload(df, key)).alias("rows").select(*[F.col(name(c)) for c in df.columns], groups.filter(same).exists().alias(flag))
 
 
 def duplicate_counts(df: DataFrame, key: str = v.ID) -> DataFrame:

@@ -112,8 +112,11 @@ def assess_features(df: DataFrame, features: Sequence[str] = FEATURES, key: str
     )
 
 
-def prepare(df: DataFrame, config: Config = Config(), key: str = v.ID) -> Prepared:
-    """Drop unusable features, fill nulls with the median, scale.  No client is dropped."""
+def prepare(df: DataFrame, config: Config = Config(), key: str = v.ID, keep: Sequence[str] = ()) -> Prepared:
+    """Drop unusable features, fill nulls with the median, scale.  No client is dropped.
+
+    ``keep`` names columns that stay beside the key as they are and reach no feature.
+    """
     present = [c for c in config.features if c in df.columns]
     excluded = {c: "column not present" for c in config.features if c not in present}
     found = spreads(df, present)
@@ -128,7 +131,7 @@ def prepare(df: DataFrame, config: Config = Config(), key: str = v.ID) -> Prepar
     nulls = agg(df, {"__rows": "count(*)", **{c: f"count_if({s.value(df, c)} IS NULL)" for c in used}}).first().asDict()
     n_rows = nulls.pop("__rows")
     imputed = {c: found[c].median for c in used if nulls[c]}
-    raw = df.selectExpr(s.name(key), *[
+    raw = df.selectExpr(s.name(key), *map(s.name, keep), *[
         f"coalesce({s.value(df, c)}, {s.number(found[c].median)}) AS {s.name('raw_' + c)}" for c in used
     ])
     return Prepared(scale(raw, used, config.scaler), used, imputed, excluded, n_rows, key,

@@ -375,3 +375,16 @@ def test_selection_context(featured):
     context = pipeline.selection_context(featured, selection.Spec(age=(30, 40)))
     assert context["counts"].first()["n_selected"] == context["data"].count() < 400
     assert context["kpis"].filter("key = 'total_records'").first()["value"] == context["data"].count()
+
+
+def test_segments_of_given_labels_keep_clients_without_a_key_or_with_a_repeated_one(featured, spark, monkeypatch):
+    from catalog import portfolio
+
+    varied = featured.withColumn("months_zero_payment", F.col("client_id") % 3)
+    first = varied.filter("client_id = 1")
+    odd = varied.unionByName(first).unionByName(first.withColumn("client_id", F.lit(None).cast("long")))
+    monkeypatch.setattr(portfolio, "feats", lambda *_: odd)
+    got = portfolio.given(spark, "")
+    assert got.count() == odd.count() == 402
+    assert got.filter("default_next_month IS NULL").count() == 0
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]

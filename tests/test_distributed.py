@@ -271,3 +271,13 @@ def test_correlations_by_cross_sums(spark):
             wanted = data[p].corr(data[q])
             assert n == (data[p].notna() & data[q].notna()).sum()
             assert r is None if "d" in (p, q) else r == pytest.approx(wanted, abs=1e-9), (p, q)
+
+
+def test_a_scan_that_does_not_read_the_duplicate_flag_looks_nothing_up(spark):
+    df = spark.range(300).selectExpr("id AS client_id", "IF(id < 200, id % 100, NULL) AS a", "double(id % 2) AS b")
+    flagged = duplicates.flag_ignoring_key(df)
+    assert flagged.columns == ["client_id", "a", "b", "is_duplicate_excluding_id"]
+    assert flagged.filter("is_duplicate_excluding_id").count() == 300  # 100 pairs, and two payloads with a null
+    plan = flagged.selectExpr("sum(a)", "count_if(b > 0)")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan and "Join" not in plan
+    assert flagged.selectExpr("count_if(is_duplicate_excluding_id) AS n").first()["n"] == 300  # also inside an aggregation
