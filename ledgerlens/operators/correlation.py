@@ -19,7 +19,7 @@ from ledgerlens import vocabulary as v
 from ledgerlens.functions import scalars as s
 from ledgerlens.functions.tables import agg, unpivot
 from ledgerlens.operators.eda import numeric_columns, status
-from ledgerlens.operators.ranking import attach_ranks, running_before
+from ledgerlens.operators.ranking import SMALL_BYTES, attach_ranks, running_before
 from ledgerlens.settings import DEFAULTS
 
 def restating_pairs(columns: Sequence[str]) -> set[frozenset[str]]:
@@ -141,7 +141,8 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     pairs = list(combinations(columns, 2))
     entries = [{"pair": str(i), "x": s.value(df, a), "y": s.value(df, b)} for i, (a, b) in enumerate(pairs)]
-    cells = agg(unpivot(df, entries).filter("x IS NOT NULL AND y IS NOT NULL"), {"n": "double(count(*))"}, ["pair", "x", "y"])
+    cells = session.reuse(agg(unpivot(df, entries).filter("x IS NOT NULL AND y IS NOT NULL"), {"n": "double(count(*))"}, ["pair", "x", "y"]))
+    cells.count()  # the rows are read once, and the plans below know how large the cells are
     ties = lambda side: agg(agg(cells, {"t": "sum(n)"}, ["pair", side]),
                             {f"ties_{side}": "sum(t * (t - 1) / 2)"}, ["pair"])
     codes = running_before(agg(cells, {"one": "1L"}, ["pair", "y"]), ["pair"], "y", ["one"]).selectExpr(
@@ -155,7 +156,8 @@ def kendall_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "IF(shiftright(code, level) & 1 = 0, n, 0D) AS zeros", "IF(shiftright(code, level) & 1 = 1, n, 0D) AS ones",
     )
     per_x = agg(digits, {"zeros": "sum(zeros)", "ones": "sum(ones)"}, ["pair", "level", "prefix", "x"])
-    running = running_before(per_x, ["pair", "level", "prefix"], "x", ["zeros", "ones"])
+    small = session.planned_bytes(cells) * levels <= SMALL_BYTES  # a cell is one row a level; the plan's own guess multiplies the sides of the join
+    running = running_before(per_x, ["pair", "level", "prefix"], "x", ["zeros", "ones"], small)
     score = agg(running, {"s": "sum(ones * zeros_before - zeros * ones_before)"}, ["pair"])
     size = agg(cells, {"n": "sum(n)"}, ["pair"])
     joined = size.join(score, "pair").join(ties("x"), "pair").join(ties("y"), "pair")
