@@ -505,12 +505,12 @@ def evaluate(prepared: Prepared, config: Config = Config(), data: DataFrame | No
     return Sweep(tuple(scores), chosen["k"], best["k"], knee, davies["k"], why, models)
 
 
-def compare_scalers(df: DataFrame, config: Config = Config(), key: str = v.ID) -> tuple[str, dict[str, tuple[Prepared, DataFrame, Sweep]]]:
+def compare_scalers(df: DataFrame, config: Config = Config(), key: str = v.ID, keep: Sequence[str] = ()) -> tuple[str, dict[str, tuple[Prepared, DataFrame, Sweep]]]:
     """(chosen scaler, sweep per scaler): the higher silhouette at the recommended K decides."""
     runs = {}
     for name in SCALERS:
         scoped = replace(config, scaler=name)
-        prepared = prepare(df, scoped, key)
+        prepared = prepare(df, scoped, key, keep)
         data = matrix_of(prepared)
         runs[name] = (prepared, data, evaluate(prepared, scoped, data))
 
@@ -644,14 +644,15 @@ def run_segmentation(df: DataFrame, config: Config = Config(), k: int | None = N
         return {"status": eda.status(spark, "segmentation", n, MIN_ROWS, "Too few clients for stable segments.")}
     if not any(c in df.columns for c in config.features):
         return {"status": eda.status(spark, "segmentation", n, MIN_ROWS, "No clustering feature is present.")}
+    kept = [target] if target and target in df.columns else []
     try:
         if compare:
-            chosen, runs = compare_scalers(df, config, key)
+            chosen, runs = compare_scalers(df, config, key, kept)
             config = replace(config, scaler=chosen)
             prepared, data, sweep = runs[chosen]
             scores = scaler_table(runs) if any(r[2].scores for r in runs.values()) else None
         else:
-            prepared = prepare(df, config, key)
+            prepared = prepare(df, config, key, kept)
             data = matrix_of(prepared)
             sweep = evaluate(prepared, config, data)
             scores = sweep.frame(spark) if sweep.scores else None
@@ -662,9 +663,8 @@ def run_segmentation(df: DataFrame, config: Config = Config(), k: int | None = N
     k = max(2, min(k or sweep.recommended_k, prepared.n_rows - 1))
     model = sweep.models.get(k) or fit_many(data, prepared.features, [k], config, key)[k]
     clustered = assign(model, data)
-    raw = clustered.selectExpr(s.name(key), "cluster", *[f"{s.name('raw_' + c)} AS {s.name(c)}" for c in prepared.features])
-    with_target = raw.join(df.select(key, target), key, "left") if target and target in df.columns else raw
-    profile = profile_segments(with_target, prepared.features, target)
+    raw = clustered.selectExpr(s.name(key), "cluster", *[f"{s.name('raw_' + c)} AS {s.name(c)}" for c in prepared.features], *map(s.name, kept))
+    profile = profile_segments(raw, prepared.features, target)
     named = name_segments(profile)
     projected, explained = project_2d(clustered, prepared.features)
     labels = raw.select(key, "cluster").join(F.broadcast(named.selectExpr("cluster", "display_name AS segment")), "cluster")
@@ -673,7 +673,7 @@ def run_segmentation(df: DataFrame, config: Config = Config(), k: int | None = N
              Row("explained_variance", ", ".join(f"{x:.6f}" for x in explained))]
     facts += [Row(f"imputed:{c}", f"{prepared.missing[c]} with {x}") for c, x in prepared.imputed.items()]
     facts += [Row(f"excluded:{c}", why) for c, why in prepared.excluded.items()]
-    overall = df.agg(F.expr(f"avg({s.value(df, target)}) * 100")).first()[0] if target and target in df.columns else None
+    overall = df.agg(F.expr(f"avg({s.value(df, target)}) * 100")).first()[0] if kept else None
     return {
         "scores": scores, "labels": labels, "profile": profile, "segments": named,
         "interpretation": interpret(named, overall), "normalised": normalised_profiles(profile),

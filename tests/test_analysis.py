@@ -388,3 +388,9 @@ def test_segments_of_given_labels_keep_clients_without_a_key_or_with_a_repeated_
     assert got.count() == odd.count() == 402
     assert got.filter("default_next_month IS NULL").count() == 0
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+
+
+def test_a_repeated_key_counts_once_in_the_profile_of_a_run(featured):
+    odd = featured.unionByName(featured.filter("client_id <= 3"))
+    profile = segments.run_segmentation(odd, segments.Config(k_min=2, k_max=2, n_init=1), compare=False)["profile"]
+    assert sum(r["size"] for r in profile.select("cluster", "size").distinct().collect()) == 403
